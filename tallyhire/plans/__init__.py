@@ -1,0 +1 @@
+"""Public views: the queries a user of the engine runs."""

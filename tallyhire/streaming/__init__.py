@@ -1,0 +1 @@
+"""Structured Streaming forms of the append-only logs and the upserts."""
