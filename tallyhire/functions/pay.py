@@ -217,7 +217,7 @@ def salary_vs_target(lo: Column, hi: Column, currency: Column, period: Column,
 
 def describe_salary(lo: Column, hi: Column, currency: Column, period: Column, verdict: Column) -> Column:
     def grouped(c: Column) -> Column:
-        return F.coalesce(F.format_number(c, "#,##0.###"), F.lit(""))
+        return F.coalesce(F.call_function("format_number", c, F.lit("#,##0.###")), F.lit(""))
 
     shape = salary_shape(lo, hi)
     figure = F.when(shape == "range", F.concat(grouped(lo), F.lit("–"), grouped(hi))).otherwise(

@@ -109,8 +109,8 @@ def job_id(engine: Column, native_id: Column, apply_url: Column | None = None) -
 def normalise_skill_text(c: Column | str) -> Column:
     c = F.lower(_col(c))
     c = F.regexp_replace(c, r"[（(\[{].*?[）)\]}]", " ")
-    c = F.regexp_replace(c, rf"[^a-z0-9+#./{SPACE}-]", " ")
-    return collapse(c)
+    # Whitespace and dropped characters both end up as one space, so one pass does both.
+    return F.trim(F.regexp_replace(c, "[^a-z0-9+#./-]+", " "))
 
 
 def slugify_skill(c: Column | str) -> Column:

@@ -71,7 +71,7 @@ def probe_companies(companies: DataFrame, responses: DataFrame) -> DataFrame:
     A token counts only when it returned jobs and, where the board names its owner,
     the names agree.  The first platform and token in probing order win.
     """
-    tokens = companies.select("company", F.posexplode(candidate_tokens("company")).alias("token_order", "token"))
+    tokens = companies.select("company", F.posexplode_outer(candidate_tokens("company")).alias("token_order", "token"))
     order: Column = F.array_position(F.array(*[F.lit(a) for a in PROBE_ORDER]), F.col("ats"))
     hits = (
         tokens.join(responses.filter("jobs > 0"), "token")

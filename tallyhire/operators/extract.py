@@ -4,13 +4,13 @@ A scan of every spelling against every text is a theta join.  Here it stays insi
 the row: the text is split into tokens once, tokens are intersected with the anchor
 token of each spelling, and only the spellings whose anchor occurs are verified with
 the boundary pattern.  Every spelling contains an alphanumeric run and a boundary
-match forces that run to be a whole token, so the prefilter loses nothing.  The whole
-operator is one narrow pass over the text: no explode before verification, no shuffle.
+match forces that run to be a whole token, so the prefilter loses nothing; a spelling
+that is nothing but its anchor needs no pattern at all.  The whole operator is one
+narrow pass over the text: no explode before verification, no shuffle.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from functools import lru_cache
 
@@ -20,10 +20,6 @@ from tallyhire import vocab
 from tallyhire.functions import text as tx
 
 LOOKBACK = 600
-_TERM = (
-    "struct<rank: int, term: string, slug: string, label: string, category: string, "
-    "pattern: string, ambiguous: boolean, spellings: array<string>>"
-)
 
 
 def _bounded(term: str) -> str:
@@ -34,64 +30,97 @@ def _anchor(term: str) -> str:
     return max(re.findall("[a-z0-9]+", term), key=len)
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_map(entries: dict[str, list[str]]) -> str:
+    return "map(" + ", ".join(f"{_sql(k)}, array({', '.join(v)})" for k, v in entries.items()) + ")"
+
+
+@lru_cache(maxsize=1)
+def _anchors() -> tuple[str, ...]:
+    return tuple(dict.fromkeys(_anchor(t.term) for t in vocab.search_terms()))
+
+
 @lru_cache(maxsize=1)
 def _terms_by_anchor() -> str:
-    table: dict[str, list] = {}
+    """anchor -> terms, as a constant map expression (folded once by the optimizer)."""
+    table: dict[str, list[str]] = {}
     for t in vocab.search_terms():
-        s = vocab.by_slug()[t.slug]
-        table.setdefault(_anchor(t.term), []).append({
-            "rank": t.rank, "term": t.term, "slug": t.slug, "label": s.label, "category": s.category,
-            "pattern": _bounded(t.term), "ambiguous": t.ambiguous,
-            "spellings": [f"(?i){_bounded(sp)}" for sp in s.spellings()],
-        })
-    return json.dumps(table)
+        s, anchor = vocab.by_slug()[t.slug], _anchor(t.term)
+        pattern = "CAST(NULL AS STRING)" if anchor == t.term else _sql(_bounded(t.term))
+        table.setdefault(anchor, []).append(
+            f"named_struct('rank', {t.rank}, 'term', {_sql(t.term)}, 'slug', {_sql(t.slug)}, 'label', {_sql(s.label)}, "
+            f"'category', {_sql(s.category)}, 'pattern', {pattern}, 'ambiguous', {str(t.ambiguous).lower()})"
+        )
+    return _sql_map(table)
 
 
-def _vocabulary() -> tuple[Column, Column]:
-    """Anchor tokens, and anchor -> candidate terms; both fold to literals."""
-    blob = _terms_by_anchor()
-    anchors = F.array(*[F.lit(a) for a in json.loads(blob)])
-    return anchors, F.from_json(F.lit(blob), f"map<string, array<{_TERM}>>")
+@lru_cache(maxsize=1)
+def _spellings_by_slug() -> str:
+    return _sql_map({s.slug: [_sql(f"(?i){_bounded(sp)}") for sp in s.spellings()] for s in vocab.skills()})
+
+
+def spelling_patterns(slug: Column) -> Column:
+    """Boundary patterns of every way a skill is written."""
+    return F.element_at(F.expr(_spellings_by_slug()), slug)
 
 
 def has_skill_context(original: Column, term: str) -> Column:
-    """Does an ambiguous name look like a skill here?  A verb continuation anywhere rejects it outright."""
+    """Does an ambiguous name look like a skill in this lower-cased text?
+
+    A verb continuation anywhere rejects it outright.
+    """
     t = re.escape(term)
     sp = tx.WS
-    as_verb = rf"(?i)\b{t}[{tx.SPACE}-]+(?:{'|'.join(vocab.VERB_CONTINUATIONS)})\b"
-    in_list = rf"(?i)(?:[,/|•·:]{sp}*{t}\b)|(?:\b{t}{sp}*[,/|])"
-    adjacent = rf"(?i)\b(?:{'|'.join(vocab.ADJACENT_CUES)}){sp}+(?:the{sp}+)?{t}\b"
-    strong = rf"(?i)\b(?:{'|'.join(vocab.STRONG_CUES)})\b[^.!?\n]{{0,18}}\b{t}\b"
-    noun = rf"(?i)\b{t}{sp}+(?:{'|'.join(vocab.TECH_NOUNS)})\b"
-    return ~original.rlike(as_verb) & (
-        original.rlike(in_list) | original.rlike(adjacent) | original.rlike(strong) | original.rlike(noun)
+    as_verb = rf"\b{t}[{tx.SPACE}-]+(?:{'|'.join(vocab.VERB_CONTINUATIONS)})\b"
+    in_list = rf"(?:[,/|•·:]{sp}*{t}\b)|(?:\b{t}{sp}*[,/|])"
+    adjacent = rf"\b(?:{'|'.join(vocab.ADJACENT_CUES)}){sp}+(?:the{sp}+)?{t}\b"
+    strong = rf"\b(?:{'|'.join(vocab.STRONG_CUES)})\b[^.!?\n]{{0,18}}\b{t}\b"
+    noun = rf"\b{t}{sp}+(?:{'|'.join(vocab.TECH_NOUNS)})\b"
+    return original.contains(term) & ~original.rlike(as_verb) & (
+        original.rlike(in_list) | original.rlike(adjacent) | original.rlike(noun) | original.rlike(strong)
     )
 
 
 def _last_cue(before: Column, cues: tuple[str, ...]) -> Column:
-    """Start of the last cue, -1 when none: a greedy prefix stops at the last position any cue matches."""
-    pattern = rf"(?s)\A(.*)(?:{'|'.join(re.escape(c) for c in cues)})"
-    return F.when(before.rlike(pattern), F.length(F.regexp_extract(before, pattern, 1))).otherwise(-1)
+    """Start of the last cue, -1 when none: a greedy prefix stops at the last position any cue matches.
+
+    ``before`` carries one leading character, so an empty prefix means no cue.
+    """
+    pattern = rf"(?s)\A(.+)(?=(?:{'|'.join(re.escape(c) for c in cues)}))"
+    return F.length(F.regexp_extract(before, pattern, 1)) - 1
 
 
 def requirement_at(text: Column, position: Column) -> Column:
     """required / preferred from the nearest cue in the 600 characters before a 1-based position."""
-    before = F.substring(text, F.greatest(position - LOOKBACK, F.lit(1)), F.least(position - 1, F.lit(LOOKBACK)))
-    later = _last_cue(before, vocab.PREFERRED_CUES) > _last_cue(before, vocab.REQUIRED_CUES)
-    return F.when(later, "preferred").otherwise("required")
+    before = F.concat(F.lit("~"), F.substring(
+        text, F.greatest(position - LOOKBACK, F.lit(1)), F.least(position - 1, F.lit(LOOKBACK))))
+
+    def compare(b: Column) -> Column:
+        preferred = tx.let(_last_cue(b, vocab.PREFERRED_CUES), lambda p: (p >= 0) & (
+            p > F.when(p >= 0, _last_cue(b, vocab.REQUIRED_CUES))))
+        return F.when(preferred, "preferred").otherwise("required")
+
+    return tx.let(before, compare)
 
 
 def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "skills") -> DataFrame:
-    """Add ``out``: array of (ordinal, slug, label, category, requirement, evidence, spellings).
+    """Add ``out``: array of (ordinal, slug, label, category, requirement, evidence).
 
     ``flat`` skips the required/preferred split (résumés have none).
     """
-    anchors, table = _vocabulary()
-    scratch = ["_norm", "_orig", "_hits", "_ctx", "_found"]
+    table = F.expr(_terms_by_anchor())
+    scratch = ["_norm", "_orig", "_hits", "_ctx", "_found", "_soft"]
+    any_preferred = "|".join(re.escape(c) for c in vocab.PREFERRED_CUES)
     staged = (
         df.withColumn("_norm", tx.normalise_skill_text(F.coalesce(text, F.lit(""))))
         .withColumn("_orig", F.lower(F.coalesce(text, F.lit(""))))
-        .withColumn("_hits", F.array_intersect(F.array_distinct(F.split("_norm", "[^a-z0-9]+")), anchors))
+        .withColumn("_hits", F.array_intersect(
+            F.array_distinct(F.split("_norm", "[^a-z0-9]+")), F.array(*[F.lit(a) for a in _anchors()])))
+        # A text without any preferred cue needs no look-back.
+        .withColumn("_soft", F.lit(False) if flat else F.col("_norm").rlike(any_preferred))
     )
     hits, norm, orig = F.col("_hits"), F.col("_norm"), F.col("_orig")
     contexts = [
@@ -102,7 +131,7 @@ def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "ski
     candidates = F.flatten(F.transform(hits, lambda h: F.element_at(table, h)))
     verified = F.filter(
         candidates,
-        lambda t: norm.contains(t["term"]) & F.rlike(norm, t["pattern"])
+        lambda t: (t["pattern"].isNull() | (norm.contains(t["term"]) & F.rlike(norm, t["pattern"])))
         & (~t["ambiguous"] | F.array_contains(F.col("_ctx"), t["term"])),
     )
     # Scan order is longest spelling first; the first verified spelling of a slug wins.
@@ -110,10 +139,10 @@ def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "ski
     winners = F.filter("_found", lambda t, i: F.array_position(F.col("_found.slug"), t["slug"]) == i + 1)
 
     def row(t: Column, i: Column) -> Column:
-        need = F.lit("required") if flat else requirement_at(norm, F.position(t["term"], norm))
+        need = F.when(F.col("_soft"), requirement_at(norm, F.position(t["term"], norm))).otherwise("required")
         return F.struct(
             i.alias("ordinal"), t["slug"].alias("slug"), t["label"].alias("label"), t["category"].alias("category"),
-            need.alias("requirement"), t["term"].alias("evidence"), t["spellings"].alias("spellings"),
+            need.alias("requirement"), t["term"].alias("evidence"),
         )
 
     return staged.withColumn(out, F.transform(winners, row)).drop(*scratch)
@@ -122,7 +151,8 @@ def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "ski
 def extract_skills(df: DataFrame, key: str, text: Column, flat: bool = False) -> DataFrame:
     """One row per (key, skill) in scan order."""
     found = with_skills(df.select(F.col(key), text.alias("_text")), F.col("_text"), flat, "_skills")
-    return found.select(key, F.inline("_skills")).drop("spellings")
+    # An outer generator keeps the optimizer from copying the whole scan into an inferred size filter.
+    return found.select(key, F.inline_outer("_skills")).filter(F.col("slug").isNotNull())
 
 
 # -- lists a source already handed over ---------------------------------------
@@ -197,6 +227,6 @@ def normalise_skill_list(df: DataFrame, key: str, labels: str, learned: DataFram
     """(key, array of written skills) -> one row per distinct slug; the first spelling is the evidence."""
     from tallyhire.operators.skew import first_by
 
-    each = df.select(key, F.posexplode(labels).alias("ordinal", "evidence"))
+    each = df.select(key, F.posexplode_outer(labels).alias("ordinal", "evidence")).filter(F.col("evidence").isNotNull())
     resolved = resolve_labels(each, "evidence", learned).filter(F.col("slug").isNotNull())
     return label_skills(first_by(resolved, [key, "slug"], ["ordinal"])).withColumn("requirement", F.lit("required"))

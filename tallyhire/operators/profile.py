@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire import vocab
 from tallyhire.functions.text import strip
-from tallyhire.operators.extract import with_skills
+from tallyhire.operators.extract import spelling_patterns, with_skills
 from tallyhire.operators.skew import bounded_broadcast
 from tallyhire.operators.upsert import COALESCE_OLD_NEW, KEEP_OLD, TAKE_NEW, upsert
 
@@ -29,7 +29,7 @@ def profile_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def measure(s: Column) -> Column:
         mentions = F.aggregate(
-            s["spellings"], F.lit(0), lambda n, p: n + F.regexp_count(F.col("_text"), p)
+            spelling_patterns(s["slug"]), F.lit(0), lambda n, p: n + F.regexp_count(F.col("_text"), p)
         )
         shown = F.concat(
             F.lit(r"(?i)(?<![a-z0-9])\Q"), s["evidence"], F.lit(r"\E(?![a-z0-9])")
@@ -43,7 +43,7 @@ def profile_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
             mentions.alias("mentions"), F.when(trimmed != "", trimmed).alias("evidence"),
         )
 
-    measured = found.select(key, F.inline(F.transform("_skills", measure)))
+    measured = found.select(key, F.inline_outer(F.transform("_skills", measure))).filter(F.col("skill").isNotNull())
     return measured.withColumn("level", level_from_mentions(F.col("mentions")))
 
 

@@ -19,7 +19,7 @@ def parse_robots(files: DataFrame, agent: str) -> DataFrame:
     rules gathered from it; hosts are spread over the cluster.
     """
     lines = files.select(
-        "host", F.posexplode(F.split(F.substring("body", 1, BODY_CHARS), r"\r?\n")).alias("pos", "line")
+        "host", F.posexplode_outer(F.split(F.substring("body", 1, BODY_CHARS), r"\r?\n")).alias("pos", "line")
     ).withColumn("line", F.trim(F.regexp_replace("line", r"#[\s\S]*", ""))).filter(F.col("line").contains(":"))
     fields = lines.select(
         "host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"),

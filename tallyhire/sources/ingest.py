@@ -94,8 +94,8 @@ def to_skill_rows(raw: DataFrame, resolve_aliases: bool = True, learned: DataFra
     """
     each = raw.select(
         job_id(F.col("engine"), F.col("native_id"), F.col("apply_url")).alias("job_id"), "seq", "pos",
-        F.posexplode("skills").alias("ordinal", "label"),
-    )
+        F.posexplode_outer("skills").alias("ordinal", "label"),
+    ).filter(F.col("label").isNotNull())
     keyed = (
         resolve_labels(each, "label", learned, "skill") if resolve_aliases
         else each.withColumn("skill", nonblank(F.lower(F.trim("label"))))

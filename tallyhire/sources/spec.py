@@ -87,8 +87,8 @@ def records(spec: SourceSpec, payloads: DataFrame) -> DataFrame:
     extra = parsed["name"] if spec.envelope.startswith("name ") else F.lit(None).cast("string")
     return usable.select(
         "seq", "board_company", "board_token", extra.alias("envelope_name"),
-        F.posexplode(items).alias("pos", "raw"),
-    ).withColumn("rec", F.from_json("raw", spec.record)).filter(F.col("rec").isNotNull())
+        F.posexplode_outer(items).alias("pos", "raw"),
+    ).filter(F.col("raw").isNotNull()).withColumn("rec", F.from_json("raw", spec.record)).filter(F.col("rec").isNotNull())
 
 
 def read_source(spec: SourceSpec, payloads: DataFrame, query: SearchQuery, now: Column) -> DataFrame:

@@ -32,6 +32,18 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
      .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
 
 
+def run_batches(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain in update mode: every touched window is written per micro-batch, open ones included.
+
+    A reader keeps the newest value per window.  A replayed batch overwrites its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    (df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def upsert_each_batch(stream: DataFrame, checkpoint: str, read: Callable[[], DataFrame],
                       write: Callable[[DataFrame, int], None],
                       merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:

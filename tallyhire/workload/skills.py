@@ -131,7 +131,7 @@ def _(w):
 
 
 @register("M04_normalise_skill_list", query("""
-    SELECT brand, slug, coalesce(v.label, r.slug) AS label, coalesce(v.category, 'other') AS category, evidence, 'required' AS requirement FROM (
+    SELECT brand, r.slug, coalesce(v.label, r.slug) AS label, coalesce(v.category, 'other') AS category, evidence, 'required' AS requirement FROM (
       SELECT brand, slug, evidence FROM (SELECT p.p_brand AS brand, r.slug, r.label AS evidence, r.p_partkey FROM resolved r JOIN part p ON p.p_partkey = r.p_partkey
         WHERE r.slug IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY brand, slug ORDER BY p_partkey) = 1) r
     LEFT JOIN vocabulary v ON v.slug = r.slug""", vocabulary=VOCAB_VALUES, **RESOLVED))
