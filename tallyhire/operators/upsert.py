@@ -70,7 +70,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], rules: Map
     keys = list(keys)
     folded = fold_batch(source, keys, rules, order).drop("_rows")
     values = [c for c in target.columns if c not in keys]
-    types = {f.name: f.dataType for f in target.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in target.schema.fields}
     s_cols = [
         (F.col(v) if v in folded.columns else F.lit(None)).cast(types[v]).alias(f"_s_{v}") for v in values
     ] + [F.col(v).alias(f"_s_{v}") for v in folded.columns if v not in types]

@@ -83,10 +83,15 @@ def _texts(c: Column, most: int, longest: int, shortest: int = 0) -> Column:
 # -- normalise ----------------------------------------------------------------
 
 
-def normalise_candidates(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    return jobs.filter(
+def _first(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """The leading rows; with no limit every row, unsorted, so nothing is gathered."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def normalise_candidates(jobs: DataFrame, limit: int | None = 100) -> DataFrame:
+    return _first(jobs.filter(
         F.col("seniority").isNull() & (F.col("description") != "") & F.col("canonical_id").isNull()
-    ).orderBy("id").limit(limit)
+    ), limit, "id")
 
 
 NORMALISED = (
@@ -107,7 +112,7 @@ def _valid_normalised(r: Column) -> Column:
     )
 
 
-def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
     """Jobs with the judge's reading folded in, and the per-row results."""
     picked = normalise_candidates(jobs, limit)
     prompt = F.concat("title", F.lit("\n"), F.coalesce("location", F.lit("")), F.lit("\n\n"),
@@ -132,29 +137,29 @@ def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int = 100) -> tuple[Dat
 # -- skills -------------------------------------------------------------------
 
 
-def skill_candidates(jobs: DataFrame, job_skills: DataFrame, limit: int = 100) -> DataFrame:
+def skill_candidates(jobs: DataFrame, job_skills: DataFrame, limit: int | None = 100) -> DataFrame:
     """Postings whose skills a judge has not read yet; one that came back empty is asked again."""
     done = job_skills.filter(F.col("source") == "ai").select(F.col("job_id").alias("id")).distinct()
-    return jobs.filter((F.col("description") != "") & F.col("canonical_id").isNull()).join(
-        done, "id", "left_anti"
-    ).orderBy("id").limit(limit)
+    unread = jobs.filter((F.col("description") != "") & F.col("canonical_id").isNull()).join(done, "id", "left_anti")
+    return _first(unread, limit, "id")
 
 
 def _valid_skills(r: Column) -> Column:
     return _texts(r["required"], 40, 60, 1) & _texts(r["preferred"], 40, 60, 1)
 
 
-def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge, limit: int = 100,
+def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge, limit: int | None = 100,
                           learned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     picked = skill_candidates(jobs, job_skills, limit)
     prompt = F.concat("title", F.lit("\n\n"), F.substring("description", 1, PROMPT_CHARS))
     results = parsed(judge(picked.select(F.col("id").alias("job_id"), prompt.alias("prompt"))),
                      "required array<string>, preferred array<string>", _valid_skills)
-    rows = results.filter(F.col("r").isNotNull()).select("job_id", F.inline(F.concat(*[
-        F.transform(F.col(f"r.{need}"), lambda label, i, need=need, base=base: F.struct(
+    def listed(need: str, base: int) -> Column:
+        return F.transform(F.col(f"r.{need}"), lambda label, i: F.struct(
             label.alias("label"), F.lit(need).alias("requirement"), (i + base).cast("bigint").alias("ordinal")))
-        for need, base in (("required", 0), ("preferred", 40))
-    ])))
+
+    both = F.concat(listed("required", 0), listed("preferred", 40))
+    rows = results.filter(F.col("r").isNotNull()).select("job_id", F.inline_outer(both)).filter(F.col("label").isNotNull())
     resolved = resolve_labels(rows, "label", learned, "skill").filter(F.col("skill").isNotNull()).drop("label")
     return replace_ai_skills(job_skills, label_skills(resolved, "skill").drop("category")), results
 
@@ -162,18 +167,15 @@ def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge,
 # -- score --------------------------------------------------------------------
 
 
-def above_threshold(jobs: DataFrame, matches: DataFrame, done: DataFrame, threshold: float, limit: int = 40,
+def above_threshold(jobs: DataFrame, matches: DataFrame, done: DataFrame, threshold: float, limit: int | None = 40,
                     location: str | None = None) -> DataFrame:
     """Best matches not judged yet, [in one place], duplicates excluded."""
     listed = jobs.filter(F.col("canonical_id").isNull())
     if location and location.strip():
         listed = listed.filter(F.col("location").ilike(f"%{location.strip()}%"))
     good = matches.filter(F.col("match_score") >= threshold).select("job_id", "match_score", "coverage")
-    return (
-        good.join(done.select("job_id"), "job_id", "left_anti")
-        .join(listed.withColumnRenamed("id", "job_id"), "job_id")
-        .orderBy(F.desc("match_score"), "job_id").limit(limit)
-    )
+    open_ = good.join(done.select("job_id"), "job_id", "left_anti").join(listed.withColumnRenamed("id", "job_id"), "job_id")
+    return _first(open_, limit, F.desc("match_score"), "job_id")
 
 
 def capped_score(score: Column, role: Column) -> Column:
@@ -195,7 +197,7 @@ def _valid_score(r: Column) -> Column:
 
 
 def score_jobs(jobs: DataFrame, matches: DataFrame, scores: DataFrame, judge: Judge, threshold: float, now: Column,
-               model: str, limit: int = 40, location: str | None = None,
+               model: str, limit: int | None = 40, location: str | None = None,
                fingerprint: Column | None = None) -> tuple[DataFrame, DataFrame]:
     picked = above_threshold(jobs, matches, scores, threshold, limit, location)
     prompt = F.concat(F.lit("POSTING: "), "title", F.lit(" at "), "company", F.lit("\n\n"),
@@ -248,7 +250,7 @@ def _valid_signals(r: Column) -> Column:
 
 
 def compute_signals(jobs: DataFrame, matches: DataFrame, signals: DataFrame, judge: Judge, threshold: float,
-                    target_min: float | None, target_currency: str, now: Column, limit: int = 40,
+                    target_min: float | None, target_currency: str, now: Column, limit: int | None = 40,
                     location: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Arithmetic for every candidate; a failed judgement costs the tone reading, not the row."""
     picked = above_threshold(jobs, matches, signals, threshold, limit, location)

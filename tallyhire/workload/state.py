@@ -353,7 +353,7 @@ _NORMALISED = ("""'{"seniority":"senior","yearsRequired":4,"employmentType":"con
       FROM (SELECT *, ascii(right(id, 1)) % 5 AS r, id IN (SELECT id FROM jobs WHERE seniority IS NULL AND description <> '' AND canonical_id IS NULL)
         AND ascii(right(id, 1)) % 5 <> 4 AS hit FROM jobs)) GROUP BY ALL"""))
 def _(w):
-    out, _ = jg.normalise_jobs(w.jobs, _stub(_NORMALISED), limit=2_000_000_000)
+    out, _ = jg.normalise_jobs(w.jobs, _stub(_NORMALISED), limit=None)
     keys = ("seniority", "employment_type", "remote", "salary_min", "salary_currency", "salary_period")
     return out.groupBy(*keys).agg(F.count("*").alias("n"))
 
@@ -366,7 +366,7 @@ def _(w):
         AND id NOT IN (SELECT job_id FROM job_skills WHERE source = 'ai')"""))
 def _(w):
     answer = """'{"required":["Apache Kafka","golang"],"preferred":["Go","COBOL"]}'"""
-    out, _ = jg.extract_judged_skills(w.jobs, w.job_skills, _stub(answer), limit=2_000_000_000)
+    out, _ = jg.extract_judged_skills(w.jobs, w.job_skills, _stub(answer), limit=None)
     return out.groupBy("source", "skill", "requirement").agg(F.count("*").alias("n"))
 
 
@@ -378,7 +378,7 @@ _SCORED = """'{"score":' || CAST(1 + """ + _R + """ AS STRING) || ',"reason":"fi
       UNION ALL SELECT CAST(least(1 + r, 2) AS INTEGER), 'fits', 'judge-b' FROM (SELECT ascii(right(m.job_id, 1)) % 5 AS r FROM matches m JOIN jobs j ON j.id = m.job_id
         WHERE m.match_score >= 0.3 AND j.canonical_id IS NULL AND m.job_id NOT IN (SELECT job_id FROM scores)) WHERE r <> 4) GROUP BY ALL"""))
 def _(w):
-    out, _ = jg.score_jobs(w.jobs, w.matches, w.scores, _stub(_SCORED), 0.3, w.now, "judge-b", limit=2_000_000_000)
+    out, _ = jg.score_jobs(w.jobs, w.matches, w.scores, _stub(_SCORED), 0.3, w.now, "judge-b", limit=None)
     reason = F.when(F.col("reason").startswith("fit "), "earlier").otherwise(F.col("reason"))
     return out.groupBy("ai_score", reason.alias("reason"), "model").agg(F.count("*").alias("n"))
 
@@ -396,7 +396,7 @@ _TONE = """'{"wlbScore":3,"evidence":[],"redFlags":["on call"],"greenFlags":[],"
       WHERE m.match_score >= 0.3 AND j.canonical_id IS NULL AND j.id NOT IN (SELECT job_id FROM signals)) GROUP BY ALL"""))
 def _(w):
     signals = w.signals.withColumn("wlb_evidence", F.array().cast("array<struct<quote: string, polarity: string, note: string>>"))
-    out, _ = jg.compute_signals(w.jobs, w.matches, signals, _stub(_TONE), 0.3, 100_000, "USD", w.now, limit=2_000_000_000)
+    out, _ = jg.compute_signals(w.jobs, w.matches, signals, _stub(_TONE), 0.3, 100_000, "USD", w.now, limit=None)
     return out.groupBy("wlb_score", "salary_vs_target", "repost_count").agg(F.count("*").alias("n"))
 
 
