@@ -14,17 +14,17 @@ def _col(c: Column | str) -> Column:
 def parse_posted_at(c: Column | str) -> Column:
     """Any date a source sends, as a timestamp; NULL when it cannot be read."""
     text = F.trim(_col(c))
-    undayed = F.regexp_replace(text, r"^[A-Za-z]{3,9},? +", "")
-    return F.when(
-        text != "",
-        F.coalesce(
-            F.try_to_timestamp(text),
-            F.try_to_timestamp(undayed, F.lit("d MMM yyyy HH:mm:ss z")),
-            F.try_to_timestamp(undayed, F.lit("d MMM yyyy HH:mm:ss Z")),
-            F.try_to_timestamp(undayed, F.lit("d MMM yyyy")),
-            F.try_to_timestamp(text, F.lit("MMM d, yyyy")),
-            F.try_to_timestamp(text, F.lit("MMMM d, yyyy")),
-        ),
+    undayed = F.regexp_replace(text, r"^[A-Za-z]{3,9},? +(?=\d{1,2} )", "")
+    # Each shape is recognised first, so a parser is tried only where it fits.
+    return (
+        F.when(text.rlike(r"^\d{4}"), F.try_to_timestamp(text))
+        .when(undayed.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d\d:\d\d [A-Za-z]"),
+              F.try_to_timestamp(undayed, F.lit("d MMM yyyy HH:mm:ss z")))
+        .when(undayed.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d\d:\d\d [+-]\d"),
+              F.try_to_timestamp(undayed, F.lit("d MMM yyyy HH:mm:ss Z")))
+        .when(undayed.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}$"), F.try_to_timestamp(undayed, F.lit("d MMM yyyy")))
+        .when(text.rlike(r"^[A-Za-z]{3} \d{1,2}, \d{4}$"), F.try_to_timestamp(text, F.lit("MMM d, yyyy")))
+        .when(text.rlike(r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$"), F.try_to_timestamp(text, F.lit("MMMM d, yyyy")))
     )
 
 

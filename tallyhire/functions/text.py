@@ -219,12 +219,13 @@ def json_array(c: Column | str, ddl: str = "string") -> Column:
 
 def model_json(c: Column | str) -> Column:
     """The JSON part of a model answer: the text itself, a fenced block, or the outermost braces."""
-    text = strip(_col(c))
-    fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    braces = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
-    is_json = F.try_parse_json(text).isNotNull() & (text != "")
-    candidate = F.when(is_json, text).when(text.rlike(r"```(?:json)?\s*[\s\S]*?```"), fenced).otherwise(braces)
-    return F.when(F.try_parse_json(candidate).isNotNull(), nonblank(candidate))
+    def candidate(text: Column) -> Column:
+        fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1)
+        braces = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+        is_json = F.try_parse_json(text).isNotNull() & (text != "")
+        return F.when(is_json, text).when(text.rlike(r"```(?:json)?\s*[\s\S]*?```"), fenced).otherwise(braces)
+
+    return let(let(strip(_col(c)), candidate), lambda j: F.when(F.try_parse_json(j).isNotNull(), nonblank(j)))
 
 
 # -- URLs ---------------------------------------------------------------------

@@ -46,15 +46,15 @@ def batch_judge(call: Callable[[str], str]) -> Judge:
 def parsed(answers: DataFrame, ddl: str, valid: Callable[[Column], Column]) -> DataFrame:
     """Answers with ``r`` (the parsed struct, NULL when invalid) and ``problem``.
 
-    Answers are written out first: they feed several outputs and must be asked for once.
+    The outcome is written out: it feeds several outputs and the judge must be asked once.
     """
-    df = settled(answers).withColumn("_json", model_json("answer")).withColumn("_r", F.from_json("_json", ddl))
+    df = answers.withColumn("_json", model_json("answer")).withColumn("_r", F.from_json("_json", ddl))
     ok = F.col("_json").isNotNull() & F.coalesce(valid(F.col("_r")), F.lit(False))
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("_json").isNull(), "not JSON").when(~ok, "does not fit the schema")
     )
-    return df.select("job_id", F.when(problem.isNull(), F.col("_r")).alias("r"), problem.alias("problem"))
+    return settled(df.select("job_id", F.when(problem.isNull(), F.col("_r")).alias("r"), problem.alias("problem")))
 
 
 def stage_summary(results: DataFrame) -> DataFrame:

@@ -35,17 +35,19 @@ _YOUNG = f"(epoch_ms(TIMESTAMP '{d.NOW}') - epoch_ms(posted)) / 86400000.0 <= 15
 _LOOKS = """CASE WHEN regexp_matches(lower({0} || ' ' || title), '\\b(remote|work from home|wfh|anywhere|distributed)\\b') THEN 1
       WHEN regexp_matches(lower({0} || ' ' || title), '\\b(on-?site|in-?office|hybrid)\\b') THEN 0 END"""
 _DAY = "strftime(posted, '%Y-%m-%d')"
+
 def iso() -> Column:
     return F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
+
 def epoch() -> Column:
     return F.unix_seconds("posted")
 
+
 def millis() -> Column:
     return F.unix_millis("posted")
 
 
-
 def s(**fields: Column | str) -> Column:
     return F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in fields.items()])
 
@@ -100,6 +102,7 @@ def source(name: str, body, where: str = "true", kind: str | None = None, failin
 _PAID = {"salary_min": "lo", "salary_max": "hi", "salary_state": "'disclosed'"}
 _KEPT = f"NOT ({FAILED})"
 _TAGGED = f"{_WORDS.format('title || chr(32) || tag')} AND {_YOUNG}"
+
 def _esc() -> Column:
     return F.replace(F.replace("html", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -151,16 +154,18 @@ source("jobicy", lambda: s(jobs=one(s(id="k", url="url", jobTitle="title", compa
                               jobGeo=F.when(F.col("k") % 2 == 0, "anywhere").otherwise(F.col("loc")), jobDescription="html", pubDate=iso()))),
        _TAGGED, location="CASE WHEN k % 2 = 0 THEN 'Remote (worldwide)' ELSE 'Remote (' || loc || ')' END", remote="1",
        employment_type="'ft'", skills="tag")
+
 def _hn() -> Column:
-    return F.concat("co", F.lit(" | "), "title", F.lit(" | "), F.lit("ONSITE "), "loc", F.lit(" | $120k<p>Salary: $100,000 - $120,000</p>"), "html")
+    return F.concat("co", F.lit(" | "), F.replace("title", F.lit(" (Remote)"), F.lit("")), F.lit(" | "), F.lit("ONSITE "), "loc", F.lit(" | $120k<p>Salary: $100,000 - $120,000</p>"), "html")
+
 
 source("hackernews", lambda: s(hits=one(s(objectID="sid", parent_id=F.when(F.col("k") % 3 == 0, F.lit(77)).otherwise(F.col("k")), created_at=iso(), comment_text=_hn()))),
-       f"k % 3 = 0 AND {_WORDS.format('title || chr(32) || co')}", kind="comments",
+       f"(k % 3 = 0 OR k = 77) AND {_WORDS.format('title || chr(32) || co')}", kind="comments",
        more=lambda w: payloads(w, s(hits=F.array(s(objectID=F.lit("76"), title=F.lit("Ask HN: Who wants to be hired? Who is hiring")),
                                                  s(objectID=F.lit("77"), title=F.lit("Ask HN: Who is hiring?")))), "stories"),
        location="'ONSITE ' || loc", apply_url="'https://news.ycombinator.com/item?id=' || sid",
-       description="co || ' | ' || title || ' | ONSITE ' || loc || ' | $120kSalary: $100,000 - $120,000' || chr(10) || plain",
-       remote=_LOOKS.format("'ONSITE ' || loc"), salary_min="100000::DOUBLE", salary_max="120000::DOUBLE", currency="'USD'", salary_state="'parsed'")
+       title="replace(title, ' (Remote)', '')", description="co || ' | ' || replace(title, ' (Remote)', '') || ' | ONSITE ' || loc || ' | $120kSalary: $100,000 - $120,000' || chr(10) || plain",
+       remote=_LOOKS.format("'ONSITE ' || loc").replace("' ' || title", "' '"), salary_min="100000::DOUBLE", salary_max="120000::DOUBLE", currency="'USD'", salary_state="'parsed'")
 source("foundit", lambda: s(jobSearchResponse=s(data=F.array(*[s(jobId="k", title="title", companyName="co", locations="loc", redirectUrl=F.lit(""),
                                                         seoJdUrl=F.concat(F.lit("job/"), "sid"), createdAt=millis(), skills=F.concat("tag", F.lit(", sql")),
                                                         minimumSalary=s(currency=F.lit(None).cast("string"), absoluteValue="lo"), maximumSalary=s(absoluteValue=F.lit(0)),
@@ -176,9 +181,11 @@ source("adzuna", lambda: s(results=one(s(id="sid", title="title", description="s
                                  location=s(display_name="loc"), category=s(label="tag")))), _TAGGED, description="trim(snippet)",
        description_complete="0", remote="NULL::INTEGER", salary_min="lo", salary_max="hi", currency="'INR'",
        salary_state="CASE WHEN k % 2 = 0 THEN 'estimated' ELSE 'disclosed' END")
+
 def _from() -> Column:
     return F.concat(F.lit("₹"), (F.col("k") % 9 + 10).cast("string"), F.lit(",00,000 - ₹30,00,000 per year"))
 
+
 source("careerjet", lambda: s(jobs=F.array(*[s(title="title", description="snippet", company="co", locations="loc", url="url", salary=_from(),
                                        date=F.date_format("posted", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))] * 2)), _WORDS.format("title"), native="url",
        description="trim(snippet)", description_complete="0", salary_min="((k % 9 + 10) * 100000)::DOUBLE", salary_max="3000000::DOUBLE",
