@@ -17,6 +17,16 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if small else df
 
 
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer tasks than the cluster has cores, before costly per-row work.
+
+    For narrow plans over files only.  An input large enough to fill the cluster is left
+    alone, so nothing is shuffled when it would cost something.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str]) -> DataFrame:
     """Left join to a side that is unique per key, without sending a heavy key to one task.
 

@@ -10,6 +10,7 @@ from tallyhire import vocab
 from tallyhire.operators import extract as ex
 from tallyhire.operators import match as mt
 from tallyhire.operators import profile as pf
+from tallyhire.operators.skew import fill_cores
 from tallyhire.workload import derive as d
 from tallyhire.workload.registry import register
 from tallyhire.workload.scalars import WRITTEN, sql_skill_text, sql_slug
@@ -72,13 +73,14 @@ SCAN_SQL = "SELECT key, f.slug, v.label, v.category, requirement, term AS eviden
 
 @register("M01_extract_skills_jobs", query(SCAN_SQL, vocabulary=VOCAB_VALUES, **extraction(JOB_TEXTS)))
 def _(w):
-    return ex.extract_skills(w.jobs.withColumnRenamed("id", "key"), "key", F.concat_ws("\n", "title", "description"))
+    texts = fill_cores(w.jobs.select(F.col("id").alias("key"), "title", "description"))
+    return ex.extract_skills(texts, "key", F.concat_ws("\n", "title", "description"))
 
 
 @register("M01_extract_skills_documents", query(SCAN_SQL, vocabulary=VOCAB_VALUES,
                                                 **extraction("SELECT doc_id AS key, text AS t FROM documents")))
 def _(w):
-    return ex.extract_skills(w.raw("documents").withColumnRenamed("doc_id", "key"), "key", F.col("text"))
+    return ex.extract_skills(fill_cores(w.raw("documents").select(F.col("doc_id").alias("key"), "text")), "key", F.col("text"))
 
 
 @register("M02_ambiguous_context", query(f"""
@@ -93,7 +95,7 @@ def _(w):
 @register("M03_requirement_split", query(
     "SELECT requirement, slug, count(*) AS n FROM scan_found GROUP BY requirement, slug", **extraction(JOB_TEXTS)))
 def _(w):
-    found = ex.extract_skills(w.jobs, "id", F.concat_ws("\n", "title", "description"))
+    found = ex.extract_skills(fill_cores(w.jobs.select("id", "title", "description")), "id", F.concat_ws("\n", "title", "description"))
     return found.groupBy("requirement", "slug").agg(F.count("*").alias("n"))
 
 
@@ -165,7 +167,7 @@ SPELLINGS = "SELECT * FROM (VALUES " + ", ".join(
     JOIN vocabulary v ON v.slug = f.slug""", vocabulary=VOCAB_VALUES, spellings=SPELLINGS,
     **extraction("SELECT doc_id AS key, text AS t FROM documents")))
 def _(w):
-    return pf.profile_from_text(w.raw("documents").withColumnRenamed("doc_id", "key"), "key", "text")
+    return pf.profile_from_text(fill_cores(w.raw("documents").select(F.col("doc_id").alias("key"), "text")), "key", "text")
 
 
 @register("X43_level_from_mentions", query("""
