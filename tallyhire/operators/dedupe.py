@@ -45,7 +45,7 @@ def canonical_picks(jobs: DataFrame) -> DataFrame:
 def assign_canonical(jobs: DataFrame) -> DataFrame:
     """Jobs with ``canonical_id`` set on duplicates and NULL on canonical and single postings."""
     keyed = with_keys(jobs)
-    joined = spread_join(keyed, canonical_picks(jobs).drop("copies"), KEYS, ["id"])
+    joined = spread_join(keyed, canonical_picks(jobs), KEYS, ["id"], weight="copies")
     dup = F.col("canonical").isNotNull() & (F.col("canonical") != F.col("id"))
     return joined.withColumn("canonical_id", F.when(dup, F.col("canonical"))).select(*jobs.columns)
 
@@ -55,6 +55,6 @@ def repost_counts(jobs: DataFrame) -> DataFrame:
     pair = ["company", "title"]
     base = jobs.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in pair])
     counts = base.groupBy(*pair).agg(F.count("*").alias("repost_count"))
-    return spread_join(base, counts, pair, ["id"]).select(
+    return spread_join(base, counts, pair, ["id"], weight="repost_count").select(
         "id", F.greatest("repost_count", F.lit(1)).alias("repost_count")
     )

@@ -27,21 +27,27 @@ def fill_cores(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str]) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
+                weight: str | None = None) -> DataFrame:
     """Left join to a side that is unique per key, without sending a heavy key to one task.
 
     The heaviest ``HOT_KEYS`` keys of the left side are answered by a broadcast of at
     most that many right rows.  Their left rows then carry a salt that matches nothing
     on the right, so the shuffle join scatters them; every other key has salt 0.  A key
-    outside the broadcast holds at most 1/``HOT_KEYS`` of the rows.
+    outside the broadcast holds at most 1/``HOT_KEYS`` of the rows.  ``weight`` names a
+    right column that already counts the left rows of the key, which saves counting them.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    heavy = (
-        left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
-        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
-    )
-    hot = right.join(F.broadcast(heavy), keys, "left_semi").select(*keys, F.struct(*values).alias("_hot"))
+    if weight is not None:
+        hot = right.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    else:
+        heavy = (
+            left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
+            .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
+        )
+        hot = right.join(F.broadcast(heavy), keys, "left_semi")
+    hot = hot.select(*keys, F.struct(*values).alias("_hot"))
     cold = right.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
     no_key = F.lit(False)
     for k in keys:

@@ -73,7 +73,7 @@ SCAN_SQL = "SELECT key, f.slug, v.label, v.category, requirement, term AS eviden
 
 @register("M01_extract_skills_jobs", query(SCAN_SQL, vocabulary=VOCAB_VALUES, **extraction(JOB_TEXTS)))
 def _(w):
-    texts = fill_cores(w.jobs.select(F.col("id").alias("key"), "title", "description"))
+    texts = w.jobs.select(F.col("id").alias("key"), "title", "description")
     return ex.extract_skills(texts, "key", F.concat_ws("\n", "title", "description"))
 
 
@@ -95,7 +95,7 @@ def _(w):
 @register("M03_requirement_split", query(
     "SELECT requirement, slug, count(*) AS n FROM scan_found GROUP BY requirement, slug", **extraction(JOB_TEXTS)))
 def _(w):
-    found = ex.extract_skills(fill_cores(w.jobs.select("id", "title", "description")), "id", F.concat_ws("\n", "title", "description"))
+    found = ex.extract_skills(w.jobs.select("id", "title", "description"), "id", F.concat_ws("\n", "title", "description"))
     return found.groupBy("requirement", "slug").agg(F.count("*").alias("n"))
 
 

@@ -13,6 +13,18 @@ from tallyhire.operators.skew import first_by
 from tallyhire.workload import derive as d
 
 
+_THIN: dict[tuple[str, str], bool] = {}
+
+
+def thin_scan(spark: SparkSession, folder: str, name: str) -> bool:
+    """Does this scan have fewer tasks than there are cores?  Looked up once per file."""
+    key = (folder, name)
+    if key not in _THIN:
+        tasks = spark.read.parquet(f"{folder}/{name}.parquet").rdd.getNumPartitions()
+        _THIN[key] = tasks < spark.sparkContext.defaultParallelism
+    return _THIN[key]
+
+
 class World:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -24,7 +36,11 @@ class World:
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
     def derived(self, spec: d.Derived) -> DataFrame:
-        return self.raw(spec.source).filter(spec.where).selectExpr(*spec.exprs())
+        """A derived table.  A given file too small to occupy the cores is spread first; larger ones are not touched."""
+        base = self.raw(spec.source)
+        if thin_scan(self.spark, self.folder, spec.source):
+            base = base.repartition(self.spark.sparkContext.defaultParallelism)
+        return base.filter(spec.where).selectExpr(*spec.exprs())
 
     @property
     def now(self) -> Column:
