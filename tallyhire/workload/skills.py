@@ -132,16 +132,21 @@ def _(w):
     return ex.label_skills(counted, "skill")
 
 
-@register("M04_normalise_skill_list", query("""
-    SELECT brand, r.slug, coalesce(v.label, r.slug) AS label, coalesce(v.category, 'other') AS category, evidence, 'required' AS requirement FROM (
-      SELECT brand, slug, evidence FROM (SELECT p.p_brand AS brand, r.slug, r.label AS evidence, r.p_partkey FROM resolved r JOIN part p ON p.p_partkey = r.p_partkey
-        WHERE r.slug IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY brand, slug ORDER BY p_partkey) = 1) r
-    LEFT JOIN vocabulary v ON v.slug = r.slug""", vocabulary=VOCAB_VALUES, **RESOLVED))
+# Three spellings per part; the second and third often name the skill of the first.
+LISTED = "SELECT p_partkey, label, ordinal FROM (SELECT p_partkey, unnest([label, upper(label), 'K8s']) AS label, unnest([0, 1, 2]) AS ordinal FROM written)"
+
+
+@register("M04_normalise_skill_list", query(f"""
+    SELECT r.p_partkey, r.slug, coalesce(v.label, r.slug) AS label, coalesce(v.category, 'other') AS category, r.evidence, 'required' AS requirement FROM (
+      SELECT p_partkey, slug, label AS evidence FROM (SELECT w.p_partkey, w.label, w.ordinal, CASE WHEN n = '' THEN NULL WHEN a.canonical IS NOT NULL THEN a.canonical
+          WHEN length(n) < 2 OR s = '' THEN NULL ELSE coalesce(b.canonical, s) END AS slug
+        FROM (SELECT *, {sql_skill_text('label')} AS n, {sql_slug('label')} AS s FROM listed) w
+        LEFT JOIN aliases a ON a.alias = w.n LEFT JOIN aliases b ON b.alias = w.s) WHERE slug IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY p_partkey, slug ORDER BY ordinal) = 1) r
+    LEFT JOIN vocabulary v ON v.slug = r.slug""", vocabulary=VOCAB_VALUES, listed=LISTED, aliases=ALIAS_VALUES, **WRITTEN))
 def _(w):
-    written = w.derived(d.WRITTEN).join(w.raw("part").select("p_partkey", F.col("p_brand").alias("brand")), "p_partkey")
-    lists = written.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "label"))).alias("l"))
-    out = ex.normalise_skill_list(lists.select("brand", F.col("l.label").alias("labels")), "brand", "labels")
-    return out.drop("ordinal")
+    lists = w.derived(d.WRITTEN).select("p_partkey", F.array("label", F.upper("label"), F.lit("K8s")).alias("labels"))
+    return ex.normalise_skill_list(lists, "p_partkey", "labels").drop("ordinal")
 
 
 def _twice(s: str) -> str:
