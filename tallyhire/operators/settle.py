@@ -7,14 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a private one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names for checkpoints.
+
+    A session whose executors are threads of the driver (``local[…]``) may leave it unset and gets a private
+    folder, once.  On a cluster an unset folder is an error: executors would each write to their own disk.
+    """
+    folder = spark.conf.get(SETTING, None)
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="tallyhire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tallyhire-')}"
+        spark.conf.set(SETTING, folder)
+    return folder.rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
