@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyhire.llm.common import as_bytes, slices
+from tallyhire.llm.common import slices
 
 WINDOW = 2048
 CLOSING_ID = 1
@@ -38,9 +38,9 @@ ID_BYTES = 4
 HIGH, LOW = 6144, 2048
 #: Bits of a sequence number below the partition, as in Spark's own increasing ids.
 PARTITION_BITS = 33
-#: Cached words per worker; the cache starts anew beyond it, which costs time and changes no result.
-CACHE_WORDS = 400_000
-JOINED_WORDS = 4096
+#: Cached parts of words per worker; the cache starts anew beyond it, which costs time and changes no result.
+CACHE_PARTS = 1_500_000
+JOINED_PARTS = 4096
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -50,15 +50,17 @@ PIECES_DDL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 class WordEncoder:
-    """Ids of a text as little-endian 32-bit bytes, by a tokenizer that never joins across ASCII white space.
+    """Ids of a text as little-endian 32-bit bytes, by a tokenizer that splits words by a fixed pattern.
 
-    Texts are split at white space and equal words are encoded once.  A word of ASCII and Latin-1 letters, whose
-    normal form and lower case do not depend on context, is looked up by its parts; any other word, and every word
-    that could hold a special token, goes to the tokenizer whole.
+    A text of ASCII and Latin-1 letters, whose normal form and lower case do not depend on context, is split into the
+    parts that the tokenizer itself would encode one by one, and every distinct part is encoded once.  Other texts are
+    split at ASCII white space, across which the tokenizer never joins; their words of other characters, and those that
+    could hold a special token, go to the tokenizer whole.
     """
 
-    PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PLAIN = re.compile(r"[\x20-\x7e\t-\rÀ-ÖØ-öø-ÿ]*")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+    WORDS = re.compile(r"[^ \t-\r]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -67,7 +69,6 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> bytes:
@@ -84,29 +85,28 @@ class WordEncoder:
             self.parts[part] = data[start:stop]
             start = stop
 
-    def _learn_words(self, unseen: set[bytes]) -> None:
-        plain: dict[bytes, list[str]] = {}
-        for word in unseen:
-            text = word.decode("utf-8", "replace")
-            if "<|" in text or not self.PLAIN.fullmatch(text):
-                self.words[word] = self._encoded(text)
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text and self.PLAIN.fullmatch(text):
+            return self.PARTS.findall(text.lower())
+        out = []
+        for word in self.WORDS.findall(text):
+            if "<|" not in word and self.PLAIN.fullmatch(word):
+                out += self.PARTS.findall(word.lower())
             else:
-                plain[word] = self.PARTS.findall(text.lower())
-        parts = self.parts
-        fresh = list(set(chain.from_iterable(plain.values())).difference(parts))
-        for at in range(0, len(fresh), JOINED_WORDS):
-            self._learn(fresh[at:at + JOINED_WORDS])
-        for word, own in plain.items():
-            self.words[word] = b"".join([parts[part] for part in own])
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.words.clear()
+                if word not in self.parts:
+                    self.parts[word] = self._encoded(word)
+                out.append(word)
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        split = [text.split() for text in texts]
-        found = [list(map(self.words.get, own)) for own in split]
-        self._learn_words({w for own, ids in zip(split, found) if None in ids for w, i in zip(own, ids) if i is None})
-        return [b"".join(ids if None not in ids else map(self.words.__getitem__, own))
+        split = [self._split(text) for text in texts]
+        found = [list(map(self.parts.get, own)) for own in split]
+        fresh = list({p for own, ids in zip(split, found) if None in ids for p, i in zip(own, ids) if i is None})
+        for at in range(0, len(fresh), JOINED_PARTS):
+            self._learn(fresh[at:at + JOINED_PARTS])
+        return [b"".join(ids if None not in ids else map(self.parts.__getitem__, own))
                 for own, ids in zip(split, found)]
 
 
@@ -231,7 +231,7 @@ def packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             return out
 
         for part in slices(batches):
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(as_bytes(part, "text"))):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
                 ids += closing
                 doc_tokens = len(ids) // ID_BYTES
                 whole = len(ids) - len(ids) % wide
