@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import packing, simhash
+from tallyhire.llm import packing, quality, simhash
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -17,12 +17,18 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return quality.scored(documents, quality.fitted(documents, table(spark, folder, "labels")))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
     "op9_packing": op9_packing,
 }
 CHECKS: dict[str, str] = {}
