@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import packing, quality, simhash
+from tallyhire.llm import packing, quality, rules, simhash
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,12 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(documents, quality.fitted(documents, table(spark, folder, "labels")))
 
 
+def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_stop_words", "n_same_as_last", "n_shouted")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
@@ -29,6 +35,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op5_rules": op5_rules,
     "op9_packing": op9_packing,
 }
 CHECKS: dict[str, str] = {}
