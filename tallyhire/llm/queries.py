@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import packing, quality, rules, simhash
+from tallyhire.llm import packing, quality, rules, simhash, toxicity
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -32,10 +32,16 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.scored(documents, toxicity.fitted(documents, table(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op5_rules": op5_rules,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 CHECKS: dict[str, str] = {}
