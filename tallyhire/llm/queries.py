@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import packing, quality, rules, simhash, toxicity
+from tallyhire.llm import chat, mixing, neighbours, packing, pages, quality, rules, simhash, toxicity, warc
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+CHAT_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, folder, "pages"))
 
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,12 +28,28 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(documents, quality.fitted(documents, table(spark, folder, "labels")))
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents")).select("doc_id", "source", "mix_slot", "mix_offset")
+
+
 def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_stop_words", "n_same_as_last", "n_shouted")
 
 
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digests(chat.with_probe(spark, table(spark, folder, "conversations")), public_tokenizers.path(CHAT_TOKENIZER))
+
+
+def op7_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_texts(table(spark, folder, "pages"))
+
+
+def op8_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
@@ -37,11 +59,21 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents, toxicity.fitted(documents, table(spark, folder, "labels")))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_mixing": op4_mixing,
     "op5_rules": op5_rules,
+    "op6_chat": op6_chat,
+    "op7_pages": op7_pages,
+    "op8_neighbours": op8_neighbours,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 CHECKS: dict[str, str] = {}
