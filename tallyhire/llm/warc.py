@@ -4,8 +4,8 @@ Writing makes one archive per task in the shared folder, each record a gzip memb
 file, offset, length, URL, digest, type and page of every record.  The index is settled before anything reads it, so it
 names exactly the files of the task attempts that counted; files of lost attempts are never looked at.
 
-Reading starts from selected index rows.  They are dealt out by file and megabyte-sized ``chunk`` and sorted by offset
-inside a task; neighbours with a gap of at most ``GAP`` bytes become one ranged read of at most about ``READ`` bytes.
+Reading starts from selected index rows.  They are dealt out by file and ``CHUNK`` of it, to as many tasks as their bytes
+call for (index rows are small, so the size of the shuffle would not tell), and sorted by offset inside a task; neighbours with a gap of at most ``GAP`` bytes become one ranged read of at most about ``READ`` bytes.
 
 Which record is the response is settled on digests alone: the largest page_id per payload digest, aggregated before the
 shuffle.  The digests of a hot payload meet their one answer in a join that adaptive execution may split.
@@ -32,8 +32,10 @@ from tallyhire.llm.common import as_bytes, slices
 from tallyhire.operators.settle import run_folder, settled
 
 GAP = 64 * 1024
-READ = 8 * 1024 * 1024
-CHUNK = 32 * 1024 * 1024
+READ = 4 * 1024 * 1024
+CHUNK = 8 * 1024 * 1024
+#: Bytes of archive for one reading task once every core has some.
+TASK = 128 * 1024 * 1024
 GZIP_LEVEL = 1
 LEAST_REVISIT_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -142,8 +144,11 @@ RECORDS_DDL = ("page_id long, url string, record_type string, payload_digest str
                "payload binary")
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
-    """The records of the index rows given; each response's payload is checked against its digest and length."""
+def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of the index rows given; each response's payload is checked against its digest and length.
+
+    Without ``payloads`` the checked payload stays in the task and its column is null.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pafs.FileSystem.from_uri(folder)
         for batch in batches:
@@ -156,17 +161,20 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(f"{top}/{file}") as source:
                     for start, stop, members in ranges([(r["offset"], r["length"]) for r in rows[at:end]]):
                         data = source.read_at(stop - start, start)
-                        yield _unpacked([data[rows[at + i]["offset"] - start:][:rows[at + i]["length"]] for i in members])
+                        yield _unpacked([data[rows[at + i]["offset"] - start:][:rows[at + i]["length"]] for i in members], payloads)
                 at = end
 
+    size = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = 1 + min(size // CHUNK, max(2 * cores, size // TASK))
     chunk = F.floor(F.col("offset") / CHUNK)
     return (
-        index.select("file", "offset", "length").repartition("file", chunk).sortWithinPartitions("file", "offset")
+        index.select("file", "offset", "length").repartition(tasks, "file", chunk).sortWithinPartitions("file", "offset")
         .mapInArrow(run, RECORDS_DDL)
     )
 
 
-def _unpacked(members: list[bytes]) -> pa.RecordBatch:
+def _unpacked(members: list[bytes], payloads: bool) -> pa.RecordBatch:
     rows = []
     for member in members:
         found = parse(zlib.decompress(member, 31))
@@ -175,7 +183,7 @@ def _unpacked(members: list[bytes]) -> pa.RecordBatch:
             raise ValueError(f"damaged record {found['warc-record-id']}")
         rows.append((
             _page_of(found["warc-record-id"]), found.get("warc-target-uri"), kind, name, found["stated"],
-            _page_of(found["warc-refers-to"]) if kind == "revisit" else None, found["payload"] if kind == "response" else None,
+            _page_of(found["warc-refers-to"]) if kind == "revisit" else None, found["payload"] if payloads and kind == "response" else None,
         ))
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays(
@@ -186,4 +194,4 @@ def _unpacked(members: list[bytes]) -> pa.RecordBatch:
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archive all pages and read every record back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     folder = run_folder(spark, "warc")
-    return read(write(pages, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(write(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
