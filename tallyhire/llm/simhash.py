@@ -263,12 +263,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("leader.doc_id").alias("component_id"))
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of ``documents`` without near-duplicates: of every component the row with the smallest doc_id stays.
 
-    A row is known by its place in the scan, so of repeated rows one stays as well.
+    A row is known by its place in the table, so of repeated rows one stays as well.  Places only hold while the rows
+    come in the same order twice: ``stored`` says that ``documents`` is read straight from files; else it is written first.
     """
     place = "__simhash_row"
-    placed = documents.withColumn(place, F.monotonically_increasing_id())
+    placed = (documents if stored else settled(documents)).withColumn(place, F.monotonically_increasing_id())
     kept = classes(placed, ("doc_id", place)).where(F.col(f"leader.{place}") == F.col(place)).select(place)
     return placed.join(kept, place, "left_semi").drop(place)
