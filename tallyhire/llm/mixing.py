@@ -6,7 +6,7 @@ is counted in slots of one block.  In a frame of *L* slots a lane of quota *q* h
 quotas of a frame add up to its slots), and a lane that meets them is at any time less than one block away from its share.
 
 A frame is the same however often it is repeated, so only frames are scheduled and not the blocks: quotas are the weights
-rounded to ``FRAME`` slots, a segment repeats one frame until some lane runs short, one last frame of the segment uses up
+rounded to ``FRAME`` slots, a segment repeats one frame until some lane runs short, one last frame is cut to
 what that lane has left, and the other lanes go on with their weights among themselves.  There are at most twice as many
 segments as lanes, so the whole schedule is bounded by ``MAX_LANES`` and ``FRAME`` and never by the documents; it is joined
 to them by broadcast.  No document is dropped or repeated; a document's place is the slot of the block that it begins in.
@@ -25,7 +25,9 @@ import heapq
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from tallyhire.operators.settle import settled
 
 BLOCK_SIZE = 65_536
 FRAME = 1024
@@ -34,6 +36,8 @@ MAX_LANES = 512
 TEMPER = 0.5
 #: Names of the lanes for a null source and for the sources beyond ``MAX_LANES``; a source's own lane starts with "=".
 NO_SOURCE, SHARED = "-", "+"
+ROW = "__mix_row"
+CHUNK_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -83,21 +87,24 @@ def segments(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int
     """Segments that place every block of every lane."""
     left = {lane: n for lane, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
-    at, out = 0, []
+    out: list[Segment] = []
+
+    def place(times: int, quotas: dict[str, int]) -> None:
+        start = out[-1].start + out[-1].slots * out[-1].repeats if out else 0
+        out.append(Segment(start, sum(quotas.values()), times, quotas, {lane: done[lane] for lane in quotas}))
+        for lane, q in quotas.items():
+            done[lane] += times * q
+            left[lane] -= times * q
+
     while left:
         quotas = apportioned({lane: weights[lane] for lane in left}, max(slots, len(left)))
-        repeats = min(left[lane] // quotas[lane] for lane in left)
-        for times, share in ((repeats, quotas), (1, None)):
-            share = share or {lane: min(quotas[lane], n) for lane, n in left.items()}
-            if times:
-                out.append(Segment(at, sum(share.values()), times, share, {lane: done[lane] for lane in share}))
-                at += times * sum(share.values())
-                for lane, q in share.items():
-                    done[lane] += times * q
-                    left[lane] -= times * q
-            left = {lane: n for lane, n in left.items() if n}
-            if not left:
-                break
+        if repeats := min(left[lane] // quotas[lane] for lane in left):
+            place(repeats, quotas)
+        short = min(left, key=lambda lane: left[lane] / quotas[lane])
+        if left[short]:  # the part of a frame that the shortest lane still fills
+            part = {lane: q * left[short] // quotas[short] for lane, q in quotas.items()}
+            place(1, {lane: q for lane, q in part.items() if q})
+        left = {lane: n for lane, n in left.items() if n}
     return out
 
 
@@ -117,48 +124,55 @@ def lanes(documents: DataFrame, weights: Mapping[str, float] | None, block_size:
     return {name: -(-size // block_size) for name, size in sizes.items()}, weighed, set(own)
 
 
-def mixed(documents: DataFrame, weights: Mapping[str, float] | None = None, block_size: int = BLOCK_SIZE,
-          slots: int = FRAME) -> DataFrame:
-    """All columns of ``documents`` and ``mix_slot``, ``mix_offset``: the slot of the row's block and its place in the lane."""
+def _slots(documents: DataFrame, weights: Mapping[str, float] | None, block_size: int, slots: int) -> DataFrame:
+    """(ROW, mix_slot, mix_offset) of every row of ``documents``, which has a ROW column."""
     spark: SparkSession = documents.sparkSession
     blocks, weighed, own = lanes(documents, weights, block_size)
     plan = segments(blocks, weighed, slots)
-    seen = documents.withColumn("_row", F.monotonically_increasing_id()).withColumn("_size", _sizes(documents))
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE))
-    seen = seen.withColumn("_lane", F.when(name.isin(*own), name).otherwise(SHARED) if own else F.lit(SHARED))
-    seen = seen.withColumn("_chunk", F.shiftright("_row", 10))
+    seen = documents.select(
+        ROW, _sizes(documents).alias("_size"), F.shiftright(ROW, CHUNK_BITS).alias("_chunk"),
+        (F.when(name.isin(*own), name).otherwise(SHARED) if own else F.lit(SHARED)).alias("_lane"))
 
     # what stands before a chunk in its lane: totals per chunk, summed along the lane in two steps of bounded groups
-    totals = seen.groupBy("_lane", "_chunk").agg(F.sum("_size").alias("_sum"))
-    before = _running(totals)
-    from pyspark.sql import Window as W
-
-    inside = W.partitionBy("_lane", "_chunk").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
-    keys = seen.select("_row", "_lane", "_chunk", "_size").join(before, ["_lane", "_chunk"])
-    placed = keys.select("_row", "_lane", (F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).alias("mix_offset"))
+    before = _running(seen.groupBy("_lane", "_chunk").agg(F.sum("_size").alias("_sum")))
+    inside = W.partitionBy("_lane", "_chunk").orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
+    placed = seen.join(before, ["_lane", "_chunk"]).select(
+        ROW, "_lane", (F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).alias("mix_offset"))
     placed = placed.withColumn("_block", F.floor(F.col("mix_offset") / block_size).cast("long"))
 
-    schema = T.StructType().add("_lane", "string").add("_first", "long").add("_after", "long").add("_quota", "long").add(
-        "_start", "long").add("_slots", "long").add("_segment", "long")
+    # both tables are bounded by MAX_LANES and FRAME, whatever the documents
     spans = spark.createDataFrame([
         (lane, s.first[lane], s.first[lane] + s.repeats * q, q, s.start, s.slots, k)
-        for k, s in enumerate(plan) for lane, q in s.quotas.items()], schema)
+        for k, s in enumerate(plan) for lane, q in s.quotas.items()
+    ], "_lane string, _first long, _after long, _quota long, _start long, _slots long, _segment long")
     table = spark.createDataFrame([
         (k, lane, i, slot) for k, s in enumerate(plan) for slot, (lane, i) in enumerate(frame(s.quotas))
     ], "_segment long, _lane string, _in_frame long, _slot long")
-    # both tables are bounded by MAX_LANES and FRAME, whatever the documents
     found = placed.join(F.broadcast(spans), "_lane").where("_block >= _first and _block < _after")
     found = found.withColumn("_in_frame", (F.col("_block") - F.col("_first")) % F.col("_quota"))
     frames = F.floor((F.col("_block") - F.col("_first")) / F.col("_quota")).cast("long")
-    slot = found.join(F.broadcast(table), ["_segment", "_lane", "_in_frame"]).select(
-        "_row", "mix_offset", (F.col("_start") + frames * F.col("_slots") + F.col("_slot")).alias("mix_slot"))
-    return seen.drop("_size", "_lane", "_chunk").join(slot, "_row").drop("_row")
+    return found.join(F.broadcast(table), ["_segment", "_lane", "_in_frame"]).select(
+        ROW, (F.col("_start") + frames * F.col("_slots") + F.col("_slot")).alias("mix_slot"), "mix_offset")
+
+
+def _numbered(documents: DataFrame, stored: bool) -> DataFrame:
+    """A row is known by its place in the table, which only holds while the rows come in the same order twice."""
+    return (documents if stored else settled(documents)).withColumn(ROW, F.monotonically_increasing_id())
+
+
+def mixed(documents: DataFrame, weights: Mapping[str, float] | None = None, block_size: int = BLOCK_SIZE,
+          slots: int = FRAME, stored: bool = False) -> DataFrame:
+    """All columns of ``documents`` and ``mix_slot``, ``mix_offset``: the slot of the row's block and its place in the lane.
+
+    ``stored`` says that ``documents`` is read straight from files; else it is written first.
+    """
+    rows = _numbered(documents, stored)
+    return rows.join(_slots(rows, weights, block_size, slots), ROW).drop(ROW)
 
 
 def _running(totals: DataFrame) -> DataFrame:
     """(_lane, _chunk, _before): the lane's total before each chunk; groups of 4,096 chunks, then of groups."""
-    from pyspark.sql import Window as W
-
     grouped = totals.withColumn("_group", F.shiftright("_chunk", 12))
     groups = grouped.groupBy("_lane", "_group").agg(F.sum("_sum").alias("_total"))
     along = W.partitionBy("_lane").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
@@ -169,8 +183,10 @@ def _running(totals: DataFrame) -> DataFrame:
 
 
 def in_order(documents: DataFrame, weights: Mapping[str, float] | None = None, block_size: int = BLOCK_SIZE,
-             slots: int = FRAME) -> DataFrame:
+             slots: int = FRAME, stored: bool = False) -> DataFrame:
     """The rows of ``documents`` in the order of the mixture; written, every stretch of files holds the target shares."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    return mixed(documents, weights, block_size, slots).repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions(
-        "mix_slot", "mix_offset").select(*columns)
+    rows = _numbered(documents, stored)
+    order = _slots(rows, weights, block_size, slots).select(
+        ROW, F.struct("mix_slot", "mix_offset").alias("__mix_order"))
+    return rows.join(order, ROW).repartitionByRange("__mix_order").sortWithinPartitions("__mix_order").select(
+        *[F.col(f"`{c}`") for c in documents.columns])

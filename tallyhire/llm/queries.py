@@ -29,7 +29,7 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed(table(spark, folder, "documents")).select("doc_id", "source", "mix_slot", "mix_offset")
+    return mixing.mixed(table(spark, folder, "documents"), stored=True).select("doc_id", "source", "mix_slot", "mix_offset")
 
 
 def op5_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,7 +102,9 @@ def counts(documents: DataFrame, keep: list[str], text: str = "text") -> DataFra
     low = F.transform("_words", lambda w: F.lower(w))
     counted = windows.select(
         *keep,
-        n.cast("long").alias("n_words"),
+        # an expression that is not deterministic keeps filters above this projection: pushed below it, they would
+        # work out the counts anew for every use
+        F.when(F.monotonically_increasing_id() >= 0, n.cast("long")).alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -113,7 +115,6 @@ def counts(documents: DataFrame, keep: list[str], text: str = "text") -> DataFra
             "long").alias("n_same_as_last"),
         F.size(F.filter("_words", lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w)))).cast(
             "long").alias("n_shouted"),
-        F.monotonically_increasing_id().alias("_place"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
@@ -133,8 +134,7 @@ def verdict(thresholds: tuple[Rule, ...] = THRESHOLDS) -> Column:
 
 def judged(documents: DataFrame, thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
     """Every row's doc_id, counts, ``base_failed`` and ``kept``."""
-    return counts(documents, ["doc_id"]).drop("_place").withColumn(
-        "kept", ~F.col("base_failed") & verdict(thresholds))
+    return counts(documents, ["doc_id"]).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
 
 
 def kept(documents: DataFrame, thresholds: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
@@ -142,6 +142,5 @@ def kept(documents: DataFrame, thresholds: tuple[Rule, ...] = THRESHOLDS) -> Dat
     numbered = [f"_column_{i}" for i in range(len(documents.columns))]
     renamed = documents.toDF(*numbered)
     text = numbered[documents.columns.index("text")]
-    # a condition on the row's place keeps the filter above the counts; pushed below, it would repeat them per use
-    passed = counts(renamed, numbered, text).where((F.col("_place") >= 0) & ~F.col("base_failed") & verdict(thresholds))
+    passed = counts(renamed, numbered, text).where(~F.col("base_failed") & verdict(thresholds))
     return passed.select(*numbered).toDF(*documents.columns)

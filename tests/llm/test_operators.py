@@ -280,7 +280,7 @@ def test_segments_place_every_block_once():
 
 def test_mixing_keeps_every_row_and_the_shares(spark, documents, no_documents):
     rows = [(i, "x" * 10, "big" if i < 3000 else "small", i) for i in range(4000)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, mixed long").repartition(5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, mixed long").repartition(5)  # written first
     got = mixing.mixed(frame, {"big": 1.0, "small": 1.0}, block_size=100, slots=16).collect()
     assert sorted(r.doc_id for r in got) == list(range(4000))
     by_slot = Counter((r.mix_slot, r.source) for r in got)
@@ -393,11 +393,18 @@ def test_shared_is_a_longest_common_subsequence():
 
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
+def dot(a, b):
+    total = 0.0  # one after the other: sum() compensates for rounding
+    for x, y in zip(a, b):
+        total += x * y
+    return total
+
+
 def nearest(rows, k=20):
     out = {}
     for i, v in rows.items():
         if i % 20 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows.items() if j != i and len(w) == len(v)))
+            scored = sorted(((-dot(v, w), j) for j, w in rows.items() if j != i and len(w) == len(v)))
             out[i] = [(j, -s) for s, j in scored[:k]]
     return out
 
@@ -421,7 +428,7 @@ def test_neighbours_recall_and_order(spark, uneven):
     assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / len(want[q]) for q in want]) > 0.9
     for q, found in got.items():
         assert found == sorted(found, key=lambda f: (-f[1], f[0])) and len({j for j, _ in found}) == len(found)
-        assert all(s == sum(a * b for a, b in zip(rows[q], rows[j])) for j, s in found)
+        assert all(s == dot(rows[q], rows[j]) for j, s in found)
     assert [j for j, _ in got[100]] == list(range(101, 121))
     assert neighbours.search(frame.limit(0)).collect() == []
 
