@@ -13,7 +13,7 @@ Unit vectors are hashed as they are.  If norms differ, a vector is scaled by the
 that completes it to a unit vector, which turns the largest inner product into the smallest angle.
 
 Rows of a bucket are packed into matrices of at most ``BLOCK`` rows and joined block by block; a hot bucket is many blocks.  A
-task keeps the best of the queries it has met, and the few rows per query and task are ranked at the end.
+task keeps the best of the queries it has met, one row per query, and a query's rows of all tasks are merged at the end.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without vec_id;
 of rows that repeat a vec_id the one with the smallest components counts; vectors are compared with those of their own
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyhire.operators.settle import settled
 
@@ -149,13 +149,41 @@ class Best:
         self.ids[touched[owner[top]], rank[top]] = ids[top]
 
     def batch(self) -> pa.RecordBatch:
-        queries = np.array(list(self.place), np.int64)
-        n = len(queries)
-        keep = np.isfinite(self.scores[:n].ravel())
+        """One row per query, its candidates' ids and scores as packed bytes."""
+        n = len(self.place)
+        kept = np.isfinite(self.scores[:n])
         return pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(queries, self.nearest)[keep]), pa.array(self.ids[:n].ravel()[keep]),
-            pa.array(self.scores[:n].ravel()[keep]),
-        ], names=["query_id", "vec_id", "score"])
+            pa.array(list(self.place), pa.int64()),
+            pa.array([i[k].astype("<i8").tobytes() for i, k in zip(self.ids, kept)], pa.binary()),
+            pa.array([s[k].astype("<f8").tobytes() for s, k in zip(self.scores, kept)], pa.binary()),
+        ], names=["query_id", "ids", "scores"])
+
+
+def ranked(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, rank, vec_id, score) from the rows of all tasks, which come sorted by query."""
+    now, ids, scores = None, [], []
+
+    def answer() -> pa.RecordBatch:
+        vec_id, score = np.frombuffer(b"".join(ids), "<i8"), np.frombuffer(b"".join(scores), "<f8")
+        order = np.lexsort((vec_id, -score))
+        vec_id, score = vec_id[order], score[order]
+        fresh = np.ones(len(vec_id), bool)
+        fresh[1:] = vec_id[1:] != vec_id[:-1]
+        vec_id, score = vec_id[fresh][:nearest], score[fresh][:nearest]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(vec_id), now, np.int64)), pa.array(np.arange(1, len(vec_id) + 1, dtype=np.int32)),
+            pa.array(vec_id), pa.array(score)], names=["query_id", "rank", "vec_id", "score"])
+
+    for batch in batches:
+        for query_id, own_ids, own_scores in zip(*(c.to_pylist() for c in batch.columns)):
+            if query_id != now and ids:
+                yield answer()
+                ids, scores = [], []
+            now = query_id
+            ids.append(own_ids)
+            scores.append(own_scores)
+    if ids:
+        yield answer()
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -266,7 +294,6 @@ def search(embeddings: DataFrame, nearest: int = NEAREST, step: int = QUERY_STEP
 
     pairs = base.select("dim", "tbl", "bucket", F.col("ids").alias("x_ids"), F.col("data").alias("x")).join(
         asked.select("dim", "tbl", "bucket", F.col("ids").alias("q_ids"), F.col("data").alias("q")), ["dim", "tbl", "bucket"])
-    found = pairs.select("dim", "q_ids", "q", "x_ids", "x").mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select(
-        "query_id", "rank", "vec_id", "score")
+    found = pairs.select("dim", "q_ids", "q", "x_ids", "x").mapInArrow(run, "query_id long, ids binary, scores binary")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
+        lambda batches: ranked(batches, nearest), "query_id long, rank int, vec_id long, score double")
