@@ -138,6 +138,11 @@ def title_key(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
+def opening_key(c: Column | str) -> Column:
+    """Lower-case words of letters and digits of any script, one space apart; what stands in brackets stays."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), r"[^\p{L}\p{N}]+", " "))
+
+
 def candidate_tokens(c: Column | str) -> Column:
     """Plausible board tokens for a company: the full name joined, then hyphenated."""
     base = F.regexp_replace(F.lower(_col(c)), "[.,'\u2019]", "")
@@ -157,6 +162,12 @@ def squashed_name(c: Column | str) -> Column:
     return F.lower(F.replace(_col(c), F.lit(" "), F.lit("")))
 
 
+def contains_typed(c: Column | str, typed: str) -> Column:
+    """Case-insensitive LIKE around what a user typed: % and _ stay wildcards, a backslash is itself."""
+    escaped = typed.replace("\\", "\\\\")
+    return _col(c).ilike(f"%{escaped}%")
+
+
 # -- thread header ------------------------------------------------------------
 
 
@@ -173,7 +184,7 @@ def parse_header(c: Column | str) -> Column:
         role = F.filter(rest, lambda p: (p != location) & ~p.rlike(rf"[$£€₹]{WS}?\d"))
         # A line of separators only carries nothing; every field is optional.
         company = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
-        title = F.coalesce(F.get(role, F.lit(0)), F.when(company == "", F.substring(clean(first), 1, 120)), company)
+        title = F.coalesce(F.get(role, F.lit(0)), F.when(company == "", clean(first)), company)
         return F.struct(company.alias("company"), title.alias("title"), location.alias("location"))
 
     return let(parts, read)

@@ -1,30 +1,34 @@
-"""Duplicate postings: one employer, one role, one place.
+"""Duplicate postings: one employer, one role, one place, one text.
 
-Level and team are part of the title key and location is part of the key, so two
-openings that differ in any of them are never merged.  The pick is an aggregate and
-the verdict is joined back with hot keys spread, so a heavily reposted role does not
-land in one task.
+The title key keeps what stands in brackets, so a level or team there tells openings
+apart, and location is part of the key.  Within such a block two postings are the same
+opening only if they say the same: equal words in equal order, whatever the case,
+punctuation and markup between them.  Anything less certain is left alone, an empty
+text included.  The pick is an aggregate and the verdict is joined back with hot keys
+spread, so a heavily reposted role does not land in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhire.functions.text import collapse, company_key, title_key
+from tallyhire.functions.text import collapse, company_key, opening_key
 from tallyhire.operators.skew import spread_join
 
-KEYS = ["company_key", "title_key", "location_key"]
+KEYS = ["company_key", "title_key", "location_key", "text_key"]
 
 
 def with_keys(jobs: DataFrame) -> DataFrame:
-    """Add block keys; rows lacking a company or title get NULL keys and stay on their own."""
+    """Add block keys; rows lacking a company, a title or a text get NULL keys and stay on their own."""
     ck = company_key(F.coalesce("company", F.lit("")))
-    tk = title_key(F.coalesce("title", F.lit("")))
-    known = (ck != "") & (tk != "")
+    tk = opening_key(F.coalesce("title", F.lit("")))
+    words = opening_key(F.coalesce("description", F.lit("")))
+    known = (ck != "") & (tk != "") & (words != "")
     return jobs.withColumns({
         "company_key": F.when(known, ck),
         "title_key": F.when(known, tk),
         "location_key": F.when(known, F.lower(collapse(F.coalesce("location", F.lit(""))))),
+        "text_key": F.when(known, F.sha1(words)),
     })
 
 

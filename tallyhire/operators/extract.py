@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyhire import vocab
 from tallyhire.functions import text as tx
 
-LOOKBACK = 600
 
 
 def _bounded(term: str) -> str:
@@ -93,10 +92,11 @@ def _last_cue(before: Column, cues: tuple[str, ...]) -> Column:
     return F.length(F.regexp_extract(before, pattern, 1)) - 1
 
 
-def requirement_at(text: Column, position: Column) -> Column:
-    """required / preferred from the nearest cue in the 600 characters before a 1-based position."""
-    before = F.concat(F.lit("~"), F.substring(
-        text, F.greatest(position - LOOKBACK, F.lit(1)), F.least(position - 1, F.lit(LOOKBACK))))
+def requirement_at(text: Column, position: Column, lookback: int | None = None) -> Column:
+    """required / preferred from the nearest cue before a 1-based position, in the ``lookback`` characters if given."""
+    before = F.substring(text, F.lit(1), position - 1) if lookback is None else F.substring(
+        text, F.greatest(position - lookback, F.lit(1)), F.least(position - 1, F.lit(lookback)))
+    before = F.concat(F.lit("~"), before)
 
     def compare(b: Column) -> Column:
         preferred = tx.let(_last_cue(b, vocab.PREFERRED_CUES), lambda p: (p >= 0) & (

@@ -10,8 +10,6 @@ from tallyhire.operators.extract import spelling_patterns, with_skills
 from tallyhire.operators.skew import bounded_broadcast
 from tallyhire.operators.upsert import COALESCE_OLD_NEW, KEEP_OLD, TAKE_NEW, upsert
 
-EVIDENCE_CHARS = 240
-
 
 def level_from_mentions(mentions: Column) -> Column:
     """Repeated description is stronger evidence; never claims expertise."""
@@ -37,7 +35,7 @@ def profile_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
         with_term = F.filter(lines, lambda x: F.rlike(x, shown))
         longest = F.array_max(F.transform(with_term, lambda x: F.length(x)))
         line = F.get(F.filter(with_term, lambda x: F.length(x) == longest), F.lit(0))
-        trimmed = F.substring(strip(line), 1, EVIDENCE_CHARS)
+        trimmed = strip(line)
         return F.struct(
             s["slug"].alias("skill"), s["label"].alias("label"), s["category"].alias("category"),
             mentions.alias("mentions"), F.when(trimmed != "", trimmed).alias("evidence"),

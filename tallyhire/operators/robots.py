@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyhire.functions.text import host_of, path_of
 from tallyhire.operators.skew import spread_join
 
-BODY_CHARS = 512_000
 TTL_HOURS = 24
 FRESH_HOURS = 6
 
@@ -15,11 +14,10 @@ FRESH_HOURS = 6
 def parse_robots(files: DataFrame, agent: str) -> DataFrame:
     """(host, body) -> (host, rules, crawl_delay, sitemaps) for one user agent.
 
-    A file is at most ``BODY_CHARS`` long, which bounds both the per-host window and the
-    rules gathered from it; hosts are spread over the cluster.
+    A host's rules are gathered from its one file, whole; hosts are spread over the cluster.
     """
     lines = files.select(
-        "host", F.posexplode_outer(F.split(F.substring("body", 1, BODY_CHARS), r"\r?\n")).alias("pos", "line")
+        "host", F.posexplode_outer(F.split("body", r"\r?\n")).alias("pos", "line")
     ).withColumn("line", F.trim(F.regexp_replace("line", r"#[\s\S]*", ""))).filter(F.col("line").contains(":"))
     fields = lines.select(
         "host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"),

@@ -198,9 +198,10 @@ def delete_jobs(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, Da
         if name == "jobs":
             kept = df.join(gone.withColumnRenamed("job_id", "id"), "id", "left_anti")
             lost = gone.select(F.col("job_id").alias("canonical_id"), F.lit(True).alias("_lost"))
-            out[name] = kept.join(lost, "canonical_id", "left").withColumn(
-                "canonical_id", F.when(F.col("_lost").isNull(), F.col("canonical_id"))
-            ).select(*df.columns)
+            # most postings refer to none; only those that do are dealt out by the reference
+            referring = kept.filter(F.col("canonical_id").isNotNull()).join(lost, "canonical_id", "left").withColumn(
+                "canonical_id", F.when(F.col("_lost").isNull(), F.col("canonical_id")))
+            out[name] = kept.filter(F.col("canonical_id").isNull()).select(*df.columns).unionByName(referring.select(*df.columns))
         else:
             out[name] = df.join(gone, "job_id", "left_anti") if "job_id" in df.columns else df
     return out

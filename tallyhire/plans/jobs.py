@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tallyhire.functions.dates import posted_within
 from tallyhire.functions.pay import format_salary, from_structured
 from tallyhire.functions.place import location_fit
+from tallyhire.functions.text import contains_typed
 from tallyhire.operators.match import attach_skill_lists, profile_fingerprint, ranking_freshness
 from tallyhire.operators.skew import latest_by
 
 Tables = Mapping[str, DataFrame]
 SORTS = ("relevance", "score", "coverage", "posted", "company")
-MAX_PAGE, DEFAULT_PAGE, FACET_SIZE = 1000, 100, 40
+DEFAULT_PAGE = 100
 
 
 @dataclass(frozen=True)
@@ -59,25 +60,20 @@ class JobFilters:
         )
 
     def page(self) -> tuple[int, int]:
-        return min(max(self.limit, 1), MAX_PAGE), max(self.offset, 0)
+        return max(self.limit, 1), max(self.offset, 0)
 
 
 def _given(text: str | None) -> str | None:
     return text.strip() if text and text.strip() else None
 
 
-def _contains(column: str, text: str) -> Column:
-    """Case-insensitive LIKE with the user's own wildcards kept."""
-    return F.col(column).ilike(f"%{text}%")
-
-
 def predicates(f: JobFilters, now: Column) -> list[Column]:
     """Row conditions over the joined summary; every condition drops NULL."""
     out: list[Column] = []
     if q := _given(f.q):
-        out.append(_contains("company", q) | _contains("title", q) | _contains("location", q))
+        out.append(contains_typed("company", q) | contains_typed("title", q) | contains_typed("location", q))
     if place := _given(f.location):
-        out.append(_contains("location", place))
+        out.append(contains_typed("location", place))
     if company := _given(f.company):
         out.append(F.col("company") == company)
     if f.min_ai_score is not None:
@@ -179,16 +175,18 @@ def get_job(t: Tables, job_id: str) -> DataFrame:
     })
 
 
-def facets(t: Tables) -> DataFrame:
-    """Top companies and locations by postings: (facet, value, n), one scan for both."""
+def facets(t: Tables, size: int | None = None) -> DataFrame:
+    """Companies and locations by postings: (facet, value, n), one scan for both; the leading ``size`` of each if given."""
     base = t["jobs"].filter(F.col("canonical_id").isNull())
     pairs = base.select(F.inline(F.array(*[
         F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in ("company", "location")
     ]))).filter(F.col("value") != "")
     counted = pairs.groupBy("facet", "value").agg(F.count("*").alias("n"))
+    if size is None:
+        return counted
     # Only the leading rows of each task reach the per-facet ranking.
     rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
-    return counted.withColumn("_rank", rank).filter(F.col("_rank") <= FACET_SIZE).drop("_rank")
+    return counted.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
 
 
 def job_counters(t: Tables) -> DataFrame:
@@ -311,7 +309,7 @@ def liveness_candidates(t: Tables, now: Column, recheck_after_days: int | None =
             before = F.col(column) < now - F.make_interval(days=F.lit(days))
             cond = cond & F.coalesce(before, F.lit(True))
     if place := _given(location):
-        cond = cond & _contains("location", place)
+        cond = cond & contains_typed("location", place)
     jobs = t["jobs"].filter(cond).select(F.col("id").alias("job_id"), "company", "apply_url")
     return (
         jobs.join(t["matches"].select("job_id", "match_score"), "job_id", "left")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire.functions import pay, place
-from tallyhire.functions.text import model_json
+from tallyhire.functions.text import contains_typed, model_json
 from tallyhire.operators.dedupe import repost_counts
 from tallyhire.operators.extract import label_skills, resolve_labels
 from tallyhire.operators.settle import settled
@@ -21,7 +21,6 @@ from tallyhire.operators.upsert import SCORES_RULES, overwrite_rules, replace_ai
 
 Judge = Callable[[DataFrame], DataFrame]
 ANSWERS = "job_id string, answer string, error string"
-PROMPT_CHARS = 12_000  # fixed value: how much of a body a model is shown
 
 
 def batch_judge(call: Callable[[str], str]) -> Judge:
@@ -83,6 +82,12 @@ def _texts(c: Column, most: int, longest: int, shortest: int = 0) -> Column:
 # -- normalise ----------------------------------------------------------------
 
 
+def _shown(c: str, prompt_chars: int | None) -> Column:
+    """The body a judge reads: all of it, unless a window is asked for."""
+    body = F.coalesce(c, F.lit(""))
+    return body if prompt_chars is None else F.substring(body, 1, prompt_chars)
+
+
 def _first(df: DataFrame, limit: int | None, *order) -> DataFrame:
     """The leading rows; with no limit every row, unsorted, so nothing is gathered."""
     return df if limit is None else df.orderBy(*order).limit(limit)
@@ -112,11 +117,11 @@ def _valid_normalised(r: Column) -> Column:
     )
 
 
-def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = 100) -> tuple[DataFrame, DataFrame]:
+def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = 100, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Jobs with the judge's reading folded in, and the per-row results."""
     picked = normalise_candidates(jobs, limit)
     prompt = F.concat("title", F.lit("\n"), F.coalesce("location", F.lit("")), F.lit("\n\n"),
-                      F.substring("description", 1, PROMPT_CHARS))
+                      _shown("description", prompt_chars))
     results = parsed(judge(picked.select(F.col("id").alias("job_id"), prompt.alias("prompt"))), NORMALISED,
                      _valid_normalised)
     good = results.filter(F.col("r").isNotNull()).select(F.col("job_id").alias("id"), "r")
@@ -149,9 +154,9 @@ def _valid_skills(r: Column) -> Column:
 
 
 def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge, limit: int | None = 100,
-                          learned: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                          learned: DataFrame | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     picked = skill_candidates(jobs, job_skills, limit)
-    prompt = F.concat("title", F.lit("\n\n"), F.substring("description", 1, PROMPT_CHARS))
+    prompt = F.concat("title", F.lit("\n\n"), _shown("description", prompt_chars))
     results = parsed(judge(picked.select(F.col("id").alias("job_id"), prompt.alias("prompt"))),
                      "required array<string>, preferred array<string>", _valid_skills)
     def listed(need: str, base: int) -> Column:
@@ -172,7 +177,7 @@ def above_threshold(jobs: DataFrame, matches: DataFrame, done: DataFrame, thresh
     """Best matches not judged yet, [in one place], duplicates excluded."""
     listed = jobs.filter(F.col("canonical_id").isNull())
     if location and location.strip():
-        listed = listed.filter(F.col("location").ilike(f"%{location.strip()}%"))
+        listed = listed.filter(contains_typed("location", location.strip()))
     good = matches.filter(F.col("match_score") >= threshold).select("job_id", "match_score", "coverage")
     open_ = good.join(done.select("job_id"), "job_id", "left_anti").join(listed.withColumnRenamed("id", "job_id"), "job_id")
     return _first(open_, limit, F.desc("match_score"), "job_id")
@@ -198,10 +203,10 @@ def _valid_score(r: Column) -> Column:
 
 def score_jobs(jobs: DataFrame, matches: DataFrame, scores: DataFrame, judge: Judge, threshold: float, now: Column,
                model: str, limit: int | None = 40, location: str | None = None,
-               fingerprint: Column | None = None) -> tuple[DataFrame, DataFrame]:
+               fingerprint: Column | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     picked = above_threshold(jobs, matches, scores, threshold, limit, location)
     prompt = F.concat(F.lit("POSTING: "), "title", F.lit(" at "), "company", F.lit("\n\n"),
-                      F.substring(F.coalesce("description", F.lit("")), 1, PROMPT_CHARS))
+                      _shown("description", prompt_chars))
     results = parsed(judge(picked.select("job_id", prompt.alias("prompt"))),
                      "score int, reason string, concerns array<string>, roleTypeMatch string", _valid_score)
     r = F.col("r")
@@ -251,11 +256,11 @@ def _valid_signals(r: Column) -> Column:
 
 def compute_signals(jobs: DataFrame, matches: DataFrame, signals: DataFrame, judge: Judge, threshold: float,
                     target_min: float | None, target_currency: str, now: Column, limit: int | None = 40,
-                    location: str | None = None) -> tuple[DataFrame, DataFrame]:
+                    location: str | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Arithmetic for every candidate; a failed judgement costs the tone reading, not the row."""
     picked = above_threshold(jobs, matches, signals, threshold, limit, location)
     prompt = F.concat(F.lit("POSTING: "), "title", F.lit("\n\n"),
-                      F.substring(F.coalesce("description", F.lit("")), 1, PROMPT_CHARS))
+                      _shown("description", prompt_chars))
     results = parsed(judge(picked.select("job_id", prompt.alias("prompt"))), SIGNALS, _valid_signals)
     facts = arithmetic_signals(jobs, target_min, target_currency).join(picked.select("job_id"), "job_id", "left_semi")
     r = F.col("r")

@@ -9,7 +9,6 @@ from tallyhire.functions.dates import period_start
 from tallyhire.operators.skew import latest_by
 from tallyhire.sources.feeds import SPECS
 
-CONTEXT_CHARS = 12_000
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -115,11 +114,13 @@ def check_budget(spend: DataFrame, limit: float, period: str, projected: Column,
                        reason.alias("reason"))
 
 
-def stage_projection(jobs: DataFrame, model: str, prices=PRICES) -> DataFrame:
-    """Expected cost of judging these postings: calls, mean capped length, projected dollars."""
+def stage_projection(jobs: DataFrame, model: str, prices=PRICES, prompt_chars: int | None = None) -> DataFrame:
+    """Expected cost of judging these postings: calls, mean length of what is sent, projected dollars."""
+    length = F.length(F.coalesce("description", F.lit("")))
+    sent = length if prompt_chars is None else F.least(length, F.lit(prompt_chars))
     stats = jobs.agg(
         F.count("*").alias("calls"),
-        F.coalesce(F.ceil(F.avg(F.least(F.length(F.coalesce("description", F.lit(""))), F.lit(CONTEXT_CHARS)))), F.lit(0))
+        F.coalesce(F.ceil(F.avg(sent)), F.lit(0))
         .alias("average_chars"),
     )
     tokens = approximate_tokens(F.col("average_chars"))

@@ -121,7 +121,7 @@ def _with_details(rows: DataFrame, payloads: DataFrame) -> DataFrame:
         .select("board_token", F.from_json("body", schema).alias("d"))
         .select("board_token", F.col("d.id").alias("_id"),
                 strip(F.array_join(F.filter(texts, lambda t: t != ""), HTML_JOIN)).alias("_body"))
-        .groupBy("board_token", "_id").agg(F.first("_body").alias("detail_body"))
+        .groupBy("board_token", "_id").agg(F.min("_body").alias("detail_body"))
     )
     return rows.withColumn("_id", F.col("rec.id")).join(details, ["board_token", "_id"], "left")
 

@@ -61,3 +61,29 @@ def upsert_each_batch(stream: DataFrame, checkpoint: str, read: Callable[[], Dat
 
 def closed_before(windows: DataFrame, column: str, now: Column) -> DataFrame:
     return windows.filter(F.col(column) < now)
+
+
+class VersionedTable:
+    """A table in a shared folder that a stream replaces batch by batch.
+
+    Every batch writes ``rows/v=<batch>`` and then a one-row ``current/v=<batch>`` that commits it.  The current version is
+    the largest committed one, found in the folder and not remembered, so a driver that starts anew goes on from it.  A
+    batch that is run again replaces its own version, reading the one before it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame) -> None:
+        self.spark, self.folder, self.empty = spark, folder, empty
+        spark.createDataFrame([(-1,)], "version long").write.mode("overwrite").parquet(f"{folder}/current/v=-1")
+
+    def _current(self, before: int | None = None) -> int:
+        seen = self.spark.read.parquet(f"{self.folder}/current").select("version")
+        return seen.filter("true" if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+
+    def read(self, before: int | None = None) -> DataFrame:
+        version = self._current(before)
+        return self.empty if version < 0 else self.spark.read.schema(self.empty.schema).parquet(f"{self.folder}/rows/v={version}")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/rows/v={batch_id}")
+        self.spark.createDataFrame([(batch_id,)], "version long").write.mode("overwrite").parquet(
+            f"{self.folder}/current/v={batch_id}")

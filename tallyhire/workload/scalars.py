@@ -376,8 +376,8 @@ def _esc(p: str) -> str:
 def _classify() -> str:
     arms = []
     for kind, patterns in cmp.DESCRIPTION_CUES:
-        for p in patterns:
-            arms.append(f"WHEN regexp_matches(t, '{_esc(p)}') THEN '{kind}|posting says {_esc(cmp.readable(p))}|0'")
+        for p, words in patterns:
+            arms.append(f"WHEN regexp_matches(t, '{_esc(p)}') THEN '{kind}|posting says {_esc(words)}|0'")
     for kind, p in cmp.NAME_CUES:
         arms.append(f"WHEN regexp_matches(company, '{_esc(p)}') THEN '{kind}|name suggests {kind}|{int(kind == 'service')}'")
     return f"CASE {' '.join(arms)} ELSE 'unknown|nothing decisive in the name or text|1' END"
@@ -386,7 +386,7 @@ def _classify() -> str:
 @register("X40_classify_company", query(f"""
     SELECT id, string_split(v, '|')[1] AS company_type, array_to_string(string_split(v, '|')[2:-2], '|') AS reason,
       CAST(string_split(v, '|')[-1] AS INTEGER) AS uncertain
-    FROM (SELECT id, {_classify()} AS v FROM (SELECT id, company, substr(description, 1, 6000) AS t FROM jobs))"""))
+    FROM (SELECT id, {_classify()} AS v FROM (SELECT id, company, coalesce(description, '') AS t FROM jobs))"""))
 def _(w):
     c = cmp.classify_company(F.col("company"), F.col("description"))
     return w.jobs.withColumn("c", c).select("id", F.col("c.type").alias("company_type"), F.col("c.reason").alias("reason"),
@@ -395,7 +395,7 @@ def _(w):
 
 @register("V22_classify_unclassified", query(f"""
     SELECT company_type, count(*) AS n FROM (SELECT string_split({_classify()}, '|')[1] AS company_type
-      FROM (SELECT company, substr(description, 1, 6000) AS t FROM jobs WHERE company_type IS NULL AND canonical_id IS NULL)) GROUP BY company_type"""))
+      FROM (SELECT company, coalesce(description, '') AS t FROM jobs WHERE company_type IS NULL AND canonical_id IS NULL)) GROUP BY company_type"""))
 def _(w):
     from tallyhire.plans.jobs import classify_unclassified
 

@@ -60,7 +60,7 @@ def extraction(source: str) -> dict[str, str]:
         "scan_hits": f"""SELECT key, norm, rank, term, slug FROM scan_norm JOIN scan_terms ON contains(norm, term)
             WHERE regexp_matches(norm, pattern) AND (NOT ambiguous OR CASE term {gate} END)""",
         "scan_first": """SELECT * FROM scan_hits QUALIFY row_number() OVER (PARTITION BY key, slug ORDER BY rank) = 1""",
-        "scan_before": """SELECT key, slug, term, rank, substr(norm, greatest(1, instr(norm, term) - 600), least(600, instr(norm, term) - 1)) AS before
+        "scan_before": """SELECT key, slug, term, rank, substr(norm, 1, instr(norm, term) - 1) AS before
             FROM scan_first""",
         "scan_found": f"""SELECT key, slug, term, CASE WHEN {_last(vocab.PREFERRED_CUES)} > {_last(vocab.REQUIRED_CUES)} THEN 'preferred' ELSE 'required' END
             AS requirement, CAST(row_number() OVER (PARTITION BY key ORDER BY rank) - 1 AS INTEGER) AS ordinal FROM scan_before""",
@@ -162,7 +162,7 @@ SPELLINGS = "SELECT * FROM (VALUES " + ", ".join(
 @register("M05_build_profile", query(r"""
     SELECT f.key, f.slug AS skill, v.label, v.category, m.mentions,
       CASE WHEN mentions >= 4 THEN 'strong' WHEN mentions >= 2 THEN 'working' ELSE 'exposure' END AS level,
-      nullif(substr(trim(list_filter(ls, lambda x: length(x) = longest)[1], ' ' || chr(9) || chr(10) || chr(13)), 1, 240), '') AS evidence
+      nullif(trim(list_filter(ls, lambda x: length(x) = longest)[1], ' ' || chr(9) || chr(10) || chr(13)), '') AS evidence
     FROM (SELECT key, slug, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(lower(x), '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)')) AS ls,
         list_max(list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(lower(x), '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)')), lambda x: length(x))) AS longest
       FROM scan_found JOIN scan_texts USING (key)) f

@@ -134,8 +134,8 @@ def _(w):
 
     rows = w.answers.select(strip("question").alias("question"), strip("answer").alias("answer"), w.now.alias("confirmed_at"),
                             F.lit(0).cast("bigint").alias("times_used"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"))
-    bank = rows.filter("o % 2 = 0").drop("o").groupBy("question").agg(
-        F.first("answer").alias("answer"), F.first("confirmed_at").alias("confirmed_at"), F.first("times_used").alias("times_used"))
+    bank = rows.filter("o % 2 = 0").groupBy("question").agg(
+        *[F.max_by(c, "o").alias(c) for c in ("answer", "confirmed_at", "times_used")])
     return up.upsert(bank, rows, ["question"], up.ANSWERS_RULES, "o").drop("confirmed_at")
 
 
@@ -186,10 +186,14 @@ _CK = rx(rx(rx("lower(company)", "[.,]", " "), r"\b(" + "|".join(vocab.COMPANY_S
 _TK = f"""trim({rx(rx("lower(title)", r"[(].*?[)]", " "), "[^a-z0-9]+", " ")})"""
 
 
+def _opening(column: str) -> str:
+    return f"""trim({rx(f"lower(coalesce({column}, ''))", "[^\\p{L}\\p{N}]+", " ")})"""
+
+
 def _dedupe(table: str) -> str:
-    return f"""SELECT id, CASE WHEN ck = '' OR tk = '' OR best = id THEN NULL ELSE best END AS canonical_id FROM (
-      SELECT *, first_value(id) OVER (PARTITION BY ck, tk, lk ORDER BY complete DESC, chars DESC, id) AS best FROM (
-        SELECT id, {_CK} AS ck, {_TK} AS tk, lower({sql_collapse("coalesce(location, '')")}) AS lk, coalesce(description_complete, false) AS complete,
+    return f"""SELECT id, CASE WHEN ck = '' OR tk = '' OR bk = '' OR best = id THEN NULL ELSE best END AS canonical_id FROM (
+      SELECT *, first_value(id) OVER (PARTITION BY ck, tk, lk, bk ORDER BY complete DESC, chars DESC, id) AS best FROM (
+        SELECT id, {_CK} AS ck, {_opening("title")} AS tk, {_opening("description")} AS bk, lower({sql_collapse("coalesce(location, '')")}) AS lk, coalesce(description_complete, false) AS complete,
           length(coalesce(description, '')) AS chars FROM {table}))"""
 
 
@@ -205,9 +209,9 @@ def _(w):
 
 
 @register("D03_canonical_picks", query(f"""
-    SELECT ck AS company_key, tk AS title_key, lk AS location_key, count(*) AS copies FROM (
-      SELECT {_CK} AS ck, {_TK} AS tk, lower({sql_collapse("coalesce(location, '')")}) AS lk FROM jobs) WHERE ck <> '' AND tk <> ''
-    GROUP BY ALL HAVING count(*) > 1"""))
+    SELECT ck AS company_key, tk AS title_key, lk AS location_key, sha1(bk) AS text_key, count(*) AS copies FROM (
+      SELECT {_CK} AS ck, {_opening("title")} AS tk, {_opening("description")} AS bk, lower({sql_collapse("coalesce(location, '')")}) AS lk FROM jobs)
+    WHERE ck <> '' AND tk <> '' AND bk <> '' GROUP BY ALL HAVING count(*) > 1"""))
 def _(w):
     return dd.canonical_picks(w.jobs).drop("canonical")
 
@@ -443,16 +447,6 @@ def _(w):
 def _(w):
     events = _stream(w, "lineitem").selectExpr(*d.STATUS_EVENTS.exprs()).withColumnRenamed("happened_at", "at")
     base, cp = run_folder(w.spark, "tracker"), run_folder(w.spark, "tracker-cp")
-    empty = w.applications.limit(0)
-    done: list[str] = []
-
-    def read() -> DataFrame:
-        return w.spark.read.parquet(done[-1]) if done else empty
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        path = f"{base}/v={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        done.append(path)
-
-    logs.upsert_each_batch(events, cp, read, write, lc.apply_updates)
-    return w.spark.read.parquet(done[-1]).groupBy("status").agg(F.count("*").alias("n"))
+    table = logs.VersionedTable(w.spark, base, w.applications.limit(0))
+    logs.upsert_each_batch(events, cp, table.read, table.write, lc.apply_updates)
+    return table.read().groupBy("status").agg(F.count("*").alias("n"))
