@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def spend_by_window(spend: DataFrame, width: str = "7 days", late: str = "1 day", start: str = "4 days") -> DataFrame:
@@ -44,16 +44,16 @@ def run_batches(df: DataFrame, path: str, checkpoint: str) -> None:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def upsert_each_batch(stream: DataFrame, checkpoint: str, read: Callable[[], DataFrame],
+def upsert_each_batch(stream: DataFrame, checkpoint: str, read: Callable[[int], DataFrame],
                       write: Callable[[DataFrame, int], None],
                       merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Fold every micro-batch into a stored table: ``write(merge(read(), batch), batch_id)``.
+    """Fold every micro-batch into a stored table: ``write(merge(read(batch_id), batch), batch_id)``.
 
-    ``write`` receives the batch id, so a batch replayed after a lost executor or driver
-    replaces its own output instead of applying twice.
+    ``read`` gives the table as it stood before the batch and ``write`` receives the batch id, so a
+    batch replayed after a lost executor or driver replaces its own output instead of applying twice.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write(merge(read(), batch), batch_id)
+        write(merge(read(batch_id), batch), batch_id)
 
     (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

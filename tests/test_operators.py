@@ -122,11 +122,16 @@ def test_spread_join_equals_plain_left_join_on_a_hot_key(spark):
 
 
 def test_dedupe_keeps_levels_and_places_apart(spark):
-    rows = [("a", "Acme Inc.", "Engineer II", "Pune", "short", False), ("b", "ACME", "Engineer II (x)", " pune ", "longer body", True),
-            ("c", "Acme", "Engineer III", "Pune", "t", True), ("d", "Acme", "Engineer II", "Goa", "t", True), ("e", "", "Engineer II", "Pune", "t", True)]
+    body = "We run a fleet of ferries and mend what breaks."
+    rows = [("a", "Acme Inc.", "Engineer II", "Pune", body, False), ("b", "ACME", "engineer ii", " pune ", body.upper() + "!", True),
+            ("c", "Acme", "Engineer III", "Pune", body, True), ("d", "Acme", "Engineer II", "Goa", body, True),
+            ("e", "", "Engineer II", "Pune", body, True), ("f", "Acme", "Engineer II (Harbour team)", "Pune", body, True),
+            ("g", "Acme", "Engineer II (Dock team)", "Pune", body, True), ("h", "Acme", "Engineer II", "Pune", "Another text altogether.", True),
+            ("i", "Acme", "Nurse", "Pune", "", True), ("j", "Acme", "Nurse", "Pune", None, True)]
     jobs = spark.createDataFrame(rows, "id string, company string, title string, location string, description string, description_complete boolean")
     jobs = jobs.withColumn("canonical_id", F.lit(None).cast("string"))
-    assert {r["id"]: r["canonical_id"] for r in dedupe.assign_canonical(jobs).collect()} == {"a": "b", "b": None, "c": None, "d": None, "e": None}
+    assert {r["id"]: r["canonical_id"] for r in dedupe.assign_canonical(jobs).collect()} == {
+        r[0]: "b" if r[0] == "a" else None for r in rows}
 
 
 def test_enrich_takes_first_long_body(spark):
@@ -169,3 +174,44 @@ def test_lifecycle_rules(spark):
 def test_violations_name_the_column(spark):
     df = spark.createDataFrame([("a", 7), ("b", 3), ("c", None)], "job_id string, ai_score int")
     assert [(r["job_id"], r["violated"]) for r in schemas.violations(df, "scores").collect()] == [("a", ["ai_score"])]
+
+
+def test_a_backslash_in_a_search_box_is_a_character(spark):
+    from tallyhire.functions.text import contains_typed
+
+    rows = spark.createDataFrame([("x\\y co",), ("xy co",), ("100% co",)], "c string")
+    def hits(typed):
+        return [r["c"] for r in rows.filter(contains_typed("c", typed)).collect()]
+    assert hits("X\\y") == hits("x\\") == ["x\\y co"] and hits("x_y") == ["x\\y co"] and len(hits("%co")) == 3
+
+
+def test_signals_past_the_old_windows_count(spark):
+    from tallyhire.functions.company import classify_company
+
+    far = "plain words " * 60_000
+    row = spark.createDataFrame([("Acme", far + " our client is hiring")], "c string, d string")
+    assert row.select(classify_company(F.col("c"), F.col("d"))["type"].alias("t")).first()["t"] == "staffing"
+    files = spark.createDataFrame([("h.io", "User-agent: *\n" + "# filler line\n" * 50_000 + "Disallow: /secret")], "host string, body string")
+    assert [r["pattern"] for r in robots.parse_robots(files, "bot").first()["rules"]] == ["/secret"]
+    assert set(found(spark, "Nice to have:\n" + "words and more " * 100 + "\nKafka").values()) == {"preferred"}
+
+
+def test_a_stream_goes_on_from_the_version_in_its_folder(spark, tmp_path):
+    from tallyhire.streaming.logs import VersionedTable
+
+    empty = spark.createDataFrame([], "k int")
+    first = VersionedTable(spark, f"file://{tmp_path}/t", empty)
+    assert first.read().count() == 0
+    for batch in (0, 1):
+        first.write(first.read(batch).union(spark.createDataFrame([(batch,)], "k int")), batch)
+    again = VersionedTable(spark, f"file://{tmp_path}/t", empty)  # as a new driver
+    assert sorted(r["k"] for r in again.read().collect()) == [0, 1]
+    again.write(again.read(1).union(spark.createDataFrame([(1,)], "k int")), 1)  # a batch that is replayed
+    assert sorted(r["k"] for r in again.read().collect()) == [0, 1]
+
+
+def test_every_facet_value_unless_a_size_is_given(spark):
+    from tallyhire.plans.jobs import facets
+
+    jobs = spark.createDataFrame([(f"c{i}", "here", None) for i in range(60)], "company string, location string, canonical_id string")
+    assert facets({"jobs": jobs}).count() == 61 and facets({"jobs": jobs}, 5).count() == 6

