@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import chat, mixing, neighbours, packing, pages, quality, rules, simhash, toxicity, warc
+from tallyhire.llm import chat, checks, mixing, neighbours, packing, pages, quality, rules, simhash, toxicity, warc
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -39,7 +39,8 @@ def op5_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.digests(chat.with_probe(spark, table(spark, folder, "conversations")), public_tokenizers.path(CHAT_TOKENIZER))
+    return chat.digests(chat.with_probe(spark, table(spark, folder, "conversations")), public_tokenizers.path(CHAT_TOKENIZER)).drop(
+        "n_tokens", "loss_tokens")
 
 
 def op7_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "pipeline": pipeline,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op1_warc": checks.WARC, "op5_rules": checks.RULES, "op6_chat": checks.CHAT}
