@@ -54,11 +54,15 @@ def assign_canonical(jobs: DataFrame) -> DataFrame:
     return joined.withColumn("canonical_id", F.when(dup, F.col("canonical"))).select(*jobs.columns)
 
 
-def repost_counts(jobs: DataFrame) -> DataFrame:
-    """(id, repost_count): postings with the same company and title, the row itself included."""
+def repost_counts(jobs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, repost_count): postings with the same company and title, the row itself included.
+
+    ``only`` names the postings to answer for; all are counted, and just these meet the counts.
+    """
     pair = ["company", "title"]
-    base = jobs.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in pair])
-    counts = base.groupBy(*pair).agg(F.count("*").alias("repost_count"))
+    known = [F.coalesce(c, F.lit("")).alias(c) for c in pair]
+    base = (jobs if only is None else only).select("id", *known)
+    counts = jobs.select(*known).groupBy(*pair).agg(F.count("*").alias("repost_count"))
     return spread_join(base, counts, pair, ["id"], weight="repost_count").select(
         "id", F.greatest("repost_count", F.lit(1)).alias("repost_count")
     )

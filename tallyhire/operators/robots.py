@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire.functions.text import host_of, path_of
 from tallyhire.operators.skew import spread_join
@@ -11,68 +11,58 @@ TTL_HOURS = 24
 FRESH_HOURS = 6
 
 
+#: Stand before and behind an agent's name, and before any other line, while a file is cut into groups.
+AGENT_OPEN, AGENT_CLOSE, LINE = "\u0001", "\u0002", "\u0003"
+
+
 def parse_robots(files: DataFrame, agent: str) -> DataFrame:
-    """(host, body) -> (host, rules, crawl_delay, sitemaps) for one user agent.
+    """(host, body) -> (host, rules, crawl_delay, sitemaps) for one user agent, inside the row: nothing is shuffled.
 
-    A host's rules are gathered from its one file, whole; hosts are spread over the cluster.
+    Consecutive user-agent lines open a group together; a group naming the agent wins over the wildcard wherever it
+    stands.  The control characters that mark lines meanwhile are not part of a body.
     """
-    lines = files.select(
-        "host", F.posexplode_outer(F.split("body", r"\r?\n")).alias("pos", "line")
-    ).withColumn("line", F.trim(F.regexp_replace("line", r"#[\s\S]*", ""))).filter(F.col("line").contains(":"))
-    fields = lines.select(
-        "host", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"),
-        F.trim(F.regexp_replace("line", r"^[^:]*:", "")).alias("value"),
-    )
-    sitemaps = (
-        fields.filter((F.col("field") == "sitemap") & (F.col("value") != ""))
-        .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("s"))
-        .select("host", F.col("s.value").alias("sitemaps"))
-    )
-    # Consecutive user-agent lines share a group; a rule line closes the header.
-    by_line = Window.partitionBy("host").orderBy("pos")
-    is_agent = F.col("field") == "user-agent"
-    grouped = (
-        fields.filter("field != 'sitemap'")
-        .withColumn("opens", is_agent & (F.coalesce(F.lag("field").over(by_line), F.lit("")) != "user-agent"))
-        .withColumn("grp", F.sum(F.col("opens").cast("int")).over(by_line))
-        .filter("grp > 0")
-    )
+    body = F.translate(F.coalesce("body", F.lit("")), AGENT_OPEN + AGENT_CLOSE + LINE, "")
+    lines = F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"#[\s\S]*", "")))
+    named = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(
+        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("field"),
+        F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    sitemaps = F.transform(
+        F.filter("_fields", lambda x: (x["field"] == "sitemap") & (x["value"] != "")), lambda x: x["value"])
+    marked = F.transform(
+        F.filter("_fields", lambda x: x["field"] != "sitemap"),
+        lambda x: F.when(x["field"] == "user-agent", F.concat(F.lit(AGENT_OPEN), F.lower(x["value"]), F.lit(AGENT_CLOSE)))
+        .otherwise(F.concat(F.lit(LINE), x["field"], F.lit(":"), x["value"])))
+    # a group begins at an agent that does not follow another one; what stands before the first belongs to none
+    groups = F.filter(F.split(F.array_join(marked, ""), f"(?<!{AGENT_CLOSE})(?={AGENT_OPEN})"),
+                      lambda g: g.startswith(AGENT_OPEN))
     me = agent.lower()
     name = me.split("/")[0]
-    value = F.lower("value")
-    specific = is_agent & (value != "*") & (F.lit(me).startswith(value) | value.startswith(name))
-    delay = F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))
-    rule = F.when(
-        F.col("field").isin("allow", "disallow") & (F.col("value") != ""),
-        F.struct("pos", (F.col("field") == "allow").alias("allow"), F.col("value").alias("pattern")),
-    )
-    groups = grouped.groupBy("host", "grp").agg(
-        F.max(specific).alias("specific"), F.max(is_agent & (value == "*")).alias("wildcard"),
-        F.collect_list(rule).alias("rules"),
-        F.max_by(delay, F.when(delay >= 0, F.col("pos"))).alias("delay"),
-    )
-    # Groups naming the agent win over the wildcard wherever they stand in the file.
-    per_host = groups.groupBy("host").agg(
-        F.max("specific").alias("named"),
-        *[F.flatten(F.collect_list(F.when(F.col(k), F.col("rules")))).alias(f"r_{k}") for k in ("specific", "wildcard")],
-        *[F.max(F.when(F.col(k), F.col("delay"))).alias(f"d_{k}") for k in ("specific", "wildcard")],
-    )
-    rules = F.array_sort(F.when(F.col("named"), F.col("r_specific")).otherwise(F.col("r_wildcard")))
-    empty = F.array().cast("array<struct<pos: int, allow: boolean, pattern: string>>")
-    chosen = per_host.select(
-        "host", rules.alias("rules"), F.when(F.col("named"), F.col("d_specific")).otherwise(F.col("d_wildcard"))
-        .alias("crawl_delay"),
-    )
-    return (
-        files.select("host").join(chosen, "host", "left").join(sitemaps, "host", "left")
-        .select("host", F.coalesce("rules", empty).alias("rules"), "crawl_delay",
-                F.coalesce("sitemaps", F.array().cast("array<string>")).alias("sitemaps"))
-    )
+
+    def about(group: Column) -> Column:
+        agents = F.split(F.translate(F.substring_index(group, LINE, 1), AGENT_OPEN, ""), AGENT_CLOSE)
+        agents = F.slice(agents, 1, F.size(agents) - 1)
+        rest = F.split(group, LINE)
+        rest = F.transform(F.slice(rest, 2, F.size(rest)), lambda x: F.struct(
+            F.substring_index(x, ":", 1).alias("field"), F.regexp_replace(x, r"^[^:]*:", "").alias("value")))
+        rules = F.filter(rest, lambda x: x["field"].isin("allow", "disallow") & (x["value"] != ""))
+        delays = F.transform(F.filter(rest, lambda x: x["field"] == "crawl-delay"), lambda x: x["value"].try_cast("double"))
+        return F.struct(
+            F.exists(agents, lambda x: (x != "*") & (F.lit(me).startswith(x) | x.startswith(name))).alias("specific"),
+            F.array_contains(agents, "*").alias("wildcard"),
+            F.transform(rules, lambda x: F.struct((x["field"] == "allow").alias("allow"), x["value"].alias("pattern"))).alias("rules"),
+            F.try_element_at(F.filter(delays, lambda x: x >= 0), F.lit(-1)).alias("delay"))
+
+    read = files.select("host", named.alias("_fields")).select("host", sitemaps.alias("sitemaps"), F.transform(groups, about).alias("_groups"))
+    chosen = F.when(F.exists("_groups", lambda g: g["specific"]), F.filter("_groups", lambda g: g["specific"])).otherwise(
+        F.filter("_groups", lambda g: g["wildcard"]))
+    return read.select("host", "sitemaps", chosen.alias("_chosen")).select(
+        "host", F.flatten(F.transform("_chosen", lambda g: g["rules"])).alias("rules"),
+        F.array_max(F.transform("_chosen", lambda g: g["delay"])).alias("crawl_delay"), "sitemaps")
 
 
 def policies(cache: DataFrame, agent: str) -> DataFrame:
     """Policies of a robots cache; a host that could not be asked is left alone entirely."""
-    deny = F.array(F.struct(F.lit(0).alias("pos"), F.lit(False).alias("allow"), F.lit("/").alias("pattern")))
+    deny = F.array(F.struct(F.lit(False).alias("allow"), F.lit("/").alias("pattern")))
     read = parse_robots(cache.filter("reachable"), agent)
     shut = cache.filter(~F.col("reachable")).select(
         "host", deny.alias("rules"), F.lit(None).cast("double").alias("crawl_delay"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_KEYS = 128
+#: Keys answered by broadcast: one per shuffle partition, and these many at least.
+LEAST_HOT_KEYS = 128
 SPREAD = 1024
 
 
@@ -31,20 +32,21 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_o
                 weight: str | None = None) -> DataFrame:
     """Left join to a side that is unique per key, without sending a heavy key to one task.
 
-    The heaviest ``HOT_KEYS`` keys of the left side are answered by a broadcast of at
-    most that many right rows.  Their left rows then carry a salt that matches nothing
+    The heaviest keys of the left side, one per shuffle partition, are answered by a broadcast
+    of at most that many right rows.  Their left rows then carry a salt that matches nothing
     on the right, so the shuffle join scatters them; every other key has salt 0.  A key
-    outside the broadcast holds at most 1/``HOT_KEYS`` of the rows.  ``weight`` names a
+    outside the broadcast holds at most one partition's even share of the rows.  ``weight`` names a
     right column that already counts the left rows of the key, which saves counting them.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
+    hot_keys = max(LEAST_HOT_KEYS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if weight is not None:
-        hot = right.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+        hot = right.orderBy(F.desc(weight), *keys).limit(hot_keys)
     else:
         heavy = (
             left.select(*keys).dropna().groupBy(*keys).agg(F.count("*").alias("_n"))
-            .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys)
+            .orderBy(F.desc("_n"), *keys).limit(hot_keys).select(*keys)
         )
         hot = right.join(F.broadcast(heavy), keys, "left_semi")
     hot = hot.select(*keys, F.struct(*values).alias("_hot"))

@@ -284,17 +284,17 @@ def resort_review(queue: DataFrame, sort: str = "match", search: str = "") -> Da
     return queue.orderBy(lead, F.desc(second), "id")
 
 
-def draft_candidates(t: Tables, threshold: float, limit: int = 10) -> DataFrame:
+def draft_candidates(t: Tables, threshold: float, limit: int | None = None) -> DataFrame:
     """Postings to draft for: above threshold, not yet decided, with a body; unscored counts as 3."""
     jobs = t["jobs"].filter(
         F.col("review_status").isin("new", "scored") & (F.col("description") != "")
     ).select(F.col("id").alias("job_id"), "company", "title")
-    return (
+    ranked = (
         t["matches"].filter(F.col("match_score") >= threshold).select("job_id", "match_score").join(jobs, "job_id")
         .join(t["scores"].select("job_id", "ai_score"), "job_id", "left")
         .withColumn("rank_score", F.coalesce("ai_score", F.lit(3)))
-        .orderBy(F.desc("rank_score"), F.desc("match_score"), "job_id").limit(limit)
     )
+    return ranked if limit is None else ranked.orderBy(F.desc("rank_score"), F.desc("match_score"), "job_id").limit(limit)
 
 
 def liveness_candidates(t: Tables, now: Column, recheck_after_days: int | None = None,

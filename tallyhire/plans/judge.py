@@ -8,7 +8,7 @@ answer fails a check is reported, and the others go on.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,8 +16,12 @@ from tallyhire.functions import pay, place
 from tallyhire.functions.text import contains_typed, model_json
 from tallyhire.operators.dedupe import repost_counts
 from tallyhire.operators.extract import label_skills, resolve_labels
+from tallyhire.operators.match import attach_skill_lists
+from tallyhire.operators.profile import profile_summary
 from tallyhire.operators.settle import settled
 from tallyhire.operators.upsert import SCORES_RULES, overwrite_rules, replace_ai_skills, upsert
+from tallyhire.plans.jobs import draft_candidates
+from tallyhire.plans.tracker import list_answers
 
 Judge = Callable[[DataFrame], DataFrame]
 ANSWERS = "job_id string, answer string, error string"
@@ -224,10 +228,14 @@ def score_jobs(jobs: DataFrame, matches: DataFrame, scores: DataFrame, judge: Ju
 
 
 def arithmetic_signals(jobs: DataFrame, target_min: float | None, target_currency: str,
-                       target_period: str = "annual") -> DataFrame:
-    """(job_id, salary_source, salary_shape, salary_vs_target, remote_reality, repost_count): stated facts only."""
+                       target_period: str = "annual", only: DataFrame | None = None) -> DataFrame:
+    """(job_id, salary_source, salary_shape, salary_vs_target, remote_reality, repost_count): stated facts only.
+
+    ``only`` holds the rows of ``jobs`` to answer for.
+    """
     lo, hi = F.col("salary_min"), F.col("salary_max")
-    return jobs.join(repost_counts(jobs), "id").select(
+    rows = jobs if only is None else only
+    return rows.join(repost_counts(jobs, only), "id").select(
         F.col("id").alias("job_id"),
         F.when(lo.isNull() & hi.isNull(), "absent").otherwise("disclosed").alias("salary_source"),
         pay.salary_shape(lo, hi).alias("salary_shape"),
@@ -258,11 +266,11 @@ def compute_signals(jobs: DataFrame, matches: DataFrame, signals: DataFrame, jud
                     target_min: float | None, target_currency: str, now: Column, limit: int | None = 40,
                     location: str | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Arithmetic for every candidate; a failed judgement costs the tone reading, not the row."""
-    picked = above_threshold(jobs, matches, signals, threshold, limit, location)
+    picked = settled(above_threshold(jobs, matches, signals, threshold, limit, location))
     prompt = F.concat(F.lit("POSTING: "), "title", F.lit("\n\n"),
                       _shown("description", prompt_chars))
     results = parsed(judge(picked.select("job_id", prompt.alias("prompt"))), SIGNALS, _valid_signals)
-    facts = arithmetic_signals(jobs, target_min, target_currency).join(picked.select("job_id"), "job_id", "left_semi")
+    facts = arithmetic_signals(jobs, target_min, target_currency, only=picked.withColumnRenamed("job_id", "id"))
     r = F.col("r")
     none = F.array().cast("array<string>")
     rows = facts.join(results, "job_id", "left").select(
@@ -275,6 +283,60 @@ def compute_signals(jobs: DataFrame, matches: DataFrame, signals: DataFrame, jud
     return upsert(signals, rows, ["job_id"], overwrite_rules(signals.columns, ["job_id"]), "_o"), results
 
 
+# -- draft --------------------------------------------------------------------
+
+DRAFT = (
+    "coverLetter string, resumeNotes array<string>, answers array<struct<question: string, answer: string>>, "
+    "missingInformation array<string>"
+)
+
+
+def _valid_draft(r: Column) -> Column:
+    return (
+        (F.length(r["coverLetter"]) >= 80) & _texts(r["resumeNotes"], 8, 240) & (F.size(r["answers"]) <= 10)
+        & F.forall(r["answers"], lambda a: (F.length(a["question"]) <= 300) & (F.length(a["answer"]) <= 1500))
+        & _texts(r["missingInformation"], 6, 200)
+    )
+
+
+def _in_lines(rows: DataFrame, order: Column, text: Column) -> Column:
+    """The texts of a few rows under each other."""
+    lines = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    return rows.agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n")).scalar()
+
+
+def draft_requests(t: Mapping[str, DataFrame], answers: DataFrame, threshold: float, limit: int | None = None, bank: int = 20,
+                   prompt_chars: int | None = None) -> DataFrame:
+    """(job_id, prompt) per posting to draft for: profile, the ``bank`` most used answers, skill lists and the posting.
+
+    The profile has at most a row per vocabulary entry and the bank ``bank`` rows; both go into each prompt as one text.
+    """
+    picked = settled(draft_candidates(t, threshold, limit))
+    listed = attach_skill_lists(picked, t["job_skills"], t["profile_skills"])
+    bodies = t["jobs"].select(F.col("id").alias("job_id"), "description")
+    profile = _in_lines(profile_summary(t["profile_skills"]), F.col("category"), F.concat("category", F.lit(": "), "skills"))
+    known = _in_lines(list_answers(answers, bank), F.struct(-F.col("times_used"), "question"),
+                      F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer"))
+    prompt = F.concat_ws(
+        "\n", F.lit("PROFILE"), profile, F.lit("CONFIRMED ANSWERS"), known,
+        F.concat(F.lit("POSTING: "), "title", F.lit(" at "), "company"),
+        F.concat(F.lit("Matched skills: "), F.array_join("matched", ", ")),
+        F.concat(F.lit("Strengths not asked for: "), F.array_join("bonus", ", ")), _shown("description", prompt_chars))
+    return listed.join(bodies, "job_id").select("job_id", prompt.alias("prompt"))
+
+
+def draft_jobs(t: Mapping[str, DataFrame], answers: DataFrame, judge: Judge, threshold: float, limit: int | None = None,
+               bank: int = 20, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, drafts, results): postings whose draft fits become ``drafted``; the others stay as they are."""
+    results = parsed(judge(draft_requests(t, answers, threshold, limit, bank, prompt_chars)), DRAFT, _valid_draft)
+    drafts = results.filter(F.col("r").isNotNull()).select(
+        "job_id", F.col("r.coverLetter").alias("cover_letter"), F.col("r.resumeNotes").alias("resume_notes"),
+        F.col("r.answers").alias("answers"), F.col("r.missingInformation").alias("missing_information"))
+    done = drafts.select(F.col("job_id").alias("id"), F.lit("drafted").alias("_drafted"))
+    jobs = t["jobs"].join(done, "id", "left").withColumn("review_status", F.coalesce("_drafted", "review_status"))
+    return jobs.select(*t["jobs"].columns), drafts, results
+
+
 # -- routing ------------------------------------------------------------------
 
 

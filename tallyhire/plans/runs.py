@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire.functions.cost import PRICES, approximate_tokens, estimate_cost, format_usd
 from tallyhire.functions.dates import period_start
+from tallyhire.operators.lifecycle import STALE_DAYS
 from tallyhire.operators.skew import latest_by
+from tallyhire.plans.tracker import stale_applications, status_counts
 from tallyhire.sources.feeds import SPECS
 
 
@@ -70,6 +74,38 @@ def engine_status_line(runs: DataFrame) -> DataFrame:
     )
 
 
+def status_report(jobs: DataFrame, applications: DataFrame, runs: DataFrame, spend: DataFrame, answers: DataFrame,
+                  now: Column, since: Column | None = None, stale_after: int = STALE_DAYS) -> DataFrame:
+    """The report over all stored tables as rows (section, name, n, usd, note).
+
+    Sections: pipeline (postings per review status, and all as ``seen``), applications (per status), stale (per gone-quiet
+    application, *n* its days), engines (ok, idle and failing), failing (per failing engine, with its error), spend (total, per
+    stage, and calls without a known price), answers.  A section with nothing to say has no rows.
+    """
+    def rows(df: DataFrame, section: str, name: Column, n: Column, usd: Column = F.lit(None), note: Column = F.lit(None)) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.alias("name"), n.cast("bigint").alias("n"),
+                         usd.cast("double").alias("usd"), note.cast("string").alias("note"))
+
+    col = F.col
+    line = engine_status_line(runs).select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("name"), col(k).alias("n")) for k in ("ok", "idle", "failing")])))
+    spent = spend_since(spend, since).filter(col("level").isin("total", "stage") & (col("calls") > 0))
+    total = spent.filter("level = 'total' and unpriced > 0")
+    parts = [
+        rows(pipeline_counts(jobs), "pipeline", F.when(col("is_total"), "seen").otherwise(col("status")), col("n")),
+        rows(status_counts(applications), "applications", col("status"), col("n")),
+        rows(stale_applications(applications, jobs, now, stale_after), "stale", col("job_id"), col("days_since"),
+             note=F.concat_ws(", ", "company", "title")),
+        rows(line.filter("n > 0"), "engines", col("name"), col("n")),
+        rows(last_recorded_runs(runs).filter(col("status").isin("error", "rate_limited")), "failing", col("engine"), F.lit(None),
+             note=col("error")),
+        rows(spent, "spend", F.when(col("level") == "total", "total").otherwise(col("name")), col("calls"), col("usd")),
+        rows(total, "spend", F.lit("unpriced"), col("unpriced")),
+        rows(answers.agg(F.count("*").alias("n")).filter("n > 0"), "answers", F.lit("confirmed"), col("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- spend --------------------------------------------------------------------
 
 

@@ -62,15 +62,35 @@ def run_outcome(spec: SourceSpec, payloads: DataFrame, query: SearchQuery, now:
     )
 
 
-def run_sources(payloads: Mapping[str, DataFrame], query: SearchQuery, now: Column) -> DataFrame:
+def own_boards(spec: SourceSpec, boards: DataFrame) -> DataFrame:
+    """(board_token) of the active boards on this source's platform."""
+    return boards.filter(F.col("active") & (F.col("ats") == spec.id)).select(F.col("token").alias("board_token")).distinct()
+
+
+def of_own_boards(spec: SourceSpec, payloads: DataFrame, boards: DataFrame | None) -> DataFrame:
+    """The responses of a source's own active boards; a source without boards, or no boards given, keeps all."""
+    if boards is None or not spec.needs_boards:
+        return payloads
+    return payloads.join(own_boards(spec, boards), "board_token", "left_semi").select(*payloads.columns)
+
+
+def run_sources(payloads: Mapping[str, DataFrame], query: SearchQuery, now: Column, boards: DataFrame | None = None) -> DataFrame:
     """Records of every requested source; a source that fails contributes nothing and harms no other."""
-    parts = [run_source(SPECS[s], df, query, now) for s, df in payloads.items() if s in SPECS]
+    parts = [run_source(SPECS[s], of_own_boards(SPECS[s], df, boards), query, now) for s, df in payloads.items() if s in SPECS]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def run_outcomes(payloads: Mapping[str, DataFrame], query: SearchQuery, now: Column) -> DataFrame:
-    parts = [run_outcome(SPECS[s], df, query, now) for s, df in payloads.items() if s in SPECS]
-    return reduce(DataFrame.unionByName, parts)
+def run_outcomes(payloads: Mapping[str, DataFrame], query: SearchQuery, now: Column, boards: DataFrame | None = None) -> DataFrame:
+    """One engine_runs row per source; with ``boards`` given, one that needs boards and has none of its own is skipped."""
+    def outcome(spec: SourceSpec, df: DataFrame) -> DataFrame:
+        out = run_outcome(spec, of_own_boards(spec, df, boards), query, now)
+        if boards is None or not spec.needs_boards:
+            return out
+        none = own_boards(spec, boards).agg(F.count("*") == 0).scalar()
+        return out.withColumns({"status": F.when(none, "skipped").otherwise(F.col("status")),
+                                "error": F.when(none, readiness(spec)[1]).otherwise(F.col("error"))})
+
+    return reduce(DataFrame.unionByName, [outcome(SPECS[s], df) for s, df in payloads.items() if s in SPECS])
 
 
 def to_job_rows(raw: DataFrame, now: Column) -> DataFrame:

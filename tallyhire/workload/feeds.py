@@ -228,6 +228,24 @@ def _(w):
     return ig.run_outcomes(_several(w), ANY, w.now)
 
 
+_TOKENS = "SELECT 'tok' || CAST(s_suppkey AS VARCHAR) AS token FROM supplier WHERE s_suppkey % 5 <> 1 AND s_suppkey % 4 = {0}"
+
+
+@register("J14_source_boards", query(f"""
+    SELECT 'greenhouse' AS engine, CAST(sid AS VARCHAR) AS native_id FROM base WHERE {_KEPT} AND 'tok' || sid IN ({_TOKENS.format(0)})
+    UNION ALL SELECT 'jooble', CAST(sid AS VARCHAR) FROM base""", base=BASE.sql()))
+def _(w):
+    return ig.run_sources(_several(w), ANY, w.now, w.boards).select("engine", "native_id")
+
+
+@register("J14_board_outcomes", query(f"""
+    SELECT 'greenhouse' AS engine, 'ok' AS status, count(*) AS fetched, NULL::VARCHAR AS error FROM base WHERE {_KEPT} AND 'tok' || sid IN ({_TOKENS.format(0)})
+    UNION ALL SELECT 'jooble', 'ok', count(*), NULL FROM base UNION ALL SELECT 'careerjet', 'error', 0, 'bad affid'
+    UNION ALL SELECT 'lever', 'empty', 0, NULL UNION ALL SELECT 'workable', 'skipped', 0, 'no Workable boards known yet'""", base=BASE.sql()))
+def _(w):
+    return ig.run_outcomes(_several(w), ANY, w.now, w.boards)
+
+
 @register("S0h_first_seen", query("""
     SELECT o_custkey AS native_id, min(o_orderkey) AS seq FROM orders GROUP BY o_custkey"""))
 def _(w):

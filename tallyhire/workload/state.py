@@ -404,6 +404,18 @@ def _(w):
     return out.groupBy("wlb_score", "salary_vs_target", "repost_count").agg(F.count("*").alias("n"))
 
 
+_DRAFTED = """'{"coverLetter":"' || repeat('Dear all, ', 9) || '","resumeNotes":["lead with pay"],"answers":[],"missingInformation":["notice period"]}'"""
+
+
+@register("G05_draft_jobs", query("""
+    SELECT j.id, CASE WHEN j.review_status IN ('new', 'scored') AND j.description <> '' AND m.match_score >= 0.3 AND ascii(right(j.id, 1)) % 5 <> 4
+      THEN 'drafted' ELSE j.review_status END AS review_status FROM jobs j LEFT JOIN matches m ON m.job_id = j.id"""))
+def _(w):
+    bank = w.answers.groupBy("question").agg(F.max("answer").alias("answer"), F.count("*").alias("times_used"))
+    jobs, _, _ = jg.draft_jobs(w.tables, bank, _stub(_DRAFTED), 0.3)
+    return jobs.select("id", "review_status")
+
+
 @register("X48_schema_validation", query("""
     SELECT count(*) AS considered, count(*) FILTER (user_id % 10 BETWEEN 1 AND 5) AS succeeded, count(*) FILTER (user_id % 10 NOT BETWEEN 1 AND 5) AS failed FROM events"""))
 def _(w):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyhire.plans import jobs as pj
 from tallyhire.plans import runs as pr
@@ -199,6 +199,29 @@ def _(w):
     return pj.resort_review(queue, "score", "Globex").select("id", "company", "ai_score", "match_score")
 
 
+def resorted(sort: str, order: str) -> None:
+    """The first 200 rows of a re-sorted queue, each with its place."""
+    sql = query(f"""
+        SELECT CAST(row_number() OVER (ORDER BY {order}, j.id) - 1 AS BIGINT) AS place, j.id FROM matches m JOIN jobs j ON j.id = m.job_id
+        LEFT JOIN scores s ON s.job_id = j.id WHERE j.canonical_id IS NULL AND j.review_status IN ('new', 'scored', 'drafted')
+        ORDER BY place LIMIT 200""")
+
+    @register(f"O12_review_resort_{sort}", sql)
+    def _(w):
+        return placed(pj.resort_review(pj.review_queue(w.tables, 0.35, everything=True), sort), "id")
+
+
+def placed(ordered: DataFrame, *columns: str) -> DataFrame:
+    """A page of 200 rows of an ordered view, which is one partition, with every row's place on it."""
+    return ordered.limit(200).select(F.monotonically_increasing_id().alias("place"), *columns)
+
+
+resorted("match", "m.match_score DESC, coalesce(m.coverage, -1) DESC")
+resorted("coverage", "coalesce(m.coverage, -1) DESC, m.match_score DESC")
+resorted("score", "coalesce(s.ai_score, -1) DESC, m.match_score DESC")
+resorted("company", "lower(j.company), m.match_score DESC")
+
+
 @register("F18_draft_candidates", query(f"""
     SELECT job_id, company, title, ai_score, {num('match_score')} FROM (
       SELECT m.job_id, j.company, j.title, s.ai_score, m.match_score FROM matches m JOIN jobs j ON j.id = m.job_id
@@ -334,6 +357,29 @@ def _(w):
     return pt.stale_applications(w.applications, w.jobs, w.now, 400)
 
 
+@register("O13_tracker_order", query("""
+    SELECT CAST(row_number() OVER (ORDER BY a.last_status_at DESC NULLS LAST, a.job_id) - 1 AS BIGINT) AS place, a.job_id
+    FROM applications a JOIN jobs j ON j.id = a.job_id ORDER BY place LIMIT 200"""))
+def _(w):
+    return placed(pt.all_applications(w.applications, w.jobs), "job_id")
+
+
+@register("O13_stale_order", query(f"""
+    SELECT CAST(row_number() OVER (ORDER BY a.last_status_at, a.job_id) - 1 AS BIGINT) AS place, a.job_id
+    FROM applications a JOIN jobs j ON j.id = a.job_id
+    WHERE a.status IN ('submitted', 'responded') AND floor({_EPOCH} / 86400000.0) >= 400 ORDER BY place LIMIT 200"""))
+def _(w):
+    return placed(pt.stale_applications(w.applications, w.jobs, w.now, 400), "job_id")
+
+
+@register("O15_profile_order", query("""
+    SELECT CAST(row_number() OVER (ORDER BY category, skill) - 1 AS BIGINT) AS place, skill FROM profile ORDER BY place LIMIT 200"""))
+def _(w):
+    from tallyhire.operators.profile import load_profile
+
+    return placed(load_profile(w.profile), "skill")
+
+
 @register("V17_list_answers", query("""
     SELECT question, max(answer) AS answer, count(*) AS times_used FROM answers GROUP BY question"""))
 def _(w):
@@ -428,6 +474,33 @@ def _(w):
     return pr.spend_since(w.ai_spend, since).withColumn("usd", F.round("usd", 4))
 
 
+@register("V16_status_report", query(f"""
+    SELECT * FROM (WITH last AS (SELECT engine, status, error FROM engine_runs WHERE id IN (SELECT max(id) FROM engine_runs GROUP BY engine)),
+      recent AS (SELECT * FROM ai_spend WHERE called_at >= {_SINCE}), quiet AS (
+        SELECT a.job_id, j.company, j.title, CAST(floor({_EPOCH} / 86400000.0) AS BIGINT) AS days FROM applications a JOIN jobs j ON j.id = a.job_id
+        WHERE a.status IN ('submitted', 'responded')),
+      report AS (
+        SELECT 'pipeline' AS section, review_status AS name, count(*) AS n, NULL::DOUBLE AS usd, NULL::VARCHAR AS note FROM jobs GROUP BY review_status
+        UNION ALL SELECT 'pipeline', 'seen', count(*), NULL, NULL FROM jobs
+        UNION ALL SELECT 'applications', status, count(*), NULL, NULL FROM applications GROUP BY status
+        UNION ALL SELECT 'stale', job_id, days, NULL, company || ', ' || title FROM quiet WHERE days >= 400
+        UNION ALL SELECT 'engines', CASE WHEN status = 'ok' THEN 'ok' WHEN status IN ('error', 'rate_limited') THEN 'failing' ELSE 'idle' END AS name,
+          count(*), NULL, NULL FROM last GROUP BY name
+        UNION ALL SELECT 'failing', engine, NULL, NULL, error FROM last WHERE status IN ('error', 'rate_limited')
+        UNION ALL SELECT 'spend', 'total', count(*), sum(estimated_usd), NULL FROM recent HAVING count(*) > 0
+        UNION ALL SELECT 'spend', stage, count(*), sum(estimated_usd), NULL FROM recent GROUP BY stage
+        UNION ALL SELECT 'spend', 'unpriced', count(*), NULL, NULL FROM recent WHERE estimated_usd = 0 AND cost_source = 'derived' HAVING count(*) > 0
+        UNION ALL SELECT 'answers', 'confirmed', count(DISTINCT question), NULL, NULL FROM answers HAVING count(*) > 0)
+    SELECT section, name, n, round(usd, 4) AS usd, note FROM report)"""))
+def _(w):
+    from tallyhire.functions.dates import period_start
+
+    since = period_start(F.lit(SPEND_NOW).cast("timestamp"), "weekly")
+    bank = w.answers.groupBy("question").agg(F.max("answer").alias("answer"), F.count("*").alias("times_used"))
+    report = pr.status_report(w.jobs, w.applications, w.engine_runs, w.ai_spend, bank, w.now, since, 400)
+    return report.withColumn("usd", F.round("usd", 4))
+
+
 def budget(name: str, limit: float, projected: float) -> None:
     usd = "CASE WHEN {0} = 0 THEN '$0.00' WHEN {0} < 0.01 THEN '<$0.01' ELSE '$' || CAST(CAST(round({0}, 2) AS DECIMAL(20,2)) AS VARCHAR) END"
     cap = f"'${limit:.2f} monthly limit'"

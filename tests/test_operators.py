@@ -215,3 +215,68 @@ def test_every_facet_value_unless_a_size_is_given(spark):
 
     jobs = spark.createDataFrame([(f"c{i}", "here", None) for i in range(60)], "company string, location string, canonical_id string")
     assert facets({"jobs": jobs}).count() == 61 and facets({"jobs": jobs}, 5).count() == 6
+
+
+def test_robots_groups_delays_and_odd_bodies(spark):
+    body = ("Disallow: /early\nUser-agent: zed\nUser-agent: *\nDisallow: /star # note\nCrawl-delay: 2\nCrawl-delay: -1\n\n"
+            "Sitemap: https://s/a.xml\nuser-agent: Bot/2\nhost: x\nALLOW: /a:b\nCrawl-delay: 7\r\nUser-agent: other\nUser-agent: bot\nDisallow:\nDisallow: /late\n")
+    many = "User-agent: *\n" + "".join(f"Disallow: /p{i}\n" for i in range(20_000))
+    rows = [("a", body), ("b", None), ("c", "no colon"), ("d", many), ("e", "User-agent: *\nDisallow: /\u0003x\u0001\n"), (None, body)]
+    got = {r["host"]: r for r in robots.parse_robots(spark.createDataFrame(rows, "host string, body string"), "bot").collect()}
+    assert [(r["allow"], r["pattern"]) for r in got["a"]["rules"]] == [(True, "/a:b"), (False, "/late")]
+    assert got["a"]["crawl_delay"] == 7 and got["a"]["sitemaps"] == ["https://s/a.xml"] and got[None]["rules"] == got["a"]["rules"]
+    assert got["b"]["rules"] == got["c"]["rules"] == [] and got["b"]["crawl_delay"] is None
+    assert len(got["d"]["rules"]) == 20_000 and got["d"]["rules"][-1]["pattern"] == "/p19999"
+    assert [r["pattern"] for r in got["e"]["rules"]] == ["/x"]
+    other = robots.parse_robots(spark.createDataFrame(rows[:1], "host string, body string"), "none").first()
+    assert [r["pattern"] for r in other["rules"]] == ["/star"] and other["crawl_delay"] == 2
+    plan = robots.parse_robots(spark.createDataFrame(rows, "host string, body string"), "bot")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_many_equally_hot_keys_stay_even(spark):
+    left = spark.range(20_000).selectExpr("id", "concat('k', id % 200) AS k")
+    right = spark.range(200).selectExpr("concat('k', id) AS k", "id AS v")
+    shuffled = skew.spread_join(left, right, ["k"], ["id"])
+    assert shuffled.filter("v = cast(substr(k, 2) AS bigint)").count() == 20_000
+
+
+def test_boards_reach_only_their_own_source(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhire.sources import ingest
+    from tallyhire.sources.feeds import SPECS
+    from tallyhire.sources.spec import SearchQuery
+
+    shape = "seq bigint, kind string, board_company string, board_token string, body string, http_status int, error string"
+    sent = spark.createDataFrame([(i, None, "c", t, '{"jobs":[{"id":%d,"title":"t","absolute_url":"u"}]}' % i, None, None)
+                                  for i, t in enumerate(["mine", "off", "theirs", None])], shape)
+    boards = spark.createDataFrame([("c", "greenhouse", "mine", True), ("c", "greenhouse", "mine", True), ("c", "greenhouse", "off", False),
+                                    ("c", "lever", "theirs", True)], "company string, ats string, token string, active boolean")
+    kept = ingest.of_own_boards(SPECS["greenhouse"], sent, boards)
+    assert [r["board_token"] for r in kept.collect()] == ["mine"]
+    assert ingest.of_own_boards(SPECS["greenhouse"], sent, None).count() == 4
+    now = F.lit("2024-01-01").cast("timestamp")
+    out = {r["engine"]: r["status"] for r in ingest.run_outcomes({"greenhouse": sent, "ashby": sent}, SearchQuery(max_age_days=1e9), now, boards).collect()}
+    assert out == {"greenhouse": "ok", "ashby": "skipped"}
+
+
+def test_draft_prompt_and_fold(spark):
+    from tallyhire.plans import judge
+
+    jobs = spark.createDataFrame([("j1", "Co", "Dev", "whole body", "new"), ("j2", "Co", "Ops", "b", "new"), ("j3", "Co", "Old", "b", "approved")],
+                                 "id string, company string, title string, description string, review_status string")
+    t = {"jobs": jobs,
+         "matches": spark.createDataFrame([("j1", 0.9), ("j2", 0.9), ("j3", 0.9)], "job_id string, match_score double"),
+         "scores": spark.createDataFrame([], "job_id string, ai_score int"),
+         "job_skills": spark.createDataFrame([("j1", "java", "Java", "required", 0)], "job_id string, skill string, label string, requirement string, ordinal bigint"),
+         "profile_skills": spark.createDataFrame([("java", "Java", "language", "strong", 3.0), ("go", "Go", "language", "expert", None)],
+                                                 "skill string, label string, category string, level string, years double")}
+    answers = spark.createDataFrame([("visa?", "none", 3), ("notice?", "a month", 5)], "question string, answer string, times_used bigint")
+    asked = {r["job_id"]: r["prompt"] for r in judge.draft_requests(t, answers, 0.5).collect()}
+    assert set(asked) == {"j1", "j2"} and "Matched skills: java\nStrengths not asked for: go\nwhole body" in asked["j1"]
+    assert asked["j1"].index("notice?") < asked["j1"].index("visa?")
+    answer = """concat('{"coverLetter":"', repeat('x', if(job_id = 'j1', 80, 79)), '","resumeNotes":[],"answers":[],"missingInformation":[]}')"""
+    out, drafts, _ = judge.draft_jobs(t, answers, lambda q: q.selectExpr("job_id", f"{answer} AS answer", "CAST(NULL AS STRING) AS error"), 0.5)
+    assert {r["id"]: r["review_status"] for r in out.collect()} == {"j1": "drafted", "j2": "new", "j3": "approved"}
+    assert [r["job_id"] for r in drafts.collect()] == ["j1"]
