@@ -25,6 +25,8 @@ PER_YEAR = {"annual": 1, "monthly": 12, "hourly": 52 * 40}
 PLAUSIBLE = {"hourly": (5, 5_000), "monthly": (500, 10_000_000), "annual": (1_000, 100_000_000)}
 MAX_SPREAD = 20
 WINDOW = 400
+#: A cue with a figure that begins in its window.
+CUE_WITH_FIGURE = rf"{CUE}(?=[\s\S]{{0,{WINDOW}}}?(?:{RANGE}|{SINGLE}))"
 TARGET_BAND = 0.02
 
 
@@ -63,18 +65,19 @@ def _plausible(lo: Column, hi: Column, period: Column) -> Column:
 
 
 def parse_salary(text: Column, fallback_currency: str = "") -> Column:
-    """A pay range from prose: look near the first pay cue, prefer a range over a single figure.
+    """A pay range from prose: look near the first pay cue that has a figure, prefer a range over a single figure.
 
-    An implausible range means nothing is reported, never half of it; a single
-    figure counts only when pay was being discussed.
+    Near is ``WINDOW`` characters; cues without a figure that near are passed over to the end of the text.  Without any
+    cue the first range of the text counts.  An implausible range means nothing is reported, never half of it; a
+    single figure counts only when pay was being discussed.
     """
     text = F.coalesce(text, F.lit(""))
     fallback = F.lit(fallback_currency)
     state = F.lit("parsed")
 
     def window(cue: Column) -> Column:
-        near = F.substring(text, F.greatest(cue, F.lit(1)), F.lit(WINDOW))
-        return F.struct(near.alias("near"), (cue > 0).alias("cued"))
+        near = F.substring(text, cue["at"], F.lit(WINDOW))
+        return F.struct(near.alias("near"), cue["cued"].alias("cued"))
 
     def matches(w: Column) -> Column:
         near = w["near"]
@@ -111,8 +114,15 @@ def parse_salary(text: Column, fallback_currency: str = "") -> Column:
             .otherwise(absent())
         )
 
-    cue = F.regexp_instr(text, F.lit(CUE))
-    return let(let(let(let(cue, window), matches), figures), verdict)
+    # a text without a digit has no figure, and no cue needs looking at
+    with_figure = F.when(text.rlike(r"\d"), F.regexp_instr(text, F.lit(CUE_WITH_FIGURE))).otherwise(0)
+    bare = F.when(text.rlike(r"\d") & ~text.rlike(CUE), F.regexp_instr(text, F.lit(RANGE))).otherwise(0)
+
+    def start(cue: Column) -> Column:
+        other = F.when(bare > WINDOW, bare).otherwise(1)
+        return F.struct(F.when(cue > 0, cue).otherwise(other).alias("at"), (cue > 0).alias("cued"))
+
+    return let(let(let(let(let(with_figure, start), window), matches), figures), verdict)
 
 
 def from_structured(lo: Column, hi: Column, currency: Column, period: Column | None = None,

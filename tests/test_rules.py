@@ -157,3 +157,15 @@ def test_header(one):
     assert (h["company"], h["title"], h["location"]) == ("Acme", "Backend Dev", "REMOTE (EU)")
     assert one(tx.parse_header, "just text")["title"] == "just text"
     assert one(tx.parse_header, "")["company"] == ""
+
+
+@pytest.mark.parametrize("text, lo, hi", [
+    ("We pay well. " + "word " * 200 + "The salary is $61,000 - $72,000", 61000, 72000),  # a later cue has the figure
+    ("offers of all sorts " + "word " * 5000 + "pay £54,000", 54000, 54000),
+    ("x" * 900 + " $61,000 - $72,000 " + "y" * 900, 61000, 72000),  # no cue at all
+    ("salary 3 - 800000 " + "word " * 200 + "pay $61,000", None, None),  # a rejected range decides
+    ("We pay well. " + "word " * 200, None, None), ("pay " * 3000, None, None),
+])
+def test_parse_salary_reads_the_whole_text(one, text, lo, hi):
+    s = one(pay.parse_salary, text)
+    assert (s["min"], s["max"]) == (lo, hi)
