@@ -30,15 +30,18 @@ def counting(name: str, filters: JobFilters, where: str) -> None:
 FIT_PLACES = ("Chennai", "Berlin")
 
 
+#: Tier of every place the postings are given, when marked remote and when not, with ``FIT_PLACES`` preferred.
+FIT_TIERS = {
+    "Remote": (2, 2), "Chennai, Tamil Nadu, India": (3, 3), "Remote (US only)": (0, 0), "London, UK": (0, 0), "": (2, 1),
+    "Remote - Europe": (0, 0), "Bengaluru, India": (2, 0), "N/A": (2, 1), "Remote (APAC)": (2, 2), "Berlin, Germany": (3, 3),
+    "Hybrid - Austin, US": (0, 0), "San Francisco": (2, 0),
+}
+assert set(FIT_TIERS) == {p or "" for p in d.PLACES}
+
+
 def _fit_sql() -> str:
-    loc = "lower(coalesce(location, ''))"
-    preferred = " OR ".join(f"contains({loc}, '{p.lower()}')" for p in FIT_PLACES)
-    open_ = " OR ".join(f"contains({loc}, '{r}')" for r in place.OPEN_REGIONS)
-    shut = " OR ".join(f"contains({loc}, '{r}')" for r in place.RESTRICTED_REGIONS)
-    return (
-        f"CASE WHEN {preferred} THEN 3 WHEN (coalesce(remote, false) OR contains({loc}, 'remote')) AND (({open_}) OR NOT ({shut})) "
-        f"THEN 2 WHEN trim({loc}) IN ({quoted(place.UNSTATED_PLACES)}) THEN 1 ELSE 0 END"
-    )
+    tiers = " ".join(f"WHEN '{p}' THEN CASE WHEN remote THEN {far} ELSE {near} END" for p, (far, near) in FIT_TIERS.items())
+    return f"CASE coalesce(location, '') {tiers} END"
 
 
 listing("V01_list_jobs_score", JobFilters())

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyhire.functions.cost import price_call
 from tallyhire.operators.match import profile_fingerprint, score_matches
+from tallyhire.operators.settle import settled
 from tallyhire.operators.skew import first_by
 from tallyhire.workload import derive as d
 
@@ -58,19 +59,22 @@ class World:
 
     @cached_property
     def profile(self) -> DataFrame:
-        """Skills held: those whose parts are large on average; at most one row per vocabulary entry."""
+        """Skills held: those whose parts are large on average; at most one row per vocabulary entry.
+
+        Every view reads this table several times, so it is stored once, as the original stores it.
+        """
         position = "CAST(p_partkey % 129 AS INT) + 1"
         lists = {"skill": d.SLUGS[:129], "label": d.SKILL_LABELS[:129], "category": d.SKILL_CATEGORIES}
         named = self.raw("part").selectExpr("p_size", *[
             f"split_part('{'|'.join(v)}', '|', {position}) AS {k}" for k, v in lists.items()
         ])
         held = named.groupBy(*lists).agg(F.avg("p_size").alias("mean"), F.sum("p_size").alias("total"))
-        return held.filter("mean > 24").select(
+        return settled(held.filter("mean > 24").select(
             *lists, F.expr(d.pick("total % 4", ("exposure", "working", "strong", "expert"))).alias("level"),
             F.expr("CASE WHEN total % 3 = 0 THEN CAST(total % 9 AS DOUBLE) END").alias("years"),
             F.lit(None).cast("string").alias("evidence"), F.lit("resume").alias("source"),
             F.expr("total % 5 = 0").alias("pinned"), F.lit("2001-01-01").cast("timestamp").alias("updated_at"),
-        )
+        ).coalesce(1))
 
     @cached_property
     def matches(self) -> DataFrame:
