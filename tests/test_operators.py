@@ -235,10 +235,21 @@ def test_robots_groups_delays_and_odd_bodies(spark):
 
 
 def test_many_equally_hot_keys_stay_even(spark):
+    from pyspark.sql import functions as F
+
     left = spark.range(20_000).selectExpr("id", "concat('k', id % 200) AS k")
     right = spark.range(200).selectExpr("concat('k', id) AS k", "id AS v")
-    shuffled = skew.spread_join(left, right, ["k"], ["id"])
-    assert shuffled.filter("v = cast(substr(k, 2) AS bigint)").count() == 20_000
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = skew.spread_join(left, right, ["k"], ["id"])
+        assert joined.filter("v = cast(substr(k, 2) AS bigint)").count() == 20_000
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 def test_boards_reach_only_their_own_source(spark):
