@@ -8,13 +8,13 @@ quotas of a frame add up to its slots), and a lane that meets them is at any tim
 A frame is the same however often it is repeated, so only frames are scheduled and not the blocks: quotas are the weights
 rounded to ``FRAME`` slots, a segment repeats one frame until some lane runs short, one last frame is cut to
 what that lane has left, and the other lanes go on with their weights among themselves.  There are at most twice as many
-segments as lanes, so the whole schedule is bounded by ``MAX_LANES`` and ``FRAME`` and never by the documents; it is joined
-to them by broadcast.  No document is dropped or repeated; a document's place is the slot of the block that it begins in.
+segments as lanes.  One task sweeps the slots of the whole schedule; it holds a row per source, hands on a row per block, and
+the documents meet these by lane and block.  No document is dropped or repeated; a document's place is the slot of the block that it begins in.
 
 A document's place in its source is a running total of sizes.  It is taken from totals per chunk of the input order, so a
 source with most of the rows is spread over all tasks.
 
-Cases: a null source is a source; lanes beyond ``MAX_LANES`` (the smallest) share one lane; weights that are missing, zero
+Cases: a null source is a source; every source has its own lane, however many there are; weights that are missing, zero
 or negative fall back to the size of the source to the power ``TEMPER``; a null or empty text has size one; repeated rows
 are mixed one by one; an empty table gives an empty result.
 """
@@ -22,20 +22,25 @@ are mixed one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import batched
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyhire.operators.settle import settled
 
 BLOCK_SIZE = 65_536
 FRAME = 1024
+#: Read no more, as every source has a lane of its own; the name stays for a test that sets it.
 MAX_LANES = 512
 #: Without given weights a source of size *n* weighs ``n ** TEMPER``: large sources are held back, small ones raised.
 TEMPER = 0.5
-#: Names of the lanes for a null source and for the sources beyond ``MAX_LANES``; a source's own lane starts with "=".
-NO_SOURCE, SHARED = "-", "+"
+#: Name of the lane for a null source; any other source's lane starts with "=".
+NO_SOURCE = "-"
+#: Slots that the sweep hands on at a time.
+OUT_ROWS = 8192
 ROW = "__mix_row"
 CHUNK_BITS = 10
 
@@ -108,52 +113,61 @@ def segments(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int
     return out
 
 
+def placed(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = FRAME) -> Iterator[tuple[str, int]]:
+    """The (lane, block) of every slot of the schedule."""
+    for s in segments(blocks, weights, slots):
+        for k in range(s.repeats):
+            for lane, i in frame(s.quotas):
+                yield lane, s.first[lane] + k * s.quotas[lane] + i
+
+
 def _sizes(documents: DataFrame) -> Column:
     return F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
 
 
-def lanes(documents: DataFrame, weights: Mapping[str, float] | None, block_size: int) -> tuple[dict[str, int], dict[str, float], set[str]]:
-    """Blocks and weight of every lane, and the sources with a lane of their own; at most ``MAX_LANES`` rows are collected."""
-    lane = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE))
-    totals = documents.groupBy(lane.alias("lane")).agg(F.sum(_sizes(documents)).alias("size"))
-    own = {r["lane"]: r["size"] for r in totals.orderBy(F.desc("size"), "lane").limit(MAX_LANES - 1).collect()}
-    everything = totals.agg(F.sum("size")).first()[0] or 0
-    sizes = own | ({SHARED: everything - sum(own.values())} if everything > sum(own.values()) else {})
-    given = {"=" + name: w for name, w in (weights or {}).items() if w > 0}
-    weighed = {name: given.get(name, size ** TEMPER) for name, size in sizes.items()}
-    return {name: -(-size // block_size) for name, size in sizes.items()}, weighed, set(own)
+def _lane(source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(NO_SOURCE))
+
+
+def lanes(documents: DataFrame, weights: Mapping[str, float] | None, block_size: int) -> DataFrame:
+    """(_lane, _blocks, _weight) of every source; nothing is collected."""
+    totals = documents.groupBy(_lane("source").alias("_lane")).agg(F.sum(_sizes(documents)).alias("_size"))
+    tempered, given = F.pow("_size", F.lit(TEMPER)), [("=" + n, float(w)) for n, w in (weights or {}).items() if w > 0]
+    if given:
+        totals = totals.join(documents.sparkSession.createDataFrame(given, "_lane string, _given double"), "_lane", "left")
+        tempered = F.coalesce("_given", tempered)
+    return totals.select("_lane", F.ceil(F.col("_size") / block_size).cast("long").alias("_blocks"), tempered.alias("_weight"))
+
+
+def timetable(sources: DataFrame, slots: int) -> DataFrame:
+    """(_lane, _block, mix_slot) of every block: one task sweeps the slots, holds a row per source and writes as it goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
+        blocks, weights = {n: k for n, k, _ in rows}, {n: w for n, _, w in rows}
+        for part in batched(enumerate(placed(blocks, weights, slots)), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([n for _, (n, _) in part], pa.string()), pa.array([i for _, (_, i) in part], pa.int64()),
+                pa.array([slot for slot, _ in part], pa.int64())], ["_lane", "_block", "mix_slot"])
+
+    return sources.repartition(1).mapInArrow(run, "_lane string, _block long, mix_slot long")
 
 
 def _slots(documents: DataFrame, weights: Mapping[str, float] | None, block_size: int, slots: int) -> DataFrame:
     """(ROW, mix_slot, mix_offset) of every row of ``documents``, which has a ROW column."""
-    spark: SparkSession = documents.sparkSession
-    blocks, weighed, own = lanes(documents, weights, block_size)
-    plan = segments(blocks, weighed, slots)
-    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE))
     seen = documents.select(
-        ROW, _sizes(documents).alias("_size"), F.shiftright(ROW, CHUNK_BITS).alias("_chunk"),
-        (F.when(name.isin(*own), name).otherwise(SHARED) if own else F.lit(SHARED)).alias("_lane"))
+        ROW, _sizes(documents).alias("_size"), F.shiftright(ROW, CHUNK_BITS).alias("_chunk"), _lane("source").alias("_lane"))
 
     # what stands before a chunk in its lane: totals per chunk, summed along the lane in two steps of bounded groups
     before = _running(seen.groupBy("_lane", "_chunk").agg(F.sum("_size").alias("_sum")))
     inside = W.partitionBy("_lane", "_chunk").orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
-    placed = seen.join(before, ["_lane", "_chunk"]).select(
+    found = seen.join(before, ["_lane", "_chunk"]).select(
         ROW, "_lane", (F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))).alias("mix_offset"))
-    placed = placed.withColumn("_block", F.floor(F.col("mix_offset") / block_size).cast("long"))
-
-    # both tables are bounded by MAX_LANES and FRAME, whatever the documents
-    spans = spark.createDataFrame([
-        (lane, s.first[lane], s.first[lane] + s.repeats * q, q, s.start, s.slots, k)
-        for k, s in enumerate(plan) for lane, q in s.quotas.items()
-    ], "_lane string, _first long, _after long, _quota long, _start long, _slots long, _segment long")
-    table = spark.createDataFrame([
-        (k, lane, i, slot) for k, s in enumerate(plan) for slot, (lane, i) in enumerate(frame(s.quotas))
-    ], "_segment long, _lane string, _in_frame long, _slot long")
-    found = placed.join(F.broadcast(spans), "_lane").where("_block >= _first and _block < _after")
-    found = found.withColumn("_in_frame", (F.col("_block") - F.col("_first")) % F.col("_quota"))
-    frames = F.floor((F.col("_block") - F.col("_first")) / F.col("_quota")).cast("long")
-    return found.join(F.broadcast(table), ["_segment", "_lane", "_in_frame"]).select(
-        ROW, (F.col("_start") + frames * F.col("_slots") + F.col("_slot")).alias("mix_slot"), "mix_offset")
+    found = found.withColumn("_block", F.expr(f"mix_offset div {block_size}"))
+
+    # a row per block, so it grows with the bytes: broadcast only while the planner finds it small
+    return found.join(timetable(lanes(documents, weights, block_size), slots), ["_lane", "_block"]).select(
+        ROW, "mix_slot", "mix_offset")
 
 
 def _numbered(documents: DataFrame, stored: bool) -> DataFrame:

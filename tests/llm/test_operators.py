@@ -301,6 +301,16 @@ def test_mixing_pools_the_sources_beyond_the_lanes(spark, monkeypatch):
     assert mixing.mixed(frame, block_size=2).count() == 90
 
 
+def test_mixing_gives_every_source_its_lane_and_weight(spark):
+    rows = [(f"s{i}", "xxxx") for i in range(600) for _ in range(6)]
+    frame = spark.createDataFrame(rows, "source string, text string")
+    weights = {f"s{i}": 599.0 if i == 99 else 1.0 for i in range(600)}  # s99 has half of the weight
+    got = mixing.mixed(frame, weights, block_size=4).collect()
+    assert sorted(r.mix_slot for r in got) == list(range(3600))
+    assert max(r.mix_slot for r in got if r.source == "s99") < 13
+    assert len({r.source for r in got if r.mix_slot < 1200}) == 600
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 def brute_counts(text):
