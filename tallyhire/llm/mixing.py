@@ -1,28 +1,31 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Every source is a lane of blocks: a block is ``block_size`` units of its documents' sizes, in the source's own order.  Time
-is counted in slots of one block.  In a frame of *L* slots a lane of quota *q* has its *i*-th block released at
-``(i-1)*L // q`` and due at ``ceil(i*L / q)``; earliest deadline first fills the slots.  The windows can always be met (the
-quotas of a frame add up to its slots), and a lane that meets them is at any time less than one block away from its share.
+is counted in slots of one block.  In a fluid schedule every lane that has blocks left moves on at its weight's share among
+those lanes; a block is released in the slot in which the fluid reaches it and due by the end of the one in which the fluid
+leaves it.  Earliest deadline first among the released blocks fills the slots.  The fluid fills every slot and keeps to the
+windows, so the windows can always be met, and a lane that meets them is at any time less than one block away from its share.
 
-A frame is the same however often it is repeated, so only frames are scheduled and not the blocks: quotas are the weights
-rounded to ``FRAME`` slots, a segment repeats one frame until some lane runs short, one last frame is cut to
-what that lane has left, and the other lanes go on with their weights among themselves.  There are at most twice as many
-segments as lanes.  One task sweeps the slots of the whole schedule; it holds a row per source, hands on a row per block, and
-the documents meet these by lane and block.  No document is dropped or repeated; a document's place is the slot of the block that it begins in.
+Windows come from the weights themselves, in whole-number arithmetic: nothing is rounded to a frame, and nothing builds up
+however long the schedule is.  One task sweeps the slots of the whole schedule; it holds a row per source, hands on a row per
+block, and the documents meet these by lane and block.  No document is dropped or repeated; a document's place is the slot of
+the block that it begins in.
 
 A document's place in its source is a running total of sizes.  It is taken from totals per chunk of the input order, so a
 source with most of the rows is spread over all tasks.
 
-Cases: a null source is a source; every source has its own lane, however many there are; weights that are missing, zero
-or negative fall back to the size of the source to the power ``TEMPER``; a null or empty text has size one; repeated rows
+Cases: a null source is a source; every source has its own lane, however many there are; weights that are missing, zero,
+negative or not finite fall back to the size of the source to the power ``TEMPER``; a null or empty text has size one; repeated rows
 are mixed one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+import math
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from itertools import batched
 
@@ -32,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyhire.operators.settle import settled
 
 BLOCK_SIZE = 65_536
+#: Slots that the sweep hands on at a time; the schedule does not depend on it.
 FRAME = 1024
 #: Read no more, as every source has a lane of its own; the name stays for a test that sets it.
 MAX_LANES = 512
@@ -39,8 +43,6 @@ MAX_LANES = 512
 TEMPER = 0.5
 #: Name of the lane for a null source; any other source's lane starts with "=".
 NO_SOURCE = "-"
-#: Slots that the sweep hands on at a time.
-OUT_ROWS = 8192
 ROW = "__mix_row"
 CHUNK_BITS = 10
 
@@ -56,71 +58,67 @@ class Segment:
     first: dict[str, int]
 
 
-def apportioned(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Whole quotas that add up to ``slots``, at least one each, by largest remainders."""
-    total, spare = sum(weights.values()), slots - len(weights)
-    exact = {lane: w / total * spare for lane, w in weights.items()}
-    quotas = {lane: 1 + int(x) for lane, x in exact.items()}
-    rest = slots - sum(quotas.values())
-    for lane in sorted(weights, key=lambda n: (-(exact[n] % 1), n))[:rest]:
-        quotas[lane] += 1
-    return quotas
-
-
-def frame(quotas: Mapping[str, int]) -> list[tuple[str, int]]:
-    """The (lane, block) of every slot of one frame, earliest deadline first among the released blocks."""
-    slots = sum(quotas.values())
-    due = lambda lane, i: -(-(i + 1) * slots // quotas[lane])
-    coming = [(0, due(lane, 0), lane, 0) for lane, q in sorted(quotas.items()) if q]
-    heapq.heapify(coming)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(slots):
+def whole(weights: Iterable[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    common = max((d for _, d in ratios), default=1)  # a power of two, as all of them are
+    return [n * (common // d) for n, d in ratios]
+
+
+def placed(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """The (lane, block) of every slot, earliest deadline first among the released blocks."""
+    names = sorted(lane for lane, n in blocks.items() if n > 0)
+    if not names:
+        return
+    count, weight = [blocks[lane] for lane in names], whole(float(weights[lane]) for lane in names)
+    # Block b of lane k begins at virtual time b / weight[k].  So shifted, times that differ have different whole parts.
+    shift = 2 * max(weight).bit_length()
+    ends = [(n << shift) // w for n, w in zip(count, weight)]
+    over, moving = [0], [sum(weight)]  # after so many ends: blocks of lanes that are used up, weight of the others
+    for k in sorted(range(len(names)), key=ends.__getitem__):
+        over.append(over[-1] + count[k])
+        moving.append(moving[-1] - weight[k])
+    ends.sort()
+
+    def reached(k: int, b: int) -> tuple[int, int]:
+        """The slot in which the fluid begins block ``b`` of lane ``k``, and the end of the slot in which it ends ``b - 1``."""
+        j = bisect_right(ends, (b << shift) // weight[k])
+        slot, part = divmod(moving[j] * b, weight[k])
+        return over[j] + slot, over[j] + slot + (part > 0)
+
+    coming, following = [(0, k) for k in range(len(names))], [0] * len(names)
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(sum(count)):
         while coming and coming[0][0] <= slot:
-            _, deadline, lane, i = heapq.heappop(coming)
-            heapq.heappush(ready, (deadline, lane, i))
-            if i + 1 < quotas[lane]:
-                heapq.heappush(coming, ((i + 1) * slots // quotas[lane], due(lane, i + 1), lane, i + 1))
-        deadline, lane, i = heapq.heappop(ready)
+            _, k = heapq.heappop(coming)
+            b = following[k]
+            following[k] += 1
+            release, deadline = reached(k, b + 1)
+            heapq.heappush(ready, (deadline, k, b))
+            if b + 1 < count[k]:
+                heapq.heappush(coming, (release, k))
+        deadline, k, b = heapq.heappop(ready)
         if deadline <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append((lane, i))
-    return out
+        yield names[k], b
+
+
+def frame(quotas: Mapping[str, int]) -> list[tuple[str, int]]:
+    """The (lane, block) of every slot of lanes that weigh what they hold."""
+    return list(placed(quotas, quotas))
 
 
 def segments(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = FRAME) -> list[Segment]:
-    """Segments that place every block of every lane."""
-    left = {lane: n for lane, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
+    """The schedule counted in stretches of ``slots`` slots."""
     out: list[Segment] = []
-
-    def place(times: int, quotas: dict[str, int]) -> None:
-        start = out[-1].start + out[-1].slots * out[-1].repeats if out else 0
-        out.append(Segment(start, sum(quotas.values()), times, quotas, {lane: done[lane] for lane in quotas}))
-        for lane, q in quotas.items():
-            done[lane] += times * q
-            left[lane] -= times * q
-
-    while left:
-        quotas = apportioned({lane: weights[lane] for lane in left}, max(slots, len(left)))
-        if repeats := min(left[lane] // quotas[lane] for lane in left):
-            place(repeats, quotas)
-        short = min(left, key=lambda lane: left[lane] / quotas[lane])
-        if left[short]:  # the part of a frame that the shortest lane still fills
-            part = {lane: q * left[short] // quotas[short] for lane, q in quotas.items()}
-            place(1, {lane: q for lane, q in part.items() if q})
-        left = {lane: n for lane, n in left.items() if n}
+    for part in batched(placed(blocks, weights), slots):
+        first: dict[str, int] = {}
+        for lane, b in part:
+            first.setdefault(lane, b)
+        out.append(Segment(len(out) * slots, len(part), 1, dict(Counter(lane for lane, _ in part)), first))
     return out
 
 
-def placed(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = FRAME) -> Iterator[tuple[str, int]]:
-    """The (lane, block) of every slot of the schedule."""
-    for s in segments(blocks, weights, slots):
-        for k in range(s.repeats):
-            for lane, i in frame(s.quotas):
-                yield lane, s.first[lane] + k * s.quotas[lane] + i
-
-
 def _sizes(documents: DataFrame) -> Column:
     return F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
 
@@ -132,7 +130,7 @@ def _lane(source: str) -> Column:
 def lanes(documents: DataFrame, weights: Mapping[str, float] | None, block_size: int) -> DataFrame:
     """(_lane, _blocks, _weight) of every source; nothing is collected."""
     totals = documents.groupBy(_lane("source").alias("_lane")).agg(F.sum(_sizes(documents)).alias("_size"))
-    tempered, given = F.pow("_size", F.lit(TEMPER)), [("=" + n, float(w)) for n, w in (weights or {}).items() if w > 0]
+    tempered, given = F.pow("_size", F.lit(TEMPER)), [("=" + n, float(w)) for n, w in (weights or {}).items() if 0 < w < math.inf]
     if given:
         totals = totals.join(documents.sparkSession.createDataFrame(given, "_lane string, _given double"), "_lane", "left")
         tempered = F.coalesce("_given", tempered)
@@ -145,7 +143,7 @@ def timetable(sources: DataFrame, slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
         blocks, weights = {n: k for n, k, _ in rows}, {n: w for n, _, w in rows}
-        for part in batched(enumerate(placed(blocks, weights, slots)), OUT_ROWS):
+        for part in batched(enumerate(placed(blocks, weights)), slots):
             yield pa.RecordBatch.from_arrays([
                 pa.array([n for _, (n, _) in part], pa.string()), pa.array([i for _, (_, i) in part], pa.int64()),
                 pa.array([slot for slot, _ in part], pa.int64())], ["_lane", "_block", "mix_slot"])

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -311,6 +312,28 @@ def test_mixing_gives_every_source_its_lane_and_weight(spark):
     assert len({r.source for r in got if r.mix_slot < 1200}) == 600
 
 
+def test_schedule_stays_within_a_block_of_the_weights():
+    rng = random.Random(4)
+    cases = [{f"l{i}": 0.5 if not i else 0.5 / 19 for i in range(20)}, {f"l{i}": 0.5 if not i else 0.5 / 510 for i in range(511)},
+             {"a": 0.7, "b": 0.2999, "c": 0.0001}, *[{f"l{i}": rng.random() ** 4 + 1e-4 for i in range(40)} for _ in range(4)]]
+    for weights in cases:
+        blocks = {n: 1 + int(20_000 * w / sum(weights.values()) * rng.uniform(0.3, 2)) for n, w in weights.items()}
+        done = Counter()
+        exact = {n: Fraction(w) for n, w in weights.items()}
+        ends = sorted((Fraction(blocks[n]) / w, n) for n, w in exact.items())
+        moving, over, at = sum(exact.values()), 0, 0
+        for t, (lane, i) in enumerate(mixing.placed(blocks, weights), 1):
+            assert i == done[lane]
+            done[lane] += 1
+            if t % 97 and t % 1024:
+                continue
+            while at < len(ends) and over + ends[at][0] * moving <= t:  # the fluid by definition, lane by lane
+                over, moving, at = over + blocks[ends[at][1]], moving - exact[ends[at][1]], at + 1
+            virtual = (t - over) / moving if moving else ends[-1][0]
+            assert all(abs(done[n] - min(blocks[n], w * virtual)) < 1 for n, w in exact.items())
+        assert done == blocks
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 def brute_counts(text):
