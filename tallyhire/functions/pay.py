@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -25,8 +26,11 @@ PER_YEAR = {"annual": 1, "monthly": 12, "hourly": 52 * 40}
 PLAUSIBLE = {"hourly": (5, 5_000), "monthly": (500, 10_000_000), "annual": (1_000, 100_000_000)}
 MAX_SPREAD = 20
 WINDOW = 400
-#: A cue with a figure that begins in its window.
-CUE_WITH_FIGURE = rf"{CUE}(?=[\s\S]{{0,{WINDOW}}}?(?:{RANGE}|{SINGLE}))"
+#: Any cue, with the characters after it as a group; a figure counts as one of them and is never cut.
+_WHOLE = re.sub(r"\((?!\?)", "(?:", f"{RANGE}|{SINGLE}")
+CUE_AND_NEAR = rf"{CUE}(?=((?>{_WHOLE}|[\s\S]){{0,{WINDOW}}}))"
+#: Any range, with what follows it as a group.
+RANGE_AND_NEAR = rf"{RANGE}(?=([\s\S]{{0,{WINDOW}}}))"
 TARGET_BAND = 0.02
 
 
@@ -65,64 +69,76 @@ def _plausible(lo: Column, hi: Column, period: Column) -> Column:
 
 
 def parse_salary(text: Column, fallback_currency: str = "") -> Column:
-    """A pay range from prose: look near the first pay cue that has a figure, prefer a range over a single figure.
+    """A pay range from prose: the first plausible one near a pay cue, else the first plausible one of the whole text.
 
-    Near is ``WINDOW`` characters; cues without a figure that near are passed over to the end of the text.  Without any
-    cue the first range of the text counts.  An implausible range means nothing is reported, never half of it; a
-    single figure counts only when pay was being discussed.
+    Near is ``WINDOW`` characters after a cue; cues are tried in their order, and in a cue's window all ranges are.  A single
+    figure counts only near a cue without a range, and only while no cue before had one: an implausible range is never
+    followed by half of another.
     """
     text = F.coalesce(text, F.lit(""))
     fallback = F.lit(fallback_currency)
     state = F.lit("parsed")
 
-    def window(cue: Column) -> Column:
-        near = F.substring(text, cue["at"], F.lit(WINDOW))
-        return F.struct(near.alias("near"), cue["cued"].alias("cued"))
+    def period(near: Column) -> Column:
+        return F.when(near.rlike(HOURLY), "hourly").when(near.rlike(MONTHLY), "monthly").otherwise("annual")
 
-    def matches(w: Column) -> Column:
-        near = w["near"]
-        period = F.when(near.rlike(HOURLY), "hourly").when(near.rlike(MONTHLY), "monthly").otherwise("annual")
-        return F.struct(
-            F.regexp_extract(near, RANGE, 0).alias("pair"), F.regexp_extract(near, SINGLE, 0).alias("one"),
-            period.alias("period"), w["cued"].alias("cued"),
-        )
+    def found(figure: Column, is_pair: bool, per: Column) -> Column:
+        return F.struct(figure.alias("figure"), F.lit(is_pair).alias("is_pair"), per.alias("period"))
+
+    def near_cue(near: Column) -> Column:
+        pairs, one = F.regexp_extract_all(near, F.lit(RANGE), F.lit(0)), F.regexp_extract(near, SINGLE, 0)
+
+        def listed(w: Column) -> Column:
+            return F.when(F.size(w["pairs"]) > 0, F.transform(w["pairs"], lambda p: found(p, True, w["period"]))).when(
+                w["one"] != "", F.array(found(w["one"], False, w["period"]))).otherwise(none)
+
+        return let(F.struct(pairs.alias("pairs"), one.alias("one"), period(near).alias("period")), listed)
+
+    none = F.array().cast("array<struct<figure:string,is_pair:boolean,period:string>>")
+    with_figure = text.rlike(r"\d")  # a text without a digit has no figure, and no cue needs looking at
+    nears = F.filter(F.regexp_extract_all(text, F.lit(CUE_AND_NEAR), F.lit(2)), lambda n: n.rlike(r"\d"))
+    cued = F.when(with_figure, F.flatten(F.transform(nears, near_cue))).otherwise(none)
 
-    # Match once on the window; the groups are then read from the short match.
+    # what stands at the head of the text is also near to a first range that begins there
+    head = F.when(F.regexp_instr(text, F.lit(RANGE)) <= WINDOW, F.substring(text, 1, WINDOW)).otherwise("")
+    everywhere = F.transform(
+        F.arrays_zip(F.regexp_extract_all(text, F.lit(RANGE_AND_NEAR), F.lit(0)).alias("pair"),
+                     F.regexp_extract_all(text, F.lit(RANGE_AND_NEAR), F.lit(7)).alias("near")),
+        lambda m, i: found(m["pair"], True, period(F.when(i == 0, F.concat(head, m["near"])).otherwise(m["near"]))))
+
+    # The groups are read from the short matches.
     def figures(m: Column) -> Column:
-        sym1, lo_text, lo_suffix, sym2, hi_text, hi_suffix = (F.regexp_extract(m["pair"], RANGE, i) for i in range(1, 7))
+        sym1, lo_text, lo_suffix, sym2, hi_text, hi_suffix = (F.regexp_extract(m["figure"], RANGE, i) for i in range(1, 7))
         suffix = F.coalesce(nonblank(hi_suffix), lo_suffix)
         pair_currency = _lookup(
             F.coalesce(nonblank(sym1), sym2), CURRENCY_SYMBOLS,
             F.when(suffix.rlike("(?i)(lpa|lakh|crore)"), F.lit("INR")).otherwise(fallback),
         )
-        one_value = _scaled(_number(F.regexp_extract(m["one"], SINGLE, 2)), F.regexp_extract(m["one"], SINGLE, 3))
+        one_value = _scaled(_number(F.regexp_extract(m["figure"], SINGLE, 2)), F.regexp_extract(m["figure"], SINGLE, 3))
+        one_currency = _lookup(F.regexp_extract(m["figure"], SINGLE, 1), CURRENCY_SYMBOLS, fallback)
         return F.struct(
-            (m["pair"] != "").alias("is_pair"), (m["cued"] & (m["one"] != "")).alias("is_one"),
-            m["period"].alias("period"),
-            _scaled(_number(lo_text), F.coalesce(nonblank(lo_suffix), suffix)).alias("lo"),
-            _scaled(_number(hi_text), suffix).alias("hi"), pair_currency.alias("pair_currency"),
-            one_value.alias("value"),
-            _lookup(F.regexp_extract(m["one"], SINGLE, 1), CURRENCY_SYMBOLS, fallback).alias("one_currency"),
+            m["is_pair"].alias("is_pair"), m["period"].alias("period"),
+            F.when(m["is_pair"], _scaled(_number(lo_text), F.coalesce(nonblank(lo_suffix), suffix))).otherwise(one_value).alias("lo"),
+            F.when(m["is_pair"], _scaled(_number(hi_text), suffix)).otherwise(one_value).alias("hi"),
+            F.when(m["is_pair"], pair_currency).otherwise(one_currency).alias("currency"),
         )
 
-    def verdict(f: Column) -> Column:
-        lo, hi, value, period = f["lo"], f["hi"], f["value"], f["period"]
-        return (
-            F.when(f["is_pair"] & _plausible(lo, hi, period), salary_struct(lo, hi, f["pair_currency"], period, state))
-            .when(~f["is_pair"] & f["is_one"] & _plausible(value, value, period),
-                  salary_struct(value, value, f["one_currency"], period, state))
-            .otherwise(absent())
-        )
+    def first_plausible(read: Column) -> Column:
+        first_pair = F.array_position(F.transform(read, lambda f: f["is_pair"]), True)
+        return F.get(F.filter(read, lambda f, i: _plausible(f["lo"], f["hi"], f["period"]) & (
+            f["is_pair"] | (first_pair == 0) | (i + 1 < first_pair))), F.lit(0))
 
-    # a text without a digit has no figure, and no cue needs looking at
-    with_figure = F.when(text.rlike(r"\d"), F.regexp_instr(text, F.lit(CUE_WITH_FIGURE))).otherwise(0)
-    bare = F.when(text.rlike(r"\d") & ~text.rlike(CUE), F.regexp_instr(text, F.lit(RANGE))).otherwise(0)
+    def remaining(c: Column) -> Column:
+        return F.filter(everywhere, lambda m: ~F.exists(c, lambda seen: seen["figure"] == m["figure"]))
 
-    def start(cue: Column) -> Column:
-        other = F.when(bare > WINDOW, bare).otherwise(1)
-        return F.struct(F.when(cue > 0, cue).otherwise(other).alias("at"), (cue > 0).alias("cued"))
+    def best(c: Column) -> Column:
+        return F.coalesce(let(F.transform(c, figures), first_plausible),
+                          F.when(with_figure, let(F.transform(remaining(c), figures), first_plausible)))
+
+    def verdict(f: Column) -> Column:
+        return F.when(f.isNull(), absent()).otherwise(salary_struct(f["lo"], f["hi"], f["currency"], f["period"], state))
 
-    return let(let(let(let(let(with_figure, start), window), matches), figures), verdict)
+    return let(let(cued, best), verdict)
 
 
 def from_structured(lo: Column, hi: Column, currency: Column, period: Column | None = None,

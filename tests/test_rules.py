@@ -169,3 +169,16 @@ def test_header(one):
 def test_parse_salary_reads_the_whole_text(one, text, lo, hi):
     s = one(pay.parse_salary, text)
     assert (s["min"], s["max"]) == (lo, hi)
+
+
+@pytest.mark.parametrize("text, lo, hi, period", [
+    ("We pay well. " + "word " * 90 + "Range $100,000 - $120,000", 100000, 120000, "annual"),  # far from every cue
+    ("We offer work for people with 3-5 years. " + "word " * 100 + "Salary: $100,000 - $120,000", 100000, 120000, "annual"),
+    ("We offer 3-5 years of growth and $100,000 - $120,000", 100000, 120000, "annual"),  # both near one cue
+    ("We offer a bonus of $7 and " + "word " * 100 + "salary $61,000", 61000, 61000, "annual"),
+    *[("salary " + "x" * n + " $100,000 - $120,000 a year", 100000, 120000, "annual") for n in (375, 380, 385, 390, 395, 398)],
+    ("pay per hour: $9,000 - $12,000", None, None, "annual"), ("Hourly: $31 - $38", 31, 38, "hourly"),
+])
+def test_parse_salary_tries_every_cue_and_range(one, text, lo, hi, period):
+    s = one(pay.parse_salary, text)
+    assert (s["min"], s["max"], s["period"]) == (lo, hi, period)
