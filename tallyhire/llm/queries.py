@@ -8,11 +8,14 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhire.llm import chat, checks, mixing, neighbours, packing, pages, quality, rules, simhash, toxicity, warc
+from tallyhire.llm import (
+    alignment, chat, checks, mixing, neighbours, packing, pages, quality, rules, simhash, sketching, toxicity, warc, whitening,
+)
 from tallyhire.llm.common import table
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
 CHAT_TOKENIZER = "byte_bpe_50k.json"
+ALIGNED_TOKENIZERS = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +63,18 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents, toxicity.fitted(documents, table(spark, folder, "labels")))
 
 
+def op11_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return sketching.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digests(table(spark, folder, "documents"), *map(public_tokenizers.path, ALIGNED_TOKENIZERS))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_sketches": op11_sketches,
+    "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 CHECKS: dict[str, str] = {"op1_warc": checks.WARC, "op5_rules": checks.RULES, "op6_chat": checks.CHAT}

@@ -14,9 +14,9 @@ FOLDER = "/root/testdata/sf0.001"
 def test_query_covers_its_table(spark, name):
     rows = queries.QUERIES[name](spark, FOLDER).collect()
     table, key = {"op1": ("pages", "page_id"), "op7": ("pages", "page_id"), "op6": ("conversations", "conv_id"),
-                  "op8": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
+                  "op8": ("embeddings", "vec_id"), "op12": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     ids = {r[key] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()}
-    if table == "embeddings":
+    if name.startswith("op8"):
         assert {r.query_id for r in rows} == {i for i in ids if i % 20 == 0}
     else:
         assert {r[key] for r in rows} == ids | ({-1} if table == "conversations" else set())
