@@ -7,7 +7,7 @@ size of the set, in time linear in the set plus bins times their logarithm; and
 about the similarity as if the bins were independent.
 
 ``BANDS`` bands of ``ROWS`` coordinates make candidates: two sets of similarity 0.8 share no band with a probability below
-6e-6.  Sets that share a band are a bucket.  No bucket is ever turned into all its pairs.
+7e-6.  Sets that share a band are a bucket.  No bucket is ever turned into all its pairs.
 
 1. Equal sets are one class; everything after works on classes.
 2. Every class is compared with the smallest class that it meets in any bucket: one pair per class.
@@ -16,6 +16,7 @@ about the similarity as if the bins were independent.
    finds all intersections through a sorted index and returns a spanning forest of the links it adds.  Buckets with the
    same members are compared once.
 
+Sets are as large as their texts, so they are not kept: those of classes that share a band are made again from the texts.
 Every link is verified on the full sets, and every pair that shares a band is either verified or already connected.
 
 Cases: words are split at ASCII white space and A-Z lower-cased; with fewer words than a shingle the whole sequence is one
@@ -42,7 +43,7 @@ from tallyhire.operators.skew import spread_join
 SHINGLE_WORDS = 2
 #: A link needs LINK_OF_100 hundredths of the union in the intersection.
 LINK_OF_100 = 80
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 30, 5
 BINS = BANDS * ROWS
 #: Shingles of a part of a bucket.
 PART = 1 << 19
@@ -115,27 +116,43 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-ROWS_DDL = "place long, doc_id long, n_shingles long, digest string, bands array<long>, elements binary"
+ROWS_DDL = "place long, doc_id long, row_key binary, n_shingles long, digest string, bands array<long>"
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """(row_key, doc_id, text): rows of equal key have the same id and text."""
+    doc_id = F.col("doc_id").cast("long")
+    key = F.unhex(F.md5(F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+    return documents.select(key.alias("row_key"), doc_id.alias("doc_id"), "text")
 
 
 def sketched(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row its set, the digest of its set, and its band keys."""
-    schema = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string()),
-                        ("bands", pa.list_(pa.int64())), ("elements", pa.binary())])
+    """Per row the size of its set, the digest of its set, and its band keys."""
+    schema = pa.schema([("place", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.binary()), ("n_shingles", pa.int64()),
+                        ("digest", pa.string()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t, words) for t in as_bytes(batch, "text")]
-            data = [s.astype("<u8").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()),
-                pa.array([xxhash.xxh3_128_hexdigest(d) for d in data]),
-                pa.array([band_keys(sketch(s)) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                pa.array(data, pa.binary())], schema=schema)
+                *batch.columns[:3], pa.array(list(map(len, sets)), pa.int64()),
+                pa.array([xxhash.xxh3_128_hexdigest(s.astype("<u8").tobytes()) for s in sets]),
+                pa.array([band_keys(sketch(s)) if len(s) else [] for s in sets], pa.list_(pa.int64()))], schema=schema)
+
+    return keyed(documents).select(F.monotonically_increasing_id().alias("place"), "doc_id", "row_key", "text").mapInArrow(run, ROWS_DDL)
+
 
-    placed = documents.select(
-        F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return placed.mapInArrow(run, ROWS_DDL)
+def full_sets(documents: DataFrame, wanted: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(cid, size, elements) of the classes in ``wanted`` (row_key, cid), made from their texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t, words) for t in as_bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(list(map(len, sets)), pa.int64()),
+                pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cid", "size", "elements"])
+
+    texts = keyed(documents).select("row_key", "text").join(wanted, "row_key").select("cid", "text")
+    return texts.mapInArrow(run, "cid long, size long, elements binary")
 
 
 def alike(common, size_a, size_b, link_of_100: int = LINK_OF_100):
@@ -244,20 +261,35 @@ def unit_rows(members: DataFrame, part_size: int = PART) -> DataFrame:
         "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "cid", "label")
 
 
-def linked_classes(classes: DataFrame, sets: DataFrame, part_size: int = PART) -> DataFrame:
-    """(node, root) of the classes that are linked with others: cid and the smallest cid that it reaches."""
-    each = classes.select("cid", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
-    buckets = each.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = settled(
-        spread_join(each, buckets, ["key"], ["cid"], weight="n").where(F.col("first").isNotNull()).select("key", "cid", "size", "first"))
-    needed = settled(sets.join(members.select("cid").distinct(), "cid", "left_semi"))
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, cid, first): classes that share a band with others, and the smallest of them there.
+
+    The largest buckets, one per shuffle partition, are answered by a broadcast of as many rows.
+    """
+    each = classes.select("cid", F.explode("bands").alias("key"))
+    buckets = settled(each.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    many = max(128, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(buckets.orderBy(F.desc("n"), "key").limit(many).select("key", "first"))
+    cold = each.join(hot, "key", "left_anti").join(buckets.select("key", "first"), "key")
+    return each.join(hot, "key").unionByName(cold).select("key", "cid", "first")
+
+
+def linked_classes(classes: DataFrame, documents: DataFrame, part_size: int = PART) -> DataFrame:
+    """(node, root) of the classes that are linked with others: cid and the smallest cid that it reaches.
+
+    ``classes`` (cid, row_key, bands) name one row each of ``documents``.
+    """
+    members = settled(bucket_members(classes))
+    wanted = classes.select("cid", "row_key").join(members.select("cid").distinct(), "cid")
+    needed = settled(full_sets(documents, wanted))
+    sets = needed.select("cid", "elements")
     stars = members.groupBy("cid").agg(F.min("first").alias("u")).where("u < cid").select("u", F.col("cid").alias("v"))
-    links = settled(verified(settled(stars), needed))
+    links = settled(verified(settled(stars), sets))
     labels = components(links)
-    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", "size", F.coalesce("root", "cid").alias("label"))
+    named = needed.select("cid", "size").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     unit = ["key", "low", "high"]
-    work = unit_rows(settled(named), part_size).join(needed, "cid")
+    labelled = members.select("key", "cid").join(named, "cid").select("key", "cid", "size", F.coalesce("root", "cid").alias("label"))
+    work = unit_rows(settled(labelled), part_size).join(sets, "cid")
     more = (
         work.select(*unit, "part", "label", "elements").repartition(*unit).sortWithinPartitions(*unit)
         .mapInArrow(compare_parts, "u long, v long")
@@ -272,9 +304,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"))
     classes = settled(
         rows.where("n_shingles > 0").groupBy("digest", "n_shingles")
-        .agg(F.min("place").alias("cid"), F.min(key).alias("leader"), F.first("bands").alias("bands")))
-    sets = rows.join(classes.select(F.col("cid").alias("place")), "place", "left_semi").select(F.col("place").alias("cid"), "elements")
-    found = linked_classes(classes, sets).withColumnRenamed("node", "cid")
+        .agg(F.min(F.struct("place", "row_key")).alias("row"), F.min(key).alias("leader"), F.first("bands").alias("bands"))
+        .select("digest", F.col("row.place").alias("cid"), F.col("row.row_key").alias("row_key"), "leader", "bands"))
+    found = linked_classes(classes, documents).withColumnRenamed("node", "cid")
     rooted = classes.select("digest", "cid", "leader").join(found, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     leaders = rooted.groupBy("root").agg(F.min("leader").alias("first"))
     answer = rooted.select("digest", "root").join(leaders, "root").select("digest", F.col("first.doc_id").alias("found"), F.lit(True).alias("met"))

@@ -12,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tallyhire.llm import alignment, sketching, whitening
+from tallyhire.operators.settle import settled
 
 DOC_SCHEMA = "doc_id long, text string, place long, cid long, digest string, u long, key string, n_a long"
 WORDS = [f"{a}{b}" for a in "ka lo mi ru se to va".split() for b in "ne pi dor gal xu".split()]
@@ -86,9 +87,9 @@ def test_buckets_cut_into_parts_lose_no_link(spark):
         base = prose(rng, 150)
         texts += [edited(rng, base, rng.choice((0.04, 0.1, 0.14))) for _ in range(25)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = sketching.sketched(docs)
-    classes = rows.selectExpr("place cid", "n_shingles", "bands")
-    found = dict(map(tuple, sketching.linked_classes(classes, rows.selectExpr("place cid", "elements"), part_size=400).collect()))
+    rows = settled(sketching.sketched(docs))
+    classes = rows.selectExpr("place cid", "row_key", "bands")
+    found = dict(map(tuple, sketching.linked_classes(classes, docs, part_size=400).collect()))
     place = {r.place: r.doc_id for r in rows.select("place", "doc_id").collect()}
     want = similar_classes(list(enumerate(texts)))
     groups = {p: want[(i, texts[i])][1] for p, i in place.items()}
