@@ -1,11 +1,12 @@
-"""Duplicate postings: one employer, one role, one place, one text.
-
-The title key keeps what stands in brackets, so a level or team there tells openings
-apart, and location is part of the key.  Within such a block two postings are the same
-opening only if they say the same: equal words in equal order, whatever the case,
-punctuation and markup between them.  Anything less certain is left alone, an empty
-text included.  The pick is an aggregate and the verdict is joined back with hot keys
-spread, so a heavily reposted role does not land in one task.
+"""Duplicate postings: one employer, one role, one place, near-equal text.
+
+The title key keeps what stands in brackets, so a level or team there tells openings apart, and location is part of the
+key.  Within such an opening two postings are the same if their five-word shingles are similar to 0.8 or more, or if one
+is marked as cut short and 0.8 of it stand in a complete one; whatever connects through such pairs is one group.  Anything
+less certain is left alone, an empty text included.
+
+Keys are worked out once per posting and stored.  Equal words are one text, however often posted, and only openings with
+several texts are compared.  The pick is an aggregate and the verdict is joined back by id.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyhire.functions.text import collapse, company_key, opening_key
+from tallyhire.operators.settle import settled
+from tallyhire.operators.similar import same_texts, shingle_hashes
 from tallyhire.operators.skew import spread_join
 
-KEYS = ["company_key", "title_key", "location_key", "text_key"]
+OPENING = ["company_key", "title_key", "location_key"]
 
 
 def with_keys(jobs: DataFrame) -> DataFrame:
-    """Add block keys; rows lacking a company, a title or a text get NULL keys and stay on their own."""
+    """Add the keys of the opening and the text's words; rows lacking a company, a title or a text get NULL keys."""
     ck = company_key(F.coalesce("company", F.lit("")))
     tk = opening_key(F.coalesce("title", F.lit("")))
     words = opening_key(F.coalesce("description", F.lit("")))
@@ -28,30 +31,59 @@ def with_keys(jobs: DataFrame) -> DataFrame:
         "company_key": F.when(known, ck),
         "title_key": F.when(known, tk),
         "location_key": F.when(known, F.lower(collapse(F.coalesce("location", F.lit(""))))),
-        "text_key": F.when(known, F.sha1(words)),
+        "words": F.when(known, words),
     })
 
 
-def canonical_picks(jobs: DataFrame) -> DataFrame:
-    """One row per repeated key: the posting with the most complete description, then longest, then lowest id."""
-    keyed = with_keys(jobs).select(
-        *KEYS, "id", F.coalesce("description_complete", F.lit(False)).alias("complete"),
-        F.length(F.coalesce("description", F.lit(""))).alias("chars"),
-    ).filter(F.col("company_key").isNotNull())
-    # min over a struct: incomplete sorts after complete, short after long.
+def text_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From stored rows (id, block, node, words, complete, chars): each text with its group's root, and each group's pick.
+
+    The pick has the most complete description, then the longest, then the lowest id.
+    """
+    # min over a struct: incomplete sorts after complete, short after long
     order = F.struct((~F.col("complete")).alias("a"), (-F.col("chars")).alias("b"), F.col("id").alias("c"))
-    return (
-        keyed.groupBy(*KEYS).agg(F.min(order).alias("_best"), F.count("*").alias("copies"))
-        .filter("copies > 1").select(*KEYS, F.col("_best.c").alias("canonical"), "copies")
-    )
+    classes = settled(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
+        F.first("block").alias("block"), F.min(order).alias("best"), F.count("*").alias("copies"),
+        F.max("complete").alias("complete"), F.first("words").alias("words")))
+    several = classes.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    met = spread_join(classes.select("node", "block", "complete", "words"), several, ["block"], ["node"], weight="n").where(
+        F.col("n").isNotNull())
+    texts = settled(met.select("node", "block", F.struct(
+        "complete", shingle_hashes(F.split("words", " ")).alias("hashes")).alias("text")))
+    roots = same_texts(texts)
+    grouped = settled(classes.select("node", "best", "copies").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")))
+    picks = grouped.groupBy("root").agg(
+        F.min("best").alias("best"), F.sum("copies").alias("copies"), F.count("*").alias("texts")).where("copies > 1").select(
+        "root", F.col("best.c").alias("canonical"), "copies", "texts")
+    return grouped.select("node", "root", "copies"), picks
+
+
+def opening_rows(jobs: DataFrame) -> DataFrame:
+    """(id, block, node, words, complete, chars), stored; ``node`` is NULL for rows that stay on their own."""
+    block = F.concat_ws("\n", *OPENING)
+    node = F.when(F.col("words").isNotNull(), F.sha1(F.concat_ws("\n", *OPENING, "words")))
+    return settled(with_keys(jobs).select(
+        "id", F.xxhash64(block).alias("block"), node.alias("node"), "words",
+        F.coalesce("description_complete", F.lit(False)).alias("complete"),
+        F.length(F.coalesce("description", F.lit(""))).cast("long").alias("chars")))
+
+
+def canonical_picks(jobs: DataFrame) -> DataFrame:
+    """(canonical, copies, texts): one row per group of more than one posting."""
+    return text_groups(opening_rows(jobs))[1].drop("root")
 
 
 def assign_canonical(jobs: DataFrame) -> DataFrame:
     """Jobs with ``canonical_id`` set on duplicates and NULL on canonical and single postings."""
-    keyed = with_keys(jobs)
-    joined = spread_join(keyed, canonical_picks(jobs), KEYS, ["id"], weight="copies")
-    dup = F.col("canonical").isNotNull() & (F.col("canonical") != F.col("id"))
-    return joined.withColumn("canonical_id", F.when(dup, F.col("canonical"))).select(*jobs.columns)
+    rows = opening_rows(jobs)
+    texts, picks = text_groups(rows)
+    answers = settled(texts.join(picks.select("root", "canonical"), "root").select("node", "copies", "canonical"))
+    found = spread_join(rows.select("id", "node"), answers, ["node"], ["id"], weight="copies").where(
+        F.col("canonical") != F.col("id")).select("id", "canonical").distinct()
+    others = [c for c in jobs.columns if c != "canonical_id"]
+    marked = jobs.select(*others).join(found, "id", "left").withColumn("canonical_id", F.col("canonical"))
+    return marked.select(*jobs.columns)
 
 
 def repost_counts(jobs: DataFrame, only: DataFrame | None = None) -> DataFrame:

@@ -83,27 +83,52 @@ def has_skill_context(original: Column, term: str) -> Column:
     )
 
 
-def _last_cue(before: Column, cues: tuple[str, ...]) -> Column:
-    """Start of the last cue, -1 when none: a greedy prefix stops at the last position any cue matches.
+def _any_of(cues: tuple[str, ...]) -> str:
+    """A pattern of all cues, short ones first, so that a match is the shortest cue at its place."""
+    return "(?:" + "|".join(re.escape(c) for c in sorted(cues, key=len)) + ")"
 
-    ``before`` carries one leading character, so an empty prefix means no cue.
+
+def cue_index(text: Column) -> Column:
+    """The cues of a text in order: array of (start, preferred_end, required_end), 1-based, ends after the cue.
+
+    The text is cut once before every place where a cue begins; the lengths of the pieces add up to the places.  An end is
+    NULL where no cue of that kind begins.
     """
-    pattern = rf"(?s)\A(.+)(?=(?:{'|'.join(re.escape(c) for c in cues)}))"
-    return F.length(F.regexp_extract(before, pattern, 1)) - 1
+    every = vocab.PREFERRED_CUES + vocab.REQUIRED_CUES
+    longest = max(map(len, every))
+
+    def end(window: Column, start: Column, cues: tuple[str, ...]) -> Column:
+        cue = F.length(F.regexp_extract(window, rf"\A{_any_of(cues)}", 0))
+        return F.when(cue > 0, start + cue)
+
+    def marks(t: Column) -> Column:
+        starts = F.aggregate(
+            F.split(t, f"(?={_any_of(every)})", -1), F.array(F.lit(1)),
+            lambda out, piece: F.concat(out, F.array(F.element_at(out, -1) + F.length(piece))))
+
+        def mark(start: Column) -> Column:
+            return tx.let(F.substring(t, start, F.lit(longest)), lambda w: F.struct(
+                start.alias("start"), end(w, start, vocab.PREFERRED_CUES).alias("preferred_end"),
+                end(w, start, vocab.REQUIRED_CUES).alias("required_end")))
 
+        return F.filter(F.transform(starts, mark), lambda m: m["preferred_end"].isNotNull() | m["required_end"].isNotNull())
 
-def requirement_at(text: Column, position: Column, lookback: int | None = None) -> Column:
-    """required / preferred from the nearest cue before a 1-based position, in the ``lookback`` characters if given."""
-    before = F.substring(text, F.lit(1), position - 1) if lookback is None else F.substring(
-        text, F.greatest(position - lookback, F.lit(1)), F.least(position - 1, F.lit(lookback)))
-    before = F.concat(F.lit("~"), before)
+    return tx.let(text, marks)
+
+
+def requirement_at(cues: Column, position: Column, lookback: int | None = None) -> Column:
+    """required / preferred from the last cue that ends before a 1-based position; by ``cue_index`` of the text.
+
+    With ``lookback`` only cues that begin in as many characters before the position count.
+    """
+    def last(kind: str) -> Column:
+        def inside(m: Column) -> Column:
+            ended = m[f"{kind}_end"] <= position
+            return ended if lookback is None else ended & (m["start"] >= position - lookback)
 
-    def compare(b: Column) -> Column:
-        preferred = tx.let(_last_cue(b, vocab.PREFERRED_CUES), lambda p: (p >= 0) & (
-            p > F.when(p >= 0, _last_cue(b, vocab.REQUIRED_CUES))))
-        return F.when(preferred, "preferred").otherwise("required")
+        return F.coalesce(F.get(F.transform(F.slice(F.filter(cues, inside), -1, 1), lambda m: m["start"]), F.lit(0)), F.lit(0))
 
-    return tx.let(before, compare)
+    return F.when(last("preferred") > last("required"), "preferred").otherwise("required")
 
 
 def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "skills") -> DataFrame:
@@ -138,14 +163,19 @@ def with_skills(df: DataFrame, text: Column, flat: bool = False, out: str = "ski
     staged = staged.withColumn("_found", F.array_sort(verified))
     winners = F.filter("_found", lambda t, i: F.array_position(F.col("_found.slug"), t["slug"]) == i + 1)
 
-    def row(t: Column, i: Column) -> Column:
-        need = F.when(F.col("_soft"), requirement_at(norm, F.position(t["term"], norm))).otherwise("required")
+    def row(t: Column, i: Column, need: Column) -> Column:
         return F.struct(
             i.alias("ordinal"), t["slug"].alias("slug"), t["label"].alias("label"), t["category"].alias("category"),
             need.alias("requirement"), t["term"].alias("evidence"),
         )
 
-    return staged.withColumn(out, F.transform(winners, row)).drop(*scratch)
+    plain = F.transform(winners, lambda t, i: row(t, i, F.lit("required")))
+    if flat:
+        return staged.withColumn(out, plain).drop(*scratch)
+    # one index of the cues for all hits of the text
+    weighed = tx.let(cue_index(norm), lambda cues: F.transform(
+        winners, lambda t, i: row(t, i, requirement_at(cues, F.position(t["term"], norm)))))
+    return staged.withColumn(out, F.when(F.col("_soft"), weighed).otherwise(plain)).drop(*scratch)
 
 
 def extract_skills(df: DataFrame, key: str, text: Column, flat: bool = False) -> DataFrame:

@@ -270,7 +270,7 @@ TEXTS = Derived("documents", {
     "doc_id": "doc_id",
     "id": f"source || '-' || {text('doc_id')}",
     "company": "source",
-    "title": "text",
+    "title": "'Document'",
     "location": "lang",
     "description": "text",
     "description_complete": "n_chars > 200",

@@ -135,10 +135,11 @@ def _(w):
 @register("X14_names_agree", query(f"""
     SELECT agree, count(*) AS n FROM (SELECT CAST(x = '' OR y = '' OR contains(x, y) OR contains(y, x) AS INTEGER) AS agree FROM (
       SELECT {rx('lower(j.company)', '[^a-z0-9]', '')} AS x, {rx('lower(b.company)', '[^a-z0-9]', '')} AS y
-      FROM jobs j JOIN boards b ON j.k % 1000 = CAST(substr(b.token, 4) AS BIGINT))) GROUP BY agree"""))
+      FROM jobs j JOIN boards b ON j.k % (SELECT max(CAST(substr(token, 4) AS BIGINT)) + 1 FROM boards) = CAST(substr(b.token, 4) AS BIGINT))) GROUP BY agree"""))
 def _(w):
     b = w.boards.select(F.col("company").alias("other"), F.substring("token", 4, 20).cast("bigint").alias("n"))
-    pairs = w.jobs.select("company", (F.col("k") % 1000).alias("n")).join(b, "n")
+    boards = b.agg(F.max("n") + 1).scalar()
+    pairs = w.jobs.select("company", (F.col("k") % boards).alias("n")).join(b, "n")
     return pairs.select(tx.names_agree(F.col("company"), F.col("other")).alias("agree")).groupBy("agree").agg(
         F.count("*").alias("n"))
 

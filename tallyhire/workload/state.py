@@ -10,6 +10,7 @@ from tallyhire.operators import lifecycle as lc
 from tallyhire.operators import profile as pf
 from tallyhire.operators import upsert as up
 from tallyhire.operators.settle import run_folder
+from tallyhire.operators.similar import PROBES, SIMILAR
 from tallyhire.plans import judge as jg
 from tallyhire.streaming import logs
 from tallyhire.workload import derive as d
@@ -190,30 +191,55 @@ def _opening(column: str) -> str:
     return f"""trim({rx(f"lower(coalesce({column}, ''))", "[^\\p{L}\\p{N}]+", " ")})"""
 
 
-def _dedupe(table: str) -> str:
-    return f"""SELECT id, CASE WHEN ck = '' OR tk = '' OR bk = '' OR best = id THEN NULL ELSE best END AS canonical_id FROM (
-      SELECT *, first_value(id) OVER (PARTITION BY ck, tk, lk, bk ORDER BY complete DESC, chars DESC, id) AS best FROM (
-        SELECT id, {_CK} AS ck, {_opening("title")} AS tk, {_opening("description")} AS bk, lower({sql_collapse("coalesce(location, '')")}) AS lk, coalesce(description_complete, false) AS complete,
-          length(coalesce(description, '')) AS chars FROM {table}))"""
-
-
-@register("D01_dedupe_jobs", query(_dedupe("jobs").replace("FROM jobs", "FROM jobs")))
+def _dedupe(table: str) -> dict[str, str]:
+    """Tables named openings -> grouped (id, node, root, best): exact similarity of all texts of an opening."""
+    return {
+        "openings": f"""SELECT *, ck || chr(10) || tk || chr(10) || lk AS block FROM (
+            SELECT id, {_CK} AS ck, {_opening("title")} AS tk, {_opening("description")} AS bk, lower({sql_collapse("coalesce(location, '')")}) AS lk,
+              coalesce(description_complete, false) AS complete, length(coalesce(description, '')) AS chars FROM {table})
+            WHERE ck <> '' AND tk <> '' AND bk <> ''""",
+        "texts_of": """SELECT block, bk, row_number() OVER (ORDER BY block, bk) AS node, bool_or(complete) AS complete
+            FROM openings GROUP BY block, bk""",
+        "shingles": """SELECT DISTINCT block, node, complete, array_to_string(ws[i:i + 4], ' ') AS s FROM (
+            SELECT block, node, complete, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM (
+              SELECT *, string_split(bk, ' ') AS ws FROM texts_of))""",
+        "sized": "SELECT *, count(*) OVER (PARTITION BY node) AS size FROM shingles",
+        "pairs": f"""SELECT u, v FROM (SELECT a.node AS u, b.node AS v, count(*) AS common, any_value(a.size) AS sa, any_value(b.size) AS sb,
+              any_value(a.complete) AS ca, any_value(b.complete) AS cb
+            FROM sized a JOIN sized b ON a.block = b.block AND a.s = b.s AND a.node <> b.node GROUP BY a.node, b.node)
+          WHERE 100 * common >= {SIMILAR} * (sa + sb - common)
+            OR (NOT ca AND cb AND sa < sb AND sa >= {PROBES} AND 100 * common >= {SIMILAR} * sa)
+            OR (NOT cb AND ca AND sb < sa AND sb >= {PROBES} AND 100 * common >= {SIMILAR} * sb)""",
+        "roots": """SELECT node, min(root) AS root FROM (
+            WITH RECURSIVE walk(node, root) AS (SELECT node, node FROM texts_of UNION SELECT p.v, w.root FROM walk w JOIN pairs p ON p.u = w.node)
+            SELECT node, root FROM walk) GROUP BY node""",
+        "grouped": """SELECT o.id, t.node, r.root, count(*) OVER (PARTITION BY r.root) AS copies,
+              first_value(o.id) OVER (PARTITION BY r.root ORDER BY o.complete DESC, o.chars DESC, o.id) AS best
+            FROM openings o JOIN texts_of t ON t.block = o.block AND t.bk = o.bk JOIN roots r ON r.node = t.node""",
+    }
+
+
+def _marked(table: str) -> str:
+    return query(f"SELECT t.id, CASE WHEN g.best <> t.id THEN g.best END AS canonical_id FROM {table} t LEFT JOIN grouped g ON g.id = t.id",
+                 **_dedupe(table))
+
+
+@register("D01_dedupe_jobs", _marked("jobs"))
 def _(w):
     return dd.assign_canonical(w.jobs).select("id", "canonical_id")
 
 
-@register("D02_dedupe_documents", query(_dedupe("texts")))
+@register("D02_dedupe_documents", _marked("texts"))
 def _(w):
     texts = w.derived(d.TEXTS).withColumn("canonical_id", F.lit(None).cast("string"))
     return dd.assign_canonical(texts).select("id", "canonical_id")
 
 
-@register("D03_canonical_picks", query(f"""
-    SELECT ck AS company_key, tk AS title_key, lk AS location_key, sha1(bk) AS text_key, count(*) AS copies FROM (
-      SELECT {_CK} AS ck, {_opening("title")} AS tk, {_opening("description")} AS bk, lower({sql_collapse("coalesce(location, '')")}) AS lk FROM jobs)
-    WHERE ck <> '' AND tk <> '' AND bk <> '' GROUP BY ALL HAVING count(*) > 1"""))
+@register("D03_canonical_picks", query("""
+    SELECT any_value(best) AS canonical, count(*) AS copies, count(DISTINCT node) AS texts FROM grouped GROUP BY root HAVING count(*) > 1""",
+    **_dedupe("jobs")))
 def _(w):
-    return dd.canonical_picks(w.jobs).drop("canonical")
+    return dd.canonical_picks(w.jobs)
 
 
 @register("A12_repost_counts", query(

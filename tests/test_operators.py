@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhire import schemas
-from tallyhire.operators import dedupe, enrich, extract, lifecycle, match, profile, robots, skew, upsert
+from tallyhire.operators import dedupe, enrich, extract, graph, lifecycle, match, profile, robots, skew, upsert
 
 SECTIONS = "Requirements: strong Go, PostgreSQL and C++.\nNice to have: Kafka, Terraform"
 
@@ -134,6 +134,107 @@ def test_dedupe_keeps_levels_and_places_apart(spark):
         r[0]: "b" if r[0] == "a" else None for r in rows}
 
 
+def plain_groups(rows):
+    """canonical id of every posting by comparing all texts of an opening."""
+    import re
+
+    def words(t):
+        return re.sub(r"[^\w]+|_", " ", (t or "").lower()).split()
+
+    sets = {}
+    for i, company, title, place, body, complete in rows:
+        w = words(body)
+        runs = {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+        sets[i] = ((company.lower(), title.lower(), place.lower()), runs, bool(complete), len(body or ""))
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (block_i, a, full_a, _) in sets.items():
+        for j, (block_j, b, full_b, _) in sets.items():
+            if i < j and block_i == block_j and a and b:
+                common = len(a & b)
+                near = 100 * common >= 80 * len(a | b)
+                for x, fx, y, fy in ((a, full_a, b, full_b), (b, full_b, a, full_a)):
+                    near |= not fx and fy and 8 <= len(x) < len(y) and 100 * common >= 80 * len(x)
+                if near:
+                    root[find(i)] = find(j)
+    groups = {}
+    for i in sets:
+        groups.setdefault(find(i), []).append(i)
+    best = {r: min(g, key=lambda i: (not sets[i][2], -sets[i][3], i)) for r, g in groups.items()}
+    return {i: None if best[find(i)] == i else best[find(i)] for i in sets}
+
+
+def test_dedupe_equals_comparing_all_texts(spark):
+    rnd = random.Random(11)
+    words = [f"{a}{b}" for a in "ka lo mi ru se to va".split() for b in "ne pi dor gal xu".split()]
+
+    def edited(text, share):
+        return " ".join(rnd.choice(words) if rnd.random() < share else w for w in text.split())
+
+    rows = []
+    for opening in (("Acme", "Nurse", "Pune"), ("Acme", "Nurse", "Goa"), ("Globex", "Cook (Night)", "")):
+        for base in (" ".join(rnd.choices(words, k=n)) for n in (60, 150, 400)):
+            texts = [base, base.upper()] + [edited(base, share) for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.06, 0.2) for _ in range(4)]
+            chain = [base]
+            for _ in range(6):
+                chain.append(edited(chain[-1], 0.015))
+            for t in texts + chain:
+                rows.append((f"j{len(rows):04d}", *opening, t, rnd.random() < 0.7))
+            for cut in (4, 11, 13, 30, 50):
+                rows.append((f"j{len(rows):04d}", *opening, " ".join(base.split()[5:5 + cut]), False))
+    rows += [(f"j{len(rows) + k:04d}", "Acme", "Nurse", "Pune", t, k % 2 == 0) for k, t in enumerate([None, "", "one two", "One, two!", "..."])]
+    jobs = spark.createDataFrame(rows, "id string, company string, title string, location string, description string, description_complete boolean")
+    jobs = jobs.withColumn("canonical_id", F.lit("old")).withColumn("node", F.lit(1)).repartition(5)
+    want = plain_groups(rows)
+    assert {r["id"]: r["canonical_id"] for r in dedupe.assign_canonical(jobs).collect()} == want
+    picks = {r["canonical"]: r["copies"] for r in dedupe.canonical_picks(jobs).collect()}
+    sizes = {}
+    for i, c in want.items():
+        if c is not None:
+            sizes[c] = sizes.get(c, 1) + 1
+    assert picks == sizes and max(sizes.values()) > 20
+    assert dedupe.assign_canonical(jobs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)],
+                                   [(5, 9), (9, 5), (7, 9), (20, 21), (30, 20)]])
+def test_connected_rows_know_their_smallest(spark, links):
+    root = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for _ in root:
+        for u, v in links:
+            if u != v:
+                root[u] = root[v] = min(root[u], root[v])
+    df = spark.createDataFrame(links, "u long, v long")
+    assert {r["node"]: r["root"] for r in graph.connected(df).collect()} == root
+
+
+@pytest.mark.parametrize("lookback", [None, 25])
+def test_cue_index_equals_searching_the_prefix(spark, lookback):
+    from tallyhire import vocab
+
+    rnd = random.Random(5)
+    cues = vocab.PREFERRED_CUES + vocab.REQUIRED_CUES
+    texts = ["", "a plus", "plusplus a plus", "required", "must have nice to have", "x" * 40]
+    texts += [rnd.choice(["", " ", "."]).join(rnd.choices(cues + ("kafka", "a", "requir", "nice to"), k=rnd.randint(1, 12))) for _ in range(80)]
+    texts.append(" ".join(rnd.choices(cues + ("kafka", "word", "more"), k=6000)))
+    rows = [(k, t, p) for k, t in enumerate(texts) for p in {1, *(rnd.randint(1, len(t) + 1) for _ in range(8))}]
+    df = spark.createDataFrame(rows, "k int, t string, p int")
+    got = df.select("k", "p", extract.requirement_at(extract.cue_index(F.col("t")), F.col("p"), lookback).alias("need")).collect()
+
+    def last(before, kind):
+        return max((s for c in kind for s in range(max(0, len(before) - 400), len(before)) if before.startswith(c, s)), default=-1)
+
+    for r in got:
+        before = texts[r["k"]][max(0, r["p"] - 1 - (lookback or r["p"])):r["p"] - 1]
+        preferred, required = last(before, vocab.PREFERRED_CUES), last(before, vocab.REQUIRED_CUES)
+        assert r["need"] == ("preferred" if preferred > required else "required"), (texts[r["k"]][:200], r["p"])
+
+
 def test_enrich_takes_first_long_body(spark):
     jobs = spark.createDataFrame([("1", "Acme, Inc.", "Dev (Go)", "", False), ("2", "Acme", "Ops", "", False), ("3", "Acme", "Dev", "own", True)],
                                  "id string, company string, title string, description string, description_complete boolean")

@@ -83,21 +83,31 @@ def test_parse_user_amount(one, typed, amount):
     assert one(pay.parse_user_amount, typed) == amount
 
 
-FIT_CASES = [
-    ("Porto, Norte, Portugal", False, ["Porto"], 3), ("PORTO", None, ["Porto"], 3), ("Remote", True, ["Porto"], 2),
-    ("Fully remote role", None, ["Porto"], 2), ("Remote (USA)", True, ["Porto"], 0), (None, None, ["Porto"], 1),
-    ("Denver", False, ["Porto"], 0), ("Porto or Remote (US)", True, ["Porto"], 3), ("5% house", False, ["5%"], 3),
-    ("57 house", False, ["5_7"], 0), ("L'Aquila", False, ["L'Aquila"], 3),
-]
-
-
-@pytest.mark.parametrize("where, remote, prefer, tier", FIT_CASES)
-def test_location_fit(one, where, remote, prefer, tier):
-    assert one(lambda a, b: place.location_fit(a, b, prefer), where, remote, types=["string", "boolean"]) == tier
-
-
-def test_no_preferred_places_gives_no_order():
-    assert place.location_fit(None, None, ["  ", ""]) is None
+def plain_fit(where, remote, preferred):
+    """The rule of the place tiers, restated."""
+    low = (where or "").lower()
+    if any(p.strip().lower() in low for p in preferred if p.strip()):
+        return 3
+    away = remote is True or "remote" in low
+    if away and (any(r in low for r in place.OPEN_REGIONS) or not any(r in low for r in place.RESTRICTED_REGIONS)):
+        return 2
+    return 1 if low.strip(" ") in place.UNSTATED_PLACES else 0
+
+
+def test_location_fit_over_a_grid(spark):
+    towns = ["Oslo", "Hilo, Hawaii", "A%B quay", "A_B quay", "AxB quay", "O'Brien point", "back\\slash bay", ""]
+    frames = ["{}", "Remote {}", "{} (remote, usa)", "{} or anywhere, us only", "  {}  ", "{} / Germany"]
+    wheres = [f.format(t) for t in towns for f in frames] + list(place.UNSTATED_PLACES) + [None]
+    rows = [(k, w, r) for k, (w, r) in enumerate((w, r) for w in wheres for r in (True, False, None))]
+    df = spark.createDataFrame(rows, "k int, w string, r boolean")
+    for preferred in (["oslo"], ["A%B", " hilo "], ["a_b"], ["O'Brien"], ["k\\s"], ["", "nowhere else"]):
+        got = {x.k: x.tier for x in df.select("k", place.location_fit(F.col("w"), F.col("r"), preferred).alias("tier")).collect()}
+        assert got == {k: plain_fit(w, r, preferred) for k, w, r in rows}, preferred
+
+
+@pytest.mark.parametrize("count", range(3))
+def test_blank_preferences_set_no_tier(count):
+    assert place.location_fit(F.lit("Oslo"), F.lit(True), [" " * n for n in range(count)]) is None
 
 
 @pytest.mark.parametrize("name, body, kind, uncertain", [
