@@ -5,25 +5,29 @@ signed axis it then lies nearest to: 2d buckets a table.  All vectors are indexe
 every table, the axes nearest to it; all vectors of those buckets are candidates, however many, and are ranked by their
 inner product in double precision, summed in the order of the components.
 
-How many axes are probed is measured: for a bounded sample of vectors and queries (``FIT_VECTORS``, ``FIT_QUERIES``, by hash
-of the id) the smallest number that finds ``RECALL`` of the true neighbours inside the sample.  Neighbours in a sample are
-farther away than in the whole, so the number is on the safe side; if every axis is probed the search is exact.
+How many axes are probed is measured for every length of vectors by itself: for a bounded sample of vectors and queries
+(``FIT_VECTORS``, ``FIT_QUERIES``, by hash of the id) the smallest number that finds ``RECALL`` of the true neighbours inside
+the sample.  Neighbours in a sample are farther away than in the whole, so the number is on the safe side.  Of a length with
+at most ``EXACT_ROWS`` vectors every axis of one table is probed, which is exact; so are, afterwards, the queries of any length
+that have met fewer candidates than were asked for and exist.
 
-Unit vectors are hashed as they are.  If norms differ, a vector is scaled by the largest norm and gets one more component
-that completes it to a unit vector, which turns the largest inner product into the smallest angle.
+Unit vectors are hashed as they are.  If norms of a length differ, a vector is scaled by their largest and gets one more
+component that completes it to a unit vector, which turns the largest inner product into the smallest angle.
 
 Rows of a bucket are packed into matrices of at most ``BLOCK`` rows and joined block by block; a hot bucket is many blocks.  A
 task keeps the best of the queries it has met, one row per query, and a query's rows of all tasks are merged at the end.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without vec_id;
 of rows that repeat a vec_id the one with the smallest components counts; vectors are compared with those of their own
-length only; equal scores go to the smaller vec_id; fewer candidates than asked for are all returned; only vec_id and
+length only; equal scores go to the smaller vec_id; fewer candidates than asked for are all returned, none (a length of one row) give no
+row; only vec_id and
 embedding are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,20 @@ BLOCK, QUERY_BLOCK = 2048, 256
 SEED = 8
 #: Queries whose best rows a task holds before it hands them on.
 HELD = 50_000
-SLACK = 1e-9
+#: Vectors of a length that are searched exactly.
+EXACT_ROWS = 2 * BLOCK
+#: More axes than any table has.
+EVERY_AXIS = 1 << 30
+
+
+class Fit(NamedTuple):
+    """How the vectors of one length are hashed and probed."""
+
+    rows: int
+    norm: float
+    uneven: bool
+    probes: int
+    tables: int
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,7 +147,9 @@ class Best:
         least = self.scores[rows, -1]
         if len(x) > self.nearest:
             least = np.maximum(least, np.partition(rough, -self.nearest, axis=1)[:, -self.nearest])
-        i, j = np.nonzero((rough >= least[:, None] - SLACK) & np.isfinite(rough))
+        # the product of matrices and the ordered sum may differ by a rounding per component
+        slack = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+        i, j = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
         if not len(i):
             return
         touched, back = np.unique(rows[i], return_inverse=True)
@@ -199,7 +218,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def blocks(rows: DataFrame, probes: int, norm: float, uneven: bool, query: bool, parts: int) -> DataFrame:
+def blocks(rows: DataFrame, fits: dict[int, Fit], query: bool, parts: int) -> DataFrame:
     """(dim, tbl, bucket, ids, data): the rows of each bucket as matrices; of queries, of each bucket that they probe."""
     most = QUERY_BLOCK if query else BLOCK
 
@@ -210,9 +229,10 @@ def blocks(rows: DataFrame, probes: int, norm: float, uneven: bool, query: bool,
                 own = batch.filter(pa.array(dims == dim))
                 x = _matrix(own.column(1))
                 data = pa.array([r.tobytes() for r in np.ascontiguousarray(x, "<f8")], pa.binary())
-                for table in range(TABLES):
-                    values = axis_values(units(x, norm, uneven, query), table)
-                    wide = min(probes, values.shape[1]) if query else 1
+                fit = fits[int(dim)]
+                for table in range(fit.tables):
+                    values = axis_values(units(x, fit.norm, fit.uneven, query), table)
+                    wide = min(fit.probes, values.shape[1]) if query else 1
                     near = np.argpartition(-values, wide - 1, axis=1)[:, :wide] if wide < values.shape[1] else np.tile(
                         np.arange(wide), (len(x), 1))
                     place = np.repeat(np.arange(len(x)), wide)
@@ -250,33 +270,39 @@ def blocks(rows: DataFrame, probes: int, norm: float, uneven: bool, query: bool,
         packed, "dim int, tbl int, bucket int, ids binary, data binary")
 
 
-def search(embeddings: DataFrame, nearest: int = NEAREST, step: int = QUERY_STEP) -> DataFrame:
-    """(query_id, rank, vec_id, score): of every row whose id is divisible by ``step``, the nearest other rows found."""
-    rows = settled(usable(embeddings))
-    is_query = F.col("vec_id") % step == 0
+def fitted(rows: DataFrame, nearest: int, step: int) -> dict[int, Fit]:
+    """One ``Fit`` per length; the driver holds one row per length and one length's sample at a time."""
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    seen = rows.agg(F.count("*"), F.max(length), F.min(length), F.max("dim")).first()
-    count, norm, smallest = seen[0], seen[1] or 1.0, seen[2] or 1.0
-    uneven = norm - smallest > 1e-4 * norm
-    dim = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    probes = 1
-    if dim:
-        own = rows.where(F.col("dim") == dim["dim"])
+    out: dict[int, Fit] = {}
+    for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(length).alias("most"), F.min(length).alias("least")).collect():
+        uneven = r.most - r.least > 1e-4 * r.most
+        if r.n <= EXACT_ROWS:
+            out[r.dim] = Fit(r.n, r.most, uneven, EVERY_AXIS, 1)
+            continue
+        own = rows.where(F.col("dim") == r.dim)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).toArrow()
-        queries = own.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES).toArrow()
+        queries = own.where(F.col("vec_id") % step == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_QUERIES).toArrow()
+        probes = 1
         if len(queries):
-            ids = sample["vec_id"].to_numpy()
-            q_ids = queries["vec_id"].to_numpy()
+            ids, q_ids = sample["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
             x, q = (np.array(t["v"].to_pylist()) for t in (sample, queries))
             # a query outside the sample joins it, so that every query has its own row there
             missing = ~np.isin(q_ids, ids)
             ids, x = np.concatenate([ids, q_ids[missing]]), np.concatenate([x, q[missing]])
             place = {v: k for k, v in enumerate(ids.tolist())}
-            probes = probes_needed(x, q, np.array([place[v] for v in q_ids.tolist()]), norm, uneven, nearest)
-    buckets = 2 * (dim["dim"] if dim else 1)
-    base = settled(blocks(rows.select("vec_id", "v", "dim"), probes, norm, uneven, False, 1 + count // (8 * buckets * BLOCK)))
-    asked = settled(blocks(rows.where(is_query).select("vec_id", "v", "dim"), probes, norm, uneven, True,
-                           1 + count // step * probes // (64 * buckets * QUERY_BLOCK)))
+            probes = probes_needed(x, q, np.array([place[v] for v in q_ids.tolist()]), r.most, uneven, nearest)
+        out[r.dim] = Fit(r.n, r.most, uneven, probes, TABLES)
+    return out
+
+
+def met(rows: DataFrame, queries: DataFrame, fits: dict[int, Fit], nearest: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the best candidates in the buckets that the queries probe."""
+    most = max(fits.values(), key=lambda f: f.rows).rows if fits else 0
+    buckets = 2 * max(fits, default=1)
+    probes = max((min(f.probes, 4 * dim) for dim, f in fits.items()), default=1)
+    base = settled(blocks(rows.select("vec_id", "v", "dim"), fits, False, 1 + most // (8 * buckets * BLOCK)))
+    asked = settled(blocks(queries.select("vec_id", "v", "dim"), fits, True,
+                           1 + most // QUERY_STEP * probes // (64 * buckets * QUERY_BLOCK)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(nearest)
@@ -297,3 +323,25 @@ def search(embeddings: DataFrame, nearest: int = NEAREST, step: int = QUERY_STEP
     found = pairs.select("dim", "q_ids", "q", "x_ids", "x").mapInArrow(run, "query_id long, ids binary, scores binary")
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(
         lambda batches: ranked(batches, nearest), "query_id long, rank int, vec_id long, score double")
+
+
+def search(embeddings: DataFrame, nearest: int = NEAREST, step: int = QUERY_STEP) -> DataFrame:
+    """(query_id, rank, vec_id, score): of every row whose id is divisible by ``step``, the nearest other rows found."""
+    rows = settled(usable(embeddings))
+    queries = rows.where(F.col("vec_id") % step == 0)
+    fits = fitted(rows, nearest, step)
+    hashed = {dim: f for dim, f in fits.items() if f.probes < EVERY_AXIS}
+    found = met(rows, queries, fits, nearest)
+    if not hashed:
+        return found
+    # of the lengths that were not searched exactly, the queries that met too few candidates
+    found = settled(found)
+    had = found.groupBy("query_id").agg(F.count("*").alias("had")).withColumnRenamed("query_id", "vec_id")
+    short = settled(queries.where(F.col("dim").isin(list(hashed))).join(had, "vec_id", "left").where(
+        F.coalesce("had", F.lit(0)) < nearest).select("vec_id", "v", "dim"))
+    if short.isEmpty():
+        return found
+    exact_fits = {dim: f._replace(probes=EVERY_AXIS, tables=1) for dim, f in hashed.items()}
+    again = met(rows.where(F.col("dim").isin(list(hashed))), short, exact_fits, nearest)
+    kept = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return kept.unionByName(again)

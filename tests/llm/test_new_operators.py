@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from tallyhire.llm import alignment, sketching, whitening
+from tallyhire.llm import alignment, neighbours, sketching, whitening
 from tallyhire.operators.settle import settled
 
 DOC_SCHEMA = "doc_id long, text string, place long, cid long, digest string, u long, key string, n_a long"
@@ -299,3 +299,54 @@ def test_alignment_of_no_documents(spark):
     assert alignment.digests(spark.createDataFrame([], DOC_SCHEMA), *PATHS).count() == 0
     got = alignment.digests(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), *PATHS).collect()
     assert {tuple(r) for r in got} == {(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2)}
+
+
+# 8: small tables, several lengths, queries that meet too few -----------------------------------------------------------
+
+def nearest_by_force(vectors: dict, nearest: int = 20) -> dict:
+    def product(a, b):
+        total = 0.0  # one after the other: sum() compensates for rounding
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    out = {}
+    for q, a in vectors.items():
+        if q % 20 == 0:
+            near = [(-product(a, b), i) for i, b in vectors.items() if i != q and len(b) == len(a)]
+            out[q] = [(i, -s) for s, i in sorted(near)[:nearest]]
+    return {q: v for q, v in out.items() if v}
+
+
+def searched(spark, vectors: dict) -> dict:
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in sorted(neighbours.search(frame).collect(), key=lambda r: (r.query_id, r["rank"])):
+        assert r["rank"] == len(got[r.query_id]) + 1
+        got[r.query_id].append((r.vec_id, r.score))
+    return dict(got)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 15, 21])
+def test_neighbours_of_a_small_table_are_all_found(spark, rows):
+    rng = np.random.default_rng(rows)
+    vectors = {i * 4: rng.standard_normal(6).tolist() for i in range(rows)}
+    assert searched(spark, vectors) == nearest_by_force(vectors)
+
+
+def test_neighbours_of_several_lengths_and_large_norms(spark):
+    rng = np.random.default_rng(9)
+    vectors = {i: rng.standard_normal(8).tolist() for i in range(0, 500, 5)}
+    vectors |= {1000 + 10 * i: (rng.standard_normal(64) * 8e6).tolist() for i in range(12)}
+    vectors |= {2000 + i: v for i, v in enumerate([[1e-3, 2.0], [1e5, -1.0], [1e5, -1.0], [0.5, 0.5]])}
+    assert searched(spark, vectors) == nearest_by_force(vectors)
+
+
+def test_neighbours_met_too_rarely_are_searched_exactly(spark, monkeypatch):
+    """Without the exact way for small lengths and with one probe, hashing finds too few; the rest comes from all axes."""
+    monkeypatch.setattr(neighbours, "EXACT_ROWS", 0)
+    monkeypatch.setattr(neighbours, "probes_needed", lambda *a: 1)
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.standard_normal(32).tolist() for i in range(0, 600, 2)}
+    got, want = searched(spark, vectors), nearest_by_force(vectors)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())

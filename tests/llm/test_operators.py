@@ -443,7 +443,8 @@ def nearest(rows, k=20):
 
 
 @pytest.mark.parametrize("uneven", [False, True])
-def test_neighbours_recall_and_order(spark, uneven):
+def test_neighbours_recall_and_order(spark, uneven, monkeypatch):
+    monkeypatch.setattr(neighbours, "EXACT_ROWS", 0)  # hashed, small as it is
     rng = np.random.default_rng(11)
     x = rng.normal(size=(900, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True) / (rng.uniform(0.5, 2, (900, 1)) if uneven else 1)
