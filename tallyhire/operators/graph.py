@@ -15,8 +15,7 @@ def connected(links: DataFrame) -> DataFrame:
     end when no root changes.  Links may repeat, point either way or be loops; no links give no rows.
     """
     both = settled(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct())
-    roots = settled(both.groupBy("u").agg(F.min("v").alias("low")).select(
-        F.col("u").alias("node"), F.least("u", "low").alias("root")))
+    roots = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("root"))
     while True:
         heard = both.join(roots.select(F.col("node").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("heard"))
         nearer = roots.join(heard.withColumnRenamed("u", "node"), "node").select(

@@ -79,7 +79,7 @@ def same_text(a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts (node, text) are the same; a frequent u is sent once to each salt of its pairs."""
-    salts = settled(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts")))
+    salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts"))
     dealt = spread_join(pairs, salts, ["u"], ["v"], weight="salts").select(
         "u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"))
     left = salts.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").select(
@@ -114,4 +114,5 @@ def same_texts(texts: DataFrame) -> DataFrame:
     open_ = settled(named.join(mixed.select("bucket"), "bucket", "left_semi"))
     a, b = (open_.select("bucket", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("u", "v"))
     more = a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv"))).select("u", "v").distinct()
-    return connected(links.union(verified(settled(more), texts)))
+    further = settled(verified(settled(more), texts))
+    return labels if further.isEmpty() else connected(links.union(further))

@@ -201,8 +201,7 @@ def test_dedupe_equals_comparing_all_texts(spark):
     assert dedupe.assign_canonical(jobs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 50)],
-                                   [(5, 9), (9, 5), (7, 9), (20, 21), (30, 20)]])
+@pytest.mark.parametrize("links", [[(1, 1)], [(k, k + 1) for k in range(20)], [(0, k) for k in range(1, 50)] + [(90, 91), (95, 91)]])
 def test_connected_rows_know_their_smallest(spark, links):
     root = {n: n for pair in links for n in pair if pair[0] != pair[1]}
     for _ in root:
