@@ -5,10 +5,10 @@ the spans of B's proto are coarse cuts: where a token's span ends before the nex
 ends.  Where they can't tell - several tokens share a character, or B falls back to bytes, whose spans are empty - the
 decoded bytes of the token say how far it goes.  Every token's bytes are compared with the bytes between its cuts.
 
-A text is cut into units before every single space between two other characters.  A splits words there by its own pattern
-and B has no piece with a space after another character, so a unit is encoded alike wherever it stands, and every distinct
-unit is encoded and aligned once per worker.  Whether that holds is read from the tokenizers' own files; if it doesn't, the
-whole text is the unit.
+A text is cut into units before every single space or line end between two other characters, and between a letter and a
+mark.  A splits there by its own pattern and B has no piece that reaches over such a cut, so a unit is encoded alike wherever
+it stands, and every distinct unit is encoded and aligned once per worker.  Whether that holds, and for which characters,
+is read from the tokenizers' own files; if it doesn't, the whole text is the unit.
 
 Counts of linked id pairs are combined in the task, then by Spark.  A document meets them in two ways: the ``HEAD`` most
 frequent pairs travel to the tasks as arrays, so no frequent pair is ever a join key; the other pairs of a document are
@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -36,12 +37,14 @@ from tallyhire.operators.settle import settled
 
 SPACE_PIECE = "▁"
 #: Characters of units that a worker remembers; it starts anew beyond them, which costs time and changes no result.
-CACHE_CHARS = 2_500_000
+CACHE_CHARS = 5_000_000
 #: Longer units are aligned but not remembered.
 LONGEST_CACHED = 64
 #: Most frequent pairs that travel to the tasks: 16 bytes each.
 HEAD = 65_536
-BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ",.;:!?"
+#: Stands before a unit that doesn't begin with a space when units are encoded together.
+FILLER = " a"
 NO_TOKENS = (0, 0, 0, 0, "", b"", b"")
 
 
@@ -127,11 +130,18 @@ class Aligner:
             and not trained.treat_whitespace_as_suffix
             and not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in pieces)
         )
+        spaces = " " if any("\n" in p for p in pieces) else r" \n"
+        crossed = {p[k + 1] for p in pieces for k in range(len(p) - 1) if p[k].isascii() and p[k].isalpha()}
+        marks = "".join(m for m in MARKS if m not in crossed)
+        # the first look ahead only spares the others at most characters
+        between = rf"(?=[{spaces}{marks}])(?:(?<=\S)(?=[{spaces}]\S)" + (rf"|(?<=[A-Za-z])(?=[{marks}]))" if marks else ")")
+        self.between = re.compile(between)
         self.known: dict[str, Unit | None] = {}
         self.known_chars = 0
 
     def units(self, text: str) -> list[str]:
-        return BETWEEN_WORDS.split(text) if self.by_words else [text]
+        """The pieces of a space and the text."""
+        return self.between.split(" " + text) if self.by_words else [" " + text]
 
     def text(self, text: str) -> Aligned | None:
         """Both sides' tokens over a space and the text; None if they don't spell it."""
@@ -144,7 +154,7 @@ class Aligner:
             return None
         a, b = np.array(a), np.array(b)
         # A: characters to bytes; a token whose span runs into the next one's ends inside a character
-        spans = np.array(encoded.offsets)
+        spans = np.fromiter(chain.from_iterable(encoded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         place = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
         ends_a = token_ends(place[spans[:, 1]], spans[:, 1] <= np.append(spans[1:, 0], len(spaced)), self.a_sizes[a])
         # B: bytes after the added space; a token without a span is that space or part of a character
@@ -168,13 +178,14 @@ class Aligner:
 
     def align(self, units: list[str]) -> dict[str, Unit | None]:
         """Encode and align units that are not known yet, as one text; None for those that the tokens don't spell."""
-        got = self.text(" ".join(units))
+        row = [piece for u in units for piece in ((u,) if u[0] == " " else (FILLER, u))]
+        got = self.text("".join(row)[1:])
         if got is None:
             if len(units) == 1:
                 return {units[0]: None}
             half = len(units) // 2
             return self.align(units[:half]) | self.align(units[half:])
-        stops = np.cumsum([len(u.encode()) + 1 for u in units])
+        stops = np.cumsum([len(u.encode()) for u in row])
         tokens, group = self.written(got)
         shared = got.cuts[(got.ends_a[got.at_a] == got.cuts) & (got.ends_b[got.at_b] == got.cuts)]
         place = {name: [0, *np.searchsorted(ends, stops, "right").tolist()] for name, ends in (
@@ -183,7 +194,7 @@ class Aligner:
         width = np.dtype(self.kind).itemsize
         codes = (got.a[got.at_a].astype(np.int64) * self.b_size + got.b[got.at_b]).astype(self.kind).tobytes()
         out: dict[str, Unit | None] = {}
-        for unit, a0, a1, b0, b1, l0, l1, g0, g1, t0, t1 in zip(units, *(
+        for unit, a0, a1, b0, b1, l0, l1, g0, g1, t0, t1 in zip(row, *(
                 side for p in place.values() for side in (p, p[1:]))):
             out[unit] = Unit(a1 - a0, b1 - b0, g1 - g0, codes[width * l0:width * l1], b"".join(tokens[t0:t1]))
         return out
@@ -193,9 +204,9 @@ class Aligner:
         cut = [self.units(t) if t else [] for t in texts]
         if self.known_chars > CACHE_CHARS:
             self.known, self.known_chars = {}, 0
-        fresh = list({u: None for units in cut for u in units if u not in self.known})
-        # by_words: a unit with white space at an edge, as texts may begin and end, would be read together with the next
-        alone = [u for u in fresh if not self.by_words or not u or u[0].isspace() or u[-1].isspace()]
+        fresh = list(dict.fromkeys(u for units in cut for u in set(units).difference(self.known)))
+        # a unit with more white space at an edge, as texts may begin and end, would be read together with the next
+        alone = [u for u in fresh if not self.by_words or u[1:2].isspace() or u[-1].isspace()]
         # one that holds the letter by which B writes a space is never spelt, and could be joined to the next
         found: dict[str, Unit | None] = {u: None for u in fresh if SPACE_PIECE in u}
         for unit in alone:
@@ -203,12 +214,15 @@ class Aligner:
         together = [u for u in fresh if u not in found]
         if together:
             found |= self.align(together)
-        short = {u: v for u, v in found.items() if len(u) <= LONGEST_CACHED}
-        self.known |= short
-        self.known_chars += sum(map(len, short))
+        self.known |= found
         for units in cut:
-            got = [self.known[u] if u in self.known else found[u] for u in units]
+            got = list(map(self.known.get, units))
             yield got if got and None not in got else None
+        for unit in found:
+            if len(unit) > LONGEST_CACHED:
+                del self.known[unit]
+            else:
+                self.known_chars += len(unit)
 
 
 _aligner: tuple[tuple[str, str], Aligner] | None = None
