@@ -299,8 +299,11 @@ def draft_candidates(t: Tables, threshold: float, limit: int | None = None) -> D
 
 def liveness_candidates(t: Tables, now: Column, recheck_after_days: int | None = None,
                         older_than_days: int | None = None, include_closed: bool = False,
-                        location: str | None = None, limit: int = 500) -> DataFrame:
-    """Postings worth asking about, best first; undated and never-checked postings are included."""
+                        location: str | None = None, limit: int | None = None) -> DataFrame:
+    """Postings worth asking about; undated and never-checked postings are included.
+
+    A run's ``limit`` takes the best; without one all come, unsorted, so nothing is gathered.
+    """
     cond = (F.coalesce("apply_url", F.lit("")) != "") & F.col("canonical_id").isNull()
     if not include_closed:
         cond = cond & ~F.coalesce("liveness", F.lit("unknown")).isin("closed", "gone")
@@ -311,11 +314,10 @@ def liveness_candidates(t: Tables, now: Column, recheck_after_days: int | None =
     if place := _given(location):
         cond = cond & contains_typed("location", place)
     jobs = t["jobs"].filter(cond).select(F.col("id").alias("job_id"), "company", "apply_url")
-    return (
-        jobs.join(t["matches"].select("job_id", "match_score"), "job_id", "left")
-        .join(t["scores"].select("job_id", "ai_score"), "job_id", "left")
-        .orderBy(F.desc_nulls_last("ai_score"), F.desc_nulls_last("match_score"), "job_id").limit(max(1, limit))
-    )
+    known = jobs.join(t["matches"].select("job_id", "match_score"), "job_id", "left").join(
+        t["scores"].select("job_id", "ai_score"), "job_id", "left")
+    best = (F.desc_nulls_last("ai_score"), F.desc_nulls_last("match_score"), "job_id")
+    return known if limit is None else known.orderBy(*best).limit(max(1, limit))
 
 
 def approved_for_outbox(t: Tables) -> DataFrame:

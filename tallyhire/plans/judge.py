@@ -97,7 +97,7 @@ def _first(df: DataFrame, limit: int | None, *order) -> DataFrame:
     return df if limit is None else df.orderBy(*order).limit(limit)
 
 
-def normalise_candidates(jobs: DataFrame, limit: int | None = 100) -> DataFrame:
+def normalise_candidates(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     return _first(jobs.filter(
         F.col("seniority").isNull() & (F.col("description") != "") & F.col("canonical_id").isNull()
     ), limit, "id")
@@ -121,7 +121,7 @@ def _valid_normalised(r: Column) -> Column:
     )
 
 
-def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = 100, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Jobs with the judge's reading folded in, and the per-row results."""
     picked = normalise_candidates(jobs, limit)
     prompt = F.concat("title", F.lit("\n"), F.coalesce("location", F.lit("")), F.lit("\n\n"),
@@ -146,7 +146,7 @@ def normalise_jobs(jobs: DataFrame, judge: Judge, limit: int | None = 100, promp
 # -- skills -------------------------------------------------------------------
 
 
-def skill_candidates(jobs: DataFrame, job_skills: DataFrame, limit: int | None = 100) -> DataFrame:
+def skill_candidates(jobs: DataFrame, job_skills: DataFrame, limit: int | None = None) -> DataFrame:
     """Postings whose skills a judge has not read yet; one that came back empty is asked again."""
     done = job_skills.filter(F.col("source") == "ai").select(F.col("job_id").alias("id")).distinct()
     unread = jobs.filter((F.col("description") != "") & F.col("canonical_id").isNull()).join(done, "id", "left_anti")
@@ -157,7 +157,7 @@ def _valid_skills(r: Column) -> Column:
     return _texts(r["required"], 40, 60, 1) & _texts(r["preferred"], 40, 60, 1)
 
 
-def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge, limit: int | None = 100,
+def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge, limit: int | None = None,
                           learned: DataFrame | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     picked = skill_candidates(jobs, job_skills, limit)
     prompt = F.concat("title", F.lit("\n\n"), _shown("description", prompt_chars))
@@ -176,7 +176,7 @@ def extract_judged_skills(jobs: DataFrame, job_skills: DataFrame, judge: Judge,
 # -- score --------------------------------------------------------------------
 
 
-def above_threshold(jobs: DataFrame, matches: DataFrame, done: DataFrame, threshold: float, limit: int | None = 40,
+def above_threshold(jobs: DataFrame, matches: DataFrame, done: DataFrame, threshold: float, limit: int | None = None,
                     location: str | None = None) -> DataFrame:
     """Best matches not judged yet, [in one place], duplicates excluded."""
     listed = jobs.filter(F.col("canonical_id").isNull())
@@ -206,7 +206,7 @@ def _valid_score(r: Column) -> Column:
 
 
 def score_jobs(jobs: DataFrame, matches: DataFrame, scores: DataFrame, judge: Judge, threshold: float, now: Column,
-               model: str, limit: int | None = 40, location: str | None = None,
+               model: str, limit: int | None = None, location: str | None = None,
                fingerprint: Column | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     picked = above_threshold(jobs, matches, scores, threshold, limit, location)
     prompt = F.concat(F.lit("POSTING: "), "title", F.lit(" at "), "company", F.lit("\n\n"),
@@ -263,7 +263,7 @@ def _valid_signals(r: Column) -> Column:
 
 
 def compute_signals(jobs: DataFrame, matches: DataFrame, signals: DataFrame, judge: Judge, threshold: float,
-                    target_min: float | None, target_currency: str, now: Column, limit: int | None = 40,
+                    target_min: float | None, target_currency: str, now: Column, limit: int | None = None,
                     location: str | None = None, prompt_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Arithmetic for every candidate; a failed judgement costs the tone reading, not the row."""
     picked = settled(above_threshold(jobs, matches, signals, threshold, limit, location))

@@ -165,7 +165,7 @@ JOB_SKILL_ROWS = Derived("lineitem", {
     "requirement": "CASE WHEN l_returnflag = 'R' THEN 'preferred' ELSE 'required' END",
     "source": "CASE WHEN l_linestatus = 'O' THEN 'engine' ELSE 'ai' END",
     "ordinal": "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey",
-}, where="l_orderkey % 16 <> 7")
+})
 
 SCORES = Derived("orders", {
     "job_id": job_id(K),

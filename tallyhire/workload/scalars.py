@@ -480,7 +480,7 @@ def _(w):
 
 
 @register("F17_normalise_candidates", query("""
-    SELECT id, title FROM jobs WHERE seniority IS NULL AND description <> '' AND canonical_id IS NULL ORDER BY id LIMIT 100"""))
+    SELECT id, title FROM jobs WHERE seniority IS NULL AND description <> '' AND canonical_id IS NULL"""))
 def _(w):
     from tallyhire.plans.judge import normalise_candidates
 

@@ -212,7 +212,15 @@ def _(w):
     return mt.match_skills(w.job_skills, w.profile).groupBy("kind", "preferred", "skill").agg(F.count("*").alias("n"))
 
 
+# Ranking reads the skill rows without those of one posting in sixteen, so that there are postings to scan.
 # Postings without recorded skills are scanned; their rows join the recorded ones.
+RECORDED = "substr(job_id, -1) <> '7'"
+
+
+def _recorded(w):
+    return w.job_skills.filter(RECORDED)
+
+
 RANK_CTES = {
     **extraction("""SELECT id AS key, title || chr(10) || description AS t FROM jobs WHERE canonical_id IS NULL AND description <> ''
         AND id NOT IN (SELECT job_id FROM job_skills)"""),
@@ -224,7 +232,7 @@ RANK_CTES = {
 def _ranked(body: str) -> str:
     from tallyhire.workload.sql import _CTES
 
-    extra = dict(RANK_CTES)
+    extra = {"job_skills": f"SELECT * FROM ({_CTES['job_skills']}) AS recorded WHERE {RECORDED}", **RANK_CTES}
     for name in ("match_counts", "match_parts", "matches"):
         sql = _CTES[name].replace("FROM job_skills s", "FROM job_skills_all s")
         for other in ("match_counts", "match_parts"):
@@ -236,7 +244,7 @@ def _ranked(body: str) -> str:
 @register("M07_rank_all", _ranked(f"""SELECT job_id, matched_required, total_required, {num('coverage')}, {num('match_score')},
     (SELECT fp FROM fingerprint) AS profile_fingerprint FROM all_matches"""))
 def _(w):
-    r = mt.rank_all(w.jobs, w.job_skills, w.profile, w.now)
+    r = mt.rank_all(w.jobs, _recorded(w), w.profile, w.now)
     return r.matches.select("job_id", "matched_required", "total_required", "coverage", "match_score", "profile_fingerprint")
 
 
@@ -244,7 +252,7 @@ def _(w):
     (SELECT count(DISTINCT key) FROM scan_found) AS extracted, count(*) AS ranked,
     count(*) FILTER (match_score >= 0.35) AS above_threshold, (SELECT count(*) FROM jobs WHERE canonical_id IS NULL) - count(*) AS skipped FROM all_matches"""))
 def _(w):
-    return mt.rank_all(w.jobs, w.job_skills, w.profile, w.now).summary
+    return mt.rank_all(w.jobs, _recorded(w), w.profile, w.now).summary
 
 
 @register("J05_rank_only_new", query("""
@@ -257,7 +265,7 @@ def _(w):
 @register("V23_rerank_all", _ranked("""
     SELECT CAST(floor(match_score * 20) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT round(match_score, 9) AS match_score FROM all_matches) GROUP BY 1"""))
 def _(w):
-    m = mt.rank_all(w.jobs, w.job_skills, w.profile, w.now).matches
+    m = mt.rank_all(w.jobs, _recorded(w), w.profile, w.now).matches
     return m.groupBy(F.floor(F.round("match_score", 9) * 20).alias("bucket")).agg(F.count("*").alias("n"))
 
 

@@ -454,8 +454,7 @@ def _(w):
 
 @register("F16_above_threshold", query(f"""
     SELECT job_id, {num('match_score')} FROM (SELECT m.job_id, m.match_score FROM matches m JOIN jobs j ON j.id = m.job_id
-      WHERE m.match_score >= 0.3 AND j.canonical_id IS NULL AND j.location ILIKE '%india%' AND NOT EXISTS (SELECT 1 FROM scores s WHERE s.job_id = m.job_id)
-      ORDER BY m.match_score DESC, m.job_id LIMIT 40)"""))
+      WHERE m.match_score >= 0.3 AND j.canonical_id IS NULL AND j.location ILIKE '%india%' AND NOT EXISTS (SELECT 1 FROM scores s WHERE s.job_id = m.job_id))"""))
 def _(w):
     return jg.above_threshold(w.jobs, w.matches, w.scores, 0.3, location="India").select("job_id", "match_score")
 

@@ -244,7 +244,7 @@ def _(w):
         AND (posted_at IS NULL OR posted_at < {NOW} - INTERVAL 90 DAY) AND location ILIKE '%remote%'
       ORDER BY s.ai_score DESC NULLS LAST, m.match_score DESC NULLS LAST, j.id LIMIT 500)"""))
 def _(w):
-    return pj.liveness_candidates(w.tables, w.now, 30, 90, location="remote")
+    return pj.liveness_candidates(w.tables, w.now, 30, 90, location="remote", limit=500)
 
 
 @register("V21_liveness_summary", query("""
