@@ -26,10 +26,29 @@ def runs_by_window(runs: DataFrame, width: str = "1 day", late: str = "1 hour")
     )
 
 
-def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain what is there and stop; results go to files, never to the driver."""
-    (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-     .outputMode(mode).trigger(availableNow=True).start().awaitTermination())
+def run_sessions(runs: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """Runs of an engine that follow each other within ``gap``, as one row once the watermark has passed their end.
+
+    A run more than ``late`` behind the newest one is dropped if no open session takes it; ``run_to_files`` counts those.
+    """
+    return (
+        runs.withWatermark("started_at", late).groupBy(F.session_window("started_at", gap).alias("span"), "engine")
+        .agg(F.min("started_at").alias("first_run"), F.max("started_at").alias("last_run"), F.count("*").alias("runs"),
+             F.count_if(F.col("status").isin("error", "rate_limited")).alias("failing"), F.sum("fetched").alias("fetched"))
+        .select("engine", "first_run", "last_run", "runs", "failing", "fetched")
+    )
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
+    """Drain what is there and stop; results go to files, never to the driver.
+
+    Returns how many rows (partial aggregates, where Spark combines rows before the state) came too late, over the batches
+    of this call whose progress Spark still holds (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    drained = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+               .outputMode(mode).trigger(availableNow=True).start())
+    drained.awaitTermination()
+    return sum(s.numRowsDroppedByWatermark for p in drained.recentProgress for s in p.stateOperators)
 
 
 def run_batches(df: DataFrame, path: str, checkpoint: str) -> None:

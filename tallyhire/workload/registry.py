@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from tallyhire.workload import crawling, feeds, scalars, skills, state, views  # noqa: F401
+    from tallyhire.workload import crawling, feeds, scalars, skills, state, temporal, views  # noqa: F401

@@ -19,7 +19,8 @@ from tallyhire.workload.world import World  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = ("V01_list_jobs_relevance", "V04_dashboard", "V06_top_matches", "M01_extract_skills_documents", "K01_jobs_upsert", "D01_dedupe_jobs",
-          "J13_enrich_snippets", "T03_apply_updates", "X41_assess_liveness", "S_smartrecruiters", "T10_stream_weekly_spend")
+          "J13_enrich_snippets", "T03_apply_updates", "X41_assess_liveness", "S_smartrecruiters", "T10_stream_weekly_spend",
+          "J17_spend_priced_as_of", "J19_pay_bands", "J20_runs_while_fresh", "T12_stream_run_sessions")
 
 
 @pytest.fixture(scope="module")
