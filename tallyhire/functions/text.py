@@ -98,9 +98,17 @@ def html_to_text(c: Column | str) -> Column:
 
 
 def job_id(engine: Column, native_id: Column, apply_url: Column | None = None) -> Column:
-    """``engine-`` plus the first 12 hex digits of sha1(engine:basis); basis falls back to the URL."""
+    """``engine-`` plus sha1(engine:basis) in hex; basis falls back to the URL.
+
+    The whole digest is the key: 12 digits of it would give two postings one key at some tens of millions of postings.
+    """
     basis = F.coalesce(nonblank(native_id), apply_url if apply_url is not None else F.lit(""), F.lit(""))
-    return F.concat(engine, F.lit("-"), F.substring(F.sha1(F.concat(engine, F.lit(":"), basis)), 1, 12))
+    return F.concat(engine, F.lit("-"), F.sha1(F.concat(engine, F.lit(":"), basis)))
+
+
+def short_id(ident: Column) -> Column:
+    """The key as it is shown: 12 digits of the digest.  Not a key."""
+    return F.regexp_replace(ident, "-([0-9a-f]{12})[0-9a-f]*$", "-$1")
 
 
 # -- skills text --------------------------------------------------------------

@@ -72,7 +72,7 @@ def native(k: str) -> str:
 
 def job_id(k: str) -> str:
     basis = f"CASE WHEN {k} % 97 = 0 THEN 'https://jobs.example.com/' || {text(k)} ELSE {text(k)} END"
-    return f"{engine(k)} || '-' || substr(sha1({engine(k)} || ':' || {basis}), 1, 12)"
+    return f"{engine(k)} || '-' || sha1({engine(k)} || ':' || {basis})"
 
 
 def company(k: str, c: str) -> str:

@@ -87,7 +87,7 @@ def source(name: str, body, where: str = "true", kind: str | None = None, failin
         "currency": "''", "period": "'annual'", "salary_state": "'absent'", "posted": _DAY, "employment_type": "NULL::VARCHAR",
         "skills": "''", **expected,
     }
-    ident = f"'{name}-' || substr(sha1('{name}:' || {native}), 1, 12) AS id"
+    ident = f"'{name}-' || sha1('{name}:' || {native}) AS id"
     sql = query(f"SELECT {ident}, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM base WHERE {where}", base=BASE.sql())
 
     def run(w):
@@ -256,7 +256,7 @@ def _(w):
 
 
 @register("K01_ingest_to_jobs", query("""
-    SELECT 'jooble-' || substr(sha1('jooble:' || sid), 1, 12) AS id, sid AS native_id, co AS company, title, 'new' AS review_status FROM base""",
+    SELECT 'jooble-' || sha1('jooble:' || sid) AS id, sid AS native_id, co AS company, title, 'new' AS review_status FROM base""",
     base=BASE.sql()))
 def _(w):
     raw = ig.run_source(SPECS["jooble"], _several(w)["jooble"], ANY, w.now)

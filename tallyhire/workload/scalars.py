@@ -87,10 +87,11 @@ def _(w):
     return w.jobs.select("id", place.remote_from(F.col("remote"), F.col("location")).alias("remote"))
 
 
-@register("X05_job_id", query("SELECT k, id FROM jobs"))
+@register("X05_job_id", query("SELECT k, id, engine || '-' || substr(id, length(engine) + 2, 12) AS short_id FROM jobs"))
 def _(w):
     url = F.concat(F.lit("https://jobs.example.com/"), F.col("k").cast("string"))
-    return w.jobs.select("k", tx.job_id(F.col("engine"), F.col("native_id"), url).alias("id"))
+    ident = tx.job_id(F.col("engine"), F.col("native_id"), url)
+    return w.jobs.select("k", ident.alias("id"), tx.short_id(ident).alias("short_id"))
 
 
 @register("X06_normalise_skill_text", query(f"SELECT doc_id, md5({sql_skill_text('text')}) AS digest FROM documents"))
