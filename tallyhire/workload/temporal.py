@@ -42,7 +42,9 @@ FRESHNESS = d.Derived("events", {
     "fresh_from": "ts",
     "fresh_until": "ts + (1 + event_id % 6) * INTERVAL '1' HOUR",
 })
-SESSION_GAP, SESSION_LATE = "2 hours", "1 hour"
+#: Crawls of a host, as many hosts as the table has users, so that sessions stay as long whatever the table's size.
+CRAWLS = d.Derived("events", {**d.ENGINE_RUNS.columns, "engine": "'host-' || CAST(user_id AS STRING)"})
+SESSION_GAP, SESSION_LATE = "12 hours", "1 hour"
 
 
 @register("J17_spend_priced_as_of", query(f"""
@@ -96,12 +98,12 @@ def _(w):
         count(*) FILTER (status IN ('error', 'rate_limited')) AS failing
       FROM (SELECT *, sum(opens) OVER (PARTITION BY engine ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS session
         FROM (SELECT *, CASE WHEN started_at <= lag(started_at) OVER (PARTITION BY engine ORDER BY started_at, id)
-          + INTERVAL '2' HOUR THEN 0 ELSE 1 END AS opens FROM engine_runs)) GROUP BY engine, session)
-    WHERE last_run + INTERVAL '2' HOUR <= (SELECT date_trunc('milliseconds', max(started_at)) - INTERVAL '1' HOUR FROM engine_runs)""",
-    engine_runs=d.ENGINE_RUNS.sql()))
+          + INTERVAL '12' HOUR THEN 0 ELSE 1 END AS opens FROM crawls)) GROUP BY engine, session)
+    WHERE last_run + INTERVAL '12' HOUR <= (SELECT date_trunc('milliseconds', max(started_at)) - INTERVAL '1' HOUR FROM crawls)""",
+    crawls=CRAWLS.sql()))
 def _(w):
-    """Sessions of runs per source that the watermark has closed."""
-    runs = _stream(w, "events").selectExpr(*d.ENGINE_RUNS.exprs())
+    """Sessions of crawls per host that the watermark has closed."""
+    runs = _stream(w, "events").selectExpr(*CRAWLS.exprs())
     out, cp = run_folder(w.spark, "run-sessions"), run_folder(w.spark, "run-sessions-cp")
     logs.run_to_files(logs.run_sessions(runs, SESSION_GAP, SESSION_LATE), out, cp)
     return w.spark.read.parquet(out).select("engine", "first_run", "last_run", "runs", "failing")
