@@ -12,7 +12,7 @@ from tallyhire.operators import upsert as up
 from tallyhire.operators.settle import run_folder
 from tallyhire.operators.similar import PROBES, SIMILAR
 from tallyhire.plans import judge as jg
-from tallyhire.streaming import logs
+from tallyhire.streaming import logs, tracker
 from tallyhire.workload import derive as d
 from tallyhire.workload.registry import register
 from tallyhire.workload.scalars import rx, sql_collapse
@@ -487,3 +487,16 @@ def _(w):
     table = logs.VersionedTable(w.spark, base, w.applications.limit(0))
     logs.upsert_each_batch(events, cp, table.read, table.write, lc.apply_updates)
     return table.read().groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("T13_stream_tracker_state", query(f"""
+    SELECT {_APP_COLS}, {flag("""status IN ('submitted', 'responded', 'interviewing') AND last_status_at + INTERVAL '14' DAY
+      <= (SELECT max(happened_at) - INTERVAL '1' DAY FROM status_events
+        WHERE kind <> 'set' OR status IN ({quoted(d.APPLICATION_STATUSES)}))""", 'stale')} FROM replayed""", replayed=_REPLAYED))
+def _(w):
+    """The tracker as one state per application, with a timer that fires when nobody has answered for two weeks."""
+    events = _stream(w, "lineitem").selectExpr(*d.STATUS_EVENTS.exprs()).withColumnRenamed("happened_at", "at")
+    out, cp = run_folder(w.spark, "tracked"), run_folder(w.spark, "tracked-cp")
+    tracker.with_keyed_state(w.spark)
+    logs.run_to_files(tracker.track(events), out, cp)
+    return tracker.newest(w.spark.read.parquet(out)).drop("events")
