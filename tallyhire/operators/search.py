@@ -2,7 +2,7 @@
 
 ``SearchStore`` keeps, in one folder of the shared storage,
 
-* ``rows/shard=…``: the postings, cut by a hash of their id;
+* ``rows/shard=…``: the postings, cut by a hash of their id (a column named ``shard`` is replaced); ``shape``: their columns;
 * ``grams/batch=…/bucket=…``: (field, gram, shard, id), sorted by gram, for every three letters in a row of a searched field;
 * ``counts/batch=…/bucket=…``: how many postings hold a gram.
 
@@ -17,10 +17,11 @@ Null and empty fields hold nothing.  Grams are made from lower-cased code points
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import IntegerType, StructType
 
 from tallyhire.functions.text import contains_typed
 
@@ -54,15 +55,16 @@ class SearchStore:
 
     def build(self, postings: DataFrame) -> SearchStore:
         """Write the rows and their index anew."""
-        self._write_rows(postings.withColumn("shard", _hashed(F.col("id"), self.shards)), "overwrite")
-        stored = self.rows()
-        self.spark.createDataFrame([], "schema string").write.mode("overwrite").parquet(f"{self.folder}/grams")
-        self.spark.createDataFrame([], "schema string").write.mode("overwrite").parquet(f"{self.folder}/counts")
-        self._index(stored, "0")
+        shape = StructType([f for f in postings.schema if f.name != "shard"]).json()
+        self.spark.createDataFrame([(shape,)], "shape string").write.mode("overwrite").parquet(f"{self.folder}/shape")
+        self._write(postings.withColumn("shard", _hashed(F.col("id"), self.shards)), "rows", ["shard"], "static")
+        self._index(self.rows(), "0", "static")
         return self
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/rows")
+        """The stored postings, ``shard`` last; their columns are stored beside them, so no row at all is fine too."""
+        shape = StructType.fromJson(json.loads(self.spark.read.parquet(f"{self.folder}/shape").first()["shape"]))
+        return self.spark.read.schema(shape.add("shard", IntegerType())).parquet(f"{self.folder}/rows")
 
     def merge(self, batch: DataFrame, merged: DataFrame, batch_id: str) -> None:
         """Take over what an upsert made: ``merged`` is the whole table after it, ``batch`` the ids it touched.
@@ -73,36 +75,38 @@ class SearchStore:
         ids = batch.select("id").filter("id IS NOT NULL").distinct().withColumn("shard", _hashed(F.col("id"), self.shards))
         after = merged.withColumn("shard", _hashed(F.col("id"), self.shards))
         touched = ids.select("shard").distinct()  # at most ``shards`` rows
-        self._write_rows(after.join(F.broadcast(touched), "shard", "left_semi"), "dynamic")
-        self._index(after.join(ids.select("id"), "id", "left_semi"), batch_id)
+        self._write(after.join(F.broadcast(touched), "shard", "left_semi"), "rows", ["shard"], "dynamic")
+        self._index(after.join(ids.select("id"), "id", "left_semi"), batch_id, "dynamic")
 
-    def _write_rows(self, rows: DataFrame, how: str) -> None:
-        spread = rows.hint("rebalance", "shard")
-        write = spread.write.mode("overwrite").partitionBy("shard")
-        (write.option("partitionOverwriteMode", "dynamic") if how == "dynamic" else write).parquet(f"{self.folder}/rows")
+    def _write(self, rows: DataFrame, name: str, parts: list[str], overwrite: str, order: Sequence[str] = ()) -> None:
+        """Rebalancing cuts what is too large for one task: a frequent gram fills several files of its bucket."""
+        rows.hint("rebalance", parts[-1]).sortWithinPartitions(*parts, *order).write.mode("overwrite").option(
+            "partitionOverwriteMode", overwrite).partitionBy(*parts).parquet(f"{self.folder}/{name}")
 
-    def _index(self, rows: DataFrame, batch_id: str) -> None:
+    def _index(self, rows: DataFrame, batch_id: str, overwrite: str) -> None:
         held = F.array(*[F.struct(F.lit(f).alias("field"), grams(F.col(f)).alias("grams")) for f in self.fields])
         each = rows.select("id", "shard", F.explode(held).alias("h")).select(
             "id", "shard", "h.field", F.explode_outer("h.grams").alias("gram")).filter("gram IS NOT NULL")
-        placed = each.withColumn("bucket", _hashed(F.col("gram"), self.buckets))
-        path = f"{self.folder}/grams/batch={batch_id}"
-        # a frequent gram fills several files of its bucket: rebalancing cuts what is too large for one task
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "field").write.mode("overwrite").partitionBy(
-            "bucket").parquet(path)
-        stored = self.spark.read.schema("id string, shard int, field string, gram string, bucket int").parquet(path)
-        stored.groupBy("bucket", "gram", "field").agg(F.count("*").alias("n")).hint("rebalance", "bucket").sortWithinPartitions(
-            "bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/counts/batch={batch_id}")
+        placed = each.select("*", F.lit(batch_id).alias("batch"), _hashed(F.col("gram"), self.buckets).alias("bucket"))
+        self._write(placed, "grams", ["batch", "bucket"], overwrite, ["gram", "field"])
+        written = self._read("grams", "id string, field string, gram string").filter(F.col("batch") == batch_id)
+        self._write(written.groupBy("batch", "bucket", "gram", "field").agg(F.count("*").alias("n")),
+                    "counts", ["batch", "bucket"], overwrite, ["gram"])
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(f"{schema}, batch string, bucket int").parquet(f"{self.folder}/{name}")
 
     def _lookup(self, name: str, schema: str, wanted: Sequence[str]) -> DataFrame:
-        """Index rows of some grams; their buckets are constants, so the other folders are not listed as input."""
-        table = self.spark.read.schema(f"{schema}, batch string, bucket int").parquet(f"{self.folder}/{name}")
-        return table.filter(F.col("bucket").isin(*[_hashed(F.lit(g), self.buckets) for g in wanted]) & F.col("gram").isin(*wanted))
+        """Index rows of some grams; their buckets are constants, so no other bucket is opened."""
+        return self._read(name, schema).filter(F.col("bucket").isin(*[_hashed(F.lit(g), self.buckets) for g in wanted]) & F.col("gram").isin(*wanted))
 
     def rarest(self, typed: str, fields: Sequence[str]) -> dict[str, tuple[str, int]]:
-        """Per field the gram of the typed text that the fewest rows hold, with that number; reads one count per gram."""
-        wanted = self.spark.range(1).select(F.explode(grams(F.lit(typed))).alias("gram"))
-        words = [r["gram"] for r in wanted.collect()]
+        """Per field the gram of the typed text that the fewest rows hold, with that number; reads one count per gram.
+
+        ``%`` and ``_`` are wildcards in what a user types, so grams come from the pieces between them.
+        """
+        pieces = self.spark.range(1).select(F.explode(F.split(F.lower(F.lit(typed)), "[%_]")).alias("piece"))
+        words = [r["gram"] for r in pieces.select(F.explode(grams(F.col("piece"))).alias("gram")).distinct().collect()]
         if not words:
             return {}
         counts = self._lookup("counts", "gram string, field string, n long", words).filter(F.col("field").isin(*fields))
@@ -119,7 +123,7 @@ class SearchStore:
         wanted = pairs[0]
         for p in pairs[1:]:
             wanted = wanted | p
-        return held.filter(wanted).select("id", "shard").distinct()
+        return held.filter(wanted).select("id", "shard")
 
     def find(self, typed: str, fields: Sequence[str] | None = None) -> DataFrame:
         """All rows that hold the typed text in one of the fields (blank: all rows), as the plain filter finds them."""

@@ -489,10 +489,11 @@ def _(w):
     return table.read().groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("T13_stream_tracker_state", query(f"""
-    SELECT {_APP_COLS}, {flag("""status IN ('submitted', 'responded', 'interviewing') AND last_status_at + INTERVAL '14' DAY
-      <= (SELECT max(happened_at) - INTERVAL '1' DAY FROM status_events
-        WHERE kind <> 'set' OR status IN ({quoted(d.APPLICATION_STATUSES)}))""", 'stale')} FROM replayed""", replayed=_REPLAYED))
+_SILENT = f"""status IN ('submitted', 'responded', 'interviewing') AND last_status_at + INTERVAL '14' DAY <= (SELECT max(happened_at)
+    - INTERVAL '1' DAY FROM status_events WHERE kind <> 'set' OR status IN ({quoted(d.APPLICATION_STATUSES)}))"""
+
+
+@register("T13_stream_tracker_state", query(f"SELECT {_APP_COLS}, {flag(_SILENT, 'stale')} FROM replayed", replayed=_REPLAYED))
 def _(w):
     """The tracker as one state per application, with a timer that fires when nobody has answered for two weeks."""
     events = _stream(w, "lineitem").selectExpr(*d.STATUS_EVENTS.exprs()).withColumnRenamed("happened_at", "at")

@@ -9,6 +9,8 @@ from tallyhire.plans import runs as pr
 from tallyhire.plans import tracker as pt
 from tallyhire.plans.jobs import JobFilters
 from tallyhire.functions import place
+from tallyhire.operators.search import SearchStore
+from tallyhire.operators.settle import run_folder
 from tallyhire.workload import derive as d
 from tallyhire.workload.registry import register
 from tallyhire.workload.sql import NOW, SCORE_ORDER, SUMMARY_COLUMNS, flag, num, query, quoted, ts
@@ -79,6 +81,24 @@ counting("F14_parsed_filters", JobFilters.parse({"q": "", "minAiScore": "abc", "
          "coalesce(coverage, 0) >= 0.25 AND remote")
 
 
+TYPED = ((" platform ", ("company", "title", "location")), ("INDIA", ("location",)), ("r%plat_orm", ("title",)))
+
+
+@register("F03_search_index", query("""
+    SELECT 'platform' AS typed, id, company, title, location FROM jobs
+      WHERE company ILIKE '%platform%' OR title ILIKE '%platform%' OR location ILIKE '%platform%'
+    UNION ALL SELECT 'INDIA', id, company, title, location FROM jobs WHERE location ILIKE '%india%'
+    UNION ALL SELECT 'r%plat_orm', id, company, title, location FROM jobs WHERE title ILIKE '%r%plat_orm%'"""))
+def _(w):
+    """Searches by trigram index, after an upsert that added every fifth posting."""
+    jobs = w.jobs.select("k", "id", "company", "title", "location")
+    store = SearchStore(w.spark, run_folder(w.spark, "search"), shards=16, buckets=16).build(jobs.filter("k % 5 <> 0").drop("k"))
+    store.merge(jobs.filter("k % 5 = 0"), jobs.drop("k"), "1")
+    found = [store.find(typed, fields).select(F.lit(typed.strip()).alias("typed"), "id", "company", "title", "location")
+             for typed, fields in TYPED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @register("F21_location_fit", query(
     f"SELECT fit, count(*) AS n FROM (SELECT {_fit_sql()} AS fit FROM jobs) GROUP BY fit"))
 def _(w):
