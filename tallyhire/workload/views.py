@@ -11,6 +11,7 @@ from tallyhire.plans.jobs import JobFilters
 from tallyhire.functions import place
 from tallyhire.operators.search import SearchStore
 from tallyhire.operators.settle import run_folder
+from tallyhire.operators.sketches import RANK_ERROR, DailySketches, distinct_error, estimates
 from tallyhire.workload import derive as d
 from tallyhire.workload.registry import register
 from tallyhire.workload.sql import NOW, SCORE_ORDER, SUMMARY_COLUMNS, flag, num, query, quoted, ts
@@ -81,6 +82,26 @@ counting("F14_parsed_filters", JobFilters.parse({"q": "", "minAiScore": "abc", "
          "coalesce(coverage, 0) >= 0.25 AND remote")
 
 
+@register("A02_sketched_companies", query("""
+    SELECT engine, count(*) AS postings, count(DISTINCT company) AS companies, 1 AS companies_near, 1 AS pay_near FROM jobs
+    GROUP BY engine"""))
+def _(w):
+    """Companies and median pay per source from merged daily sketches, held against the exact ones."""
+    jobs = w.jobs.select("engine", "company", F.col("salary_min").alias("pay"), "posted_at")
+    store = DailySketches(w.spark, run_folder(w.spark, "sketches"), ["engine"], {"company": "company"}, {"pay": "pay"})
+    store.add(jobs, "posted_at")
+    near = estimates(store.between(), ["engine"], {"median": 0.5})
+    # one row per source, so the estimates are small; the exact figures come from one pass over the postings
+    exact = jobs.join(F.broadcast(near.select("engine", "pay_median")), "engine").groupBy("engine").agg(
+        F.count("*").alias("postings"), F.count_distinct("company").alias("companies"), F.count("pay").alias("paid"),
+        F.count_if(F.col("pay") < F.col("pay_median")).alias("under"), F.count_if(F.col("pay") <= F.col("pay_median")).alias("upto"))
+    off, half = F.abs(F.col("company") - F.col("companies")), F.col("paid") * 0.5
+    slack = F.col("paid") * RANK_ERROR + 1
+    return exact.join(near, "engine").select(
+        "engine", "postings", "companies", ((off <= F.col("companies") * distinct_error()) & (F.col("rows") == F.col("postings")))
+        .alias("companies_near"), ((F.col("under") <= half + slack) & (F.col("upto") >= half - slack)).alias("pay_near"))
+
+
 TYPED = ((" platform ", ("company", "title", "location")), ("INDIA", ("location",)), ("r%plat_orm", ("title",)))
 
 
