@@ -37,8 +37,6 @@ from tallyhire.operators.settle import settled
 BLOCK_SIZE = 65_536
 #: Slots that the sweep hands on at a time; the schedule does not depend on it.
 FRAME = 1024
-#: Read no more, as every source has a lane of its own; the name stays for a test that sets it.
-MAX_LANES = 512
 #: Without given weights a source of size *n* weighs ``n ** TEMPER``: large sources are held back, small ones raised.
 TEMPER = 0.5
 #: Name of the lane for a null source; any other source's lane starts with "=".

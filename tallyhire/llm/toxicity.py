@@ -35,8 +35,6 @@ from tallyhire.operators.settle import settled
 
 #: Labelled rows that tokens and curve are fitted on, at most.
 FIT_ROWS = 20_000
-#: Forms with a score of their own, at most: the most significant.  The bounded sample bounds them as well.
-MODEL_FORMS = 50_000
 STEMS = range(3, 9)
 PRIOR_TOKENS = 1000.0
 LEAST_RATIO = 18.0
@@ -209,8 +207,8 @@ def fitted(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Mod
     for c, p in (("toxic_texts", share), ("clean_texts", 1 - share)):
         ratio = ratio + F.when(F.col(c) > 0, 2 * F.col(c) * F.log(F.col(c) / (texts * p))).otherwise(0.0)
     graded = counted.withColumn("delta", odds[0] - odds[1]).withColumn("ratio", ratio)
-    picked = graded.where((F.col("ratio") >= LEAST_RATIO) & (texts >= LEAST_TEXTS)).orderBy(
-        F.desc("ratio"), "form").limit(MODEL_FORMS).select("form", "ratio", "delta").collect()
+    # as many forms as are significant in the bounded sample
+    picked = graded.where((F.col("ratio") >= LEAST_RATIO) & (texts >= LEAST_TEXTS)).select("form", "ratio", "delta").collect()
     chosen = {r["form"]: (r["ratio"], max(-SCORE_LIMIT, min(SCORE_LIMIT, r["delta"]))) for r in picked}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

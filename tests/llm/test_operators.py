@@ -296,12 +296,6 @@ def test_mixing_keeps_every_row_and_the_shares(spark, documents, no_documents):
     assert mixing.mixed(no_documents).collect() == []
 
 
-def test_mixing_pools_the_sources_beyond_the_lanes(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_LANES", 3)
-    frame = spark.createDataFrame([(i, "t", f"s{i % 9}") for i in range(90)], "doc_id long, text string, source string")
-    assert mixing.mixed(frame, block_size=2).count() == 90
-
-
 def test_mixing_gives_every_source_its_lane_and_weight(spark):
     rows = [(f"s{i}", "xxxx") for i in range(600) for _ in range(6)]
     frame = spark.createDataFrame(rows, "source string, text string")
@@ -531,3 +525,14 @@ def test_best_fill_is_the_closest_sum():
         picked = packing.best_fill(sorted(counts), lambda n: counts[n], room)
         assert all(c <= counts[n] for n, c in picked.items())
         assert sum(n * c for n, c in picked.items()) == max(s for s in sums if s <= room)
+
+
+def test_pages_read_on_after_elements_that_are_not_closed():
+    def read(html):
+        return [text for text, _, _ in pages.lines(html)]
+
+    for name in ("svg", "math", "iframe", "object", "noscript"):
+        assert read(f"<p>a<{name}/>b</p><p>c</p>") == ["ab", "c"]
+        assert read(f"<p>a<{name} width='1'>b</p><p>c</p>") == ["ab", "c"]
+        assert read(f"<p>a<{name}>b</{name}>c</p>") == ["ac"]
+    assert read("<p>a</p><script>if (a < b) { x = '<p>' }") == ["a"]
