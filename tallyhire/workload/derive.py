@@ -112,6 +112,8 @@ class Derived:
     source: str
     columns: dict[str, str]
     where: str = "1 = 1"
+    #: Rules that read its texts take so long per row that rows are dealt out by their number.
+    costly: bool = False
 
     def exprs(self) -> list[str]:
         return [f"{e} AS {c}" for c, e in self.columns.items()]

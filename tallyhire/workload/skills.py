@@ -73,7 +73,7 @@ SCAN_SQL = "SELECT key, f.slug, v.label, v.category, requirement, term AS eviden
 
 @register("M01_extract_skills_jobs", query(SCAN_SQL, vocabulary=VOCAB_VALUES, **extraction(JOB_TEXTS)))
 def _(w):
-    texts = w.jobs.select(F.col("id").alias("key"), "title", "description")
+    texts = w.job_texts.select(F.col("id").alias("key"), "title", "description")
     return ex.extract_skills(texts, "key", F.concat_ws("\n", "title", "description"))
 
 
@@ -88,14 +88,14 @@ def _(w):
       (SELECT lower(title || chr(10) || description) AS orig FROM jobs)"""))
 def _(w):
     orig = F.lower(F.concat_ws("\n", "title", "description"))
-    return w.jobs.select(orig.alias("orig")).agg(*[
+    return w.job_texts.select(orig.alias("orig")).agg(*[
         F.count_if(ex.has_skill_context(F.col("orig"), t)).alias(t) for t in _AMBIGUOUS])
 
 
 @register("M03_requirement_split", query(
     "SELECT requirement, slug, count(*) AS n FROM scan_found GROUP BY requirement, slug", **extraction(JOB_TEXTS)))
 def _(w):
-    found = ex.extract_skills(w.jobs.select("id", "title", "description"), "id", F.concat_ws("\n", "title", "description"))
+    found = ex.extract_skills(w.job_texts.select("id", "title", "description"), "id", F.concat_ws("\n", "title", "description"))
     return found.groupBy("requirement", "slug").agg(F.count("*").alias("n"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,16 +15,25 @@ from tallyhire.operators.skew import first_by
 from tallyhire.workload import derive as d
 
 
-_THIN: dict[tuple[str, str], bool] = {}
+#: Rows of a text-like derived table that one task takes: some tens of seconds of the costliest rules.
+ROWS_PER_TASK = 100_000
+_PARTS: dict[tuple[str, str], tuple[int, int]] = {}
 
 
-def thin_scan(spark: SparkSession, folder: str, name: str) -> bool:
-    """Does this scan have fewer tasks than there are cores?  Looked up once per file."""
-    key = (folder, name)
-    if key not in _THIN:
-        tasks = spark.read.parquet(f"{folder}/{name}.parquet").rdd.getNumPartitions()
-        _THIN[key] = tasks < spark.sparkContext.defaultParallelism
-    return _THIN[key]
+def parts_for(spark: SparkSession, folder: str, name: str, costly: bool) -> int | None:
+    """Into how many parts this scan is spread first; None leaves it as it is.  Looked up once per file.
+
+    A scan with fewer tasks than there are cores is spread over the cores.  Before costly work rows count and not bytes:
+    files cut by size, and the largest row group at that, put ever more rows into one task.
+    """
+    key, cores = (folder, name), spark.sparkContext.defaultParallelism
+    if key not in _PARTS:
+        scan = spark.read.parquet(f"{folder}/{name}.parquet")
+        _PARTS[key] = scan.rdd.getNumPartitions(), scan.count()
+    tasks, rows = _PARTS[key]
+    if costly:
+        return max(cores, -(-rows // ROWS_PER_TASK))
+    return cores if tasks < cores else None
 
 
 class World:
@@ -37,10 +47,11 @@ class World:
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
     def derived(self, spec: d.Derived) -> DataFrame:
-        """A derived table.  A given file too small to occupy the cores is spread first; larger ones are not touched."""
+        """A derived table.  A given file is spread first if it is too small to occupy the cores or the rules are costly."""
         base = self.raw(spec.source)
-        if thin_scan(self.spark, self.folder, spec.source):
-            base = base.repartition(self.spark.sparkContext.defaultParallelism)
+        parts = parts_for(self.spark, self.folder, spec.source, spec.costly)
+        if parts is not None:
+            base = base.repartition(parts)
         return base.filter(spec.where).selectExpr(*spec.exprs())
 
     @property
@@ -51,6 +62,11 @@ class World:
     def jobs(self) -> DataFrame:
         return self.derived(d.JOBS)
 
+    @cached_property
+    def job_texts(self) -> DataFrame:
+        """The postings for rules that read their whole text."""
+        return self.derived(replace(d.JOBS, costly=True))
+
     @cached_property
     def job_skills(self) -> DataFrame:
         """Insert-or-ignore on (job_id, skill): the first row by ordinal stays."""
