@@ -35,8 +35,8 @@ TARGET_BAND = 0.02
 
 
 def _lookup(key: Column, table: dict, default: Column) -> Column:
-    chain = reduce(lambda acc, kv: acc.when(key == kv[0], F.lit(kv[1])), list(table.items()), F)
-    return chain.otherwise(default)
+    """The key is bound first: a chain over an expression reads it once per entry."""
+    return let(key, lambda k: reduce(lambda acc, kv: acc.when(k == kv[0], F.lit(kv[1])), list(table.items()), F).otherwise(default))
 
 
 def salary_struct(lo: Column, hi: Column, currency: Column, period: Column, state: Column) -> Column:
@@ -106,22 +106,28 @@ def parse_salary(text: Column, fallback_currency: str = "") -> Column:
                      F.regexp_extract_all(text, F.lit(RANGE_AND_NEAR), F.lit(7)).alias("near")),
         lambda m, i: found(m["pair"], True, period(F.when(i == 0, F.concat(head, m["near"])).otherwise(m["near"]))))
 
-    # The groups are read from the short matches.
+    # The groups are read from the short matches, each once; only those of the figure's own kind.
+    def pair(m: Column) -> Column:
+        names = ("sym1", "lo", "lo_suffix", "sym2", "hi", "hi_suffix")
+
+        def read(g: Column) -> Column:
+            return let(F.coalesce(nonblank(g["hi_suffix"]), g["lo_suffix"]), lambda suffix: F.struct(
+                m["is_pair"].alias("is_pair"), m["period"].alias("period"),
+                _scaled(_number(g["lo"]), F.coalesce(nonblank(g["lo_suffix"]), suffix)).alias("lo"),
+                _scaled(_number(g["hi"]), suffix).alias("hi"),
+                _lookup(F.coalesce(nonblank(g["sym1"]), g["sym2"]), CURRENCY_SYMBOLS, F.when(
+                    suffix.rlike("(?i)(lpa|lakh|crore)"), F.lit("INR")).otherwise(fallback)).alias("currency")))
+
+        return let(F.struct(*[F.regexp_extract(m["figure"], RANGE, i + 1).alias(n) for i, n in enumerate(names)]), read)
+
+    def single(m: Column) -> Column:
+        symbol, figure, suffix = (F.regexp_extract(m["figure"], SINGLE, i) for i in (1, 2, 3))
+        return let(_scaled(_number(figure), suffix), lambda value: F.struct(
+            m["is_pair"].alias("is_pair"), m["period"].alias("period"), value.alias("lo"), value.alias("hi"),
+            _lookup(symbol, CURRENCY_SYMBOLS, fallback).alias("currency")))
+
     def figures(m: Column) -> Column:
-        sym1, lo_text, lo_suffix, sym2, hi_text, hi_suffix = (F.regexp_extract(m["figure"], RANGE, i) for i in range(1, 7))
-        suffix = F.coalesce(nonblank(hi_suffix), lo_suffix)
-        pair_currency = _lookup(
-            F.coalesce(nonblank(sym1), sym2), CURRENCY_SYMBOLS,
-            F.when(suffix.rlike("(?i)(lpa|lakh|crore)"), F.lit("INR")).otherwise(fallback),
-        )
-        one_value = _scaled(_number(F.regexp_extract(m["figure"], SINGLE, 2)), F.regexp_extract(m["figure"], SINGLE, 3))
-        one_currency = _lookup(F.regexp_extract(m["figure"], SINGLE, 1), CURRENCY_SYMBOLS, fallback)
-        return F.struct(
-            m["is_pair"].alias("is_pair"), m["period"].alias("period"),
-            F.when(m["is_pair"], _scaled(_number(lo_text), F.coalesce(nonblank(lo_suffix), suffix))).otherwise(one_value).alias("lo"),
-            F.when(m["is_pair"], _scaled(_number(hi_text), suffix)).otherwise(one_value).alias("hi"),
-            F.when(m["is_pair"], pair_currency).otherwise(one_currency).alias("currency"),
-        )
+        return F.when(m["is_pair"], pair(m)).otherwise(single(m))
 
     def first_plausible(read: Column) -> Column:
         first_pair = F.array_position(F.transform(read, lambda f: f["is_pair"]), True)

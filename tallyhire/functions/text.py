@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire import vocab
 
@@ -20,6 +20,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns whose values are worked out once per row.
+
+    They come out of a generator, so a filter on them stays above it.  Below a projection the filter would hold a copy of
+    the whole expression for every mention of the column.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of whitespace become one space; ends trimmed."""
     return F.trim(F.regexp_replace(_col(c), f"{WS}+", " "))
@@ -294,10 +303,13 @@ def file_extension(c: Column | str) -> Column:
 # -- search terms -------------------------------------------------------------
 
 
+WORD_BREAK = "[^a-z0-9+#.]+"
+
+
 def words(c: Column | str) -> Column:
     """Meaningful words of a text: split, drop single characters and stopwords."""
     return F.filter(
-        F.split(F.lower(_col(c)), "[^a-z0-9+#.]+"),
+        F.split(F.lower(_col(c)), WORD_BREAK),
         lambda w: (F.length(w) > 1) & ~w.isin(*vocab.STOPWORDS),
     )
 
@@ -306,16 +318,19 @@ def signal_words(term: str) -> list[str]:
     """Words of a search term that say what the work is; level words only when nothing else remains."""
     import re
 
-    every = [w for w in re.split("[^a-z0-9+#.]+", term.lower()) if len(w) > 1 and w not in vocab.STOPWORDS]
+    every = [w for w in re.split(WORD_BREAK, term.lower()) if len(w) > 1 and w not in vocab.STOPWORDS]
     return [w for w in every if w not in vocab.SENIORITY_WORDS] or every
 
 
 def matches_terms(terms: list[str], title: Column, tags: Column | None = None) -> Column:
-    """Does a posting relate to any search term?  No terms keeps everything."""
+    """Does a posting relate to any search term?  No terms keeps everything.
+
+    The wanted words are meaningful ones, so the title's are not sorted out first.
+    """
     if not terms:
         return F.lit(True)
     wanted = sorted({w for t in terms for w in signal_words(t)})
     if not wanted:
         return F.lit(False)
     text = title if tags is None else F.concat_ws(" ", title, F.concat_ws(" ", tags))
-    return F.arrays_overlap(words(F.coalesce(text, F.lit(""))), F.array(*[F.lit(w) for w in wanted]))
+    return F.arrays_overlap(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), F.array(*[F.lit(w) for w in wanted]))

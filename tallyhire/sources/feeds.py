@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyhire.functions import place
 from tallyhire.functions.dates import epoch_to_timestamp, iso
 from tallyhire.functions.pay import from_structured, parse_salary
-from tallyhire.functions.text import clean, html_to_text, join_nonblank, nonblank, parse_header, strip
+from tallyhire.functions.text import clean, html_to_text, join_nonblank, let, nonblank, once, parse_header, strip
 from tallyhire.sources.spec import SourceSpec
 
 HTML_JOIN = "\n\n"
@@ -115,10 +115,10 @@ def _with_details(rows: DataFrame, payloads: DataFrame) -> DataFrame:
     """Attach the detail response of each posting; a failed detail leaves an empty body."""
     schema = "struct<id: string, jobAd: struct<sections: map<string, struct<title: string, text: string>>>>"
     texts = F.transform(F.map_values("d.jobAd.sections"), lambda s: html_to_text(s["text"]))
+    answered = payloads.filter((F.col("kind") == "detail") & F.col("error").isNull()
+                               & (F.coalesce(F.col("http_status"), F.lit(200)) < 400))
     details = (
-        payloads.filter((F.col("kind") == "detail") & F.col("error").isNull()
-                        & (F.coalesce(F.col("http_status"), F.lit(200)) < 400))
-        .select("board_token", F.from_json("body", schema).alias("d"))
+        once(answered, d=F.from_json("body", schema))
         .select("board_token", F.col("d.id").alias("_id"),
                 strip(F.array_join(F.filter(texts, lambda t: t != ""), HTML_JOIN)).alias("_body"))
         .groupBy("board_token", "_id").agg(F.min("_body").alias("detail_body"))
@@ -233,7 +233,7 @@ def _hiring_thread(rows: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def _read_comment(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("text", html_to_text("rec.comment_text")).withColumn("head", parse_header("text"))
+    return once(once(rows, text=html_to_text("rec.comment_text")), head=parse_header("text"))
 
 
 def hackernews(r, q):
@@ -357,7 +357,7 @@ def _jobspy_error() -> Column:
     """Fails on a bridge error, or when every site failed."""
     failed = F.from_json(F.get_json_object("body", "$.errors"), "map<string, string>")
     each = F.transform(F.map_entries(failed), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return F.coalesce(_body_error(), F.when(F.size(each) == JOBSPY_SITES, F.array_join(each, "; ")))
+    return F.coalesce(_body_error(), let(each, lambda e: F.when(F.size(e) == JOBSPY_SITES, F.array_join(e, "; "))))
 
 
 # Fixed value: sites the scraper asks (indeed, linkedin, naukri, google).

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhire.functions.dates import parse_posted_at, within_age
 from tallyhire.functions.pay import absent
-from tallyhire.functions.text import matches_terms
+from tallyhire.functions.text import matches_terms, once
 from tallyhire.schemas import RAW_JOB, SALARY
 
 
@@ -85,10 +85,11 @@ def records(spec: SourceSpec, payloads: DataFrame) -> DataFrame:
     for step in (spec.path or "").split("."):
         items = items[step] if step else items
     extra = parsed["name"] if spec.envelope.startswith("name ") else F.lit(None).cast("string")
-    return usable.select(
+    each = usable.select(
         "seq", "board_company", "board_token", extra.alias("envelope_name"),
         F.posexplode_outer(items).alias("pos", "raw"),
-    ).filter(F.col("raw").isNotNull()).withColumn("rec", F.from_json("raw", spec.record)).filter(F.col("rec").isNotNull())
+    ).filter(F.col("raw").isNotNull())
+    return once(each, rec=F.from_json("raw", spec.record)).filter(F.col("rec").isNotNull())
 
 
 def read_source(spec: SourceSpec, payloads: DataFrame, query: SearchQuery, now: Column) -> DataFrame:
@@ -107,22 +108,24 @@ def read_source(spec: SourceSpec, payloads: DataFrame, query: SearchQuery, now:
     late = {k: v for k, v in defaults.items() if k not in cols}
     types = {"description_complete": "boolean", "remote": "boolean", "salary": SALARY, "employment_type": "string",
              "posted_at": "string", "skills": "array<string>", "tags": "array<string>"}
-    df = rows.select("seq", "pos", "raw", "board_company", *[c.alias(n) for n, c in cols.items()])
-    df = df.select("*", *[c.cast(types[n]).alias(n) if n in types else c.alias(n) for n, c in late.items()])
-    df = df.filter(F.coalesce("keep", F.lit(False)))
 
     def client_filters(d: DataFrame) -> DataFrame:
         if spec.filter_terms:
-            d = d.filter(matches_terms(list(query.terms), F.col("match_title"), F.col("tags")))
+            d = d.filter(matches_terms(list(query.terms), cols.get("match_title", cols["title"]), cols.get("tags")))
         if spec.filter_age:
-            d = d.filter(within_age(parse_posted_at("posted_at"), now, query.max_age_days))
+            d = d.filter(within_age(parse_posted_at(cols.get("posted_at", F.lit(None).cast("string"))), now, query.max_age_days))
         return d
 
-    if spec.unique == "before":
-        df = client_filters(first_seen(df))
+    # rows are picked first, from the few columns that decide; what is dropped is not worked out
+    rows = rows.filter(F.coalesce(cols.get("keep", F.lit(True)), F.lit(False)))
+    if spec.unique is not None:
+        rows = rows.withColumn("native_id", cols["native_id"])
+        rows = client_filters(first_seen(rows)) if spec.unique == "before" else first_seen(client_filters(rows))
+        cols["native_id"] = F.col("native_id")
     else:
-        df = client_filters(df)
-        df = first_seen(df) if spec.unique == "after" else df
+        rows = client_filters(rows)
+    df = rows.select("seq", "pos", "raw", "board_company", *[c.alias(n) for n, c in cols.items()])
+    df = df.select("*", *[c.cast(types[n]).alias(n) if n in types else c.alias(n) for n, c in late.items()])
     if query.remote_only:
         df = df.filter(F.col("remote"))
     names = [f.strip().split(" ")[0] for f in RAW_JOB.replace(SALARY, "salary_t").split(",")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhire.functions.text import job_id
+from tallyhire.functions.text import job_id, once
 from tallyhire.sources import ingest as ig
 from tallyhire.sources.feeds import SPECS
 from tallyhire.sources.spec import SearchQuery
@@ -27,7 +27,7 @@ BASE = d.Derived("orders", {
     "lo": "CAST(floor(o_totalprice / 10) AS DOUBLE)",
     "hi": "CAST(floor(o_totalprice / 5) AS DOUBLE)",
     "posted": "o_orderdate",
-})
+}, costly=True)
 FAILED = "k % 17 = 0"
 QUERY = SearchQuery(terms=("data engineer", "payments"), max_age_days=1500)
 _WORDS = "list_has_any(regexp_split_to_array(lower({0}), '[^a-z0-9+#.]+'), ['data', 'engineer', 'payments'])"
@@ -58,10 +58,10 @@ def one(record: Column) -> Column:
 
 def payloads(w, body: Column, kind: str | None = None, failing: bool = False) -> DataFrame:
     """One response per order; some fail when asked to."""
-    base = w.derived(BASE)
+    base = once(w.derived(BASE), body=F.to_json(body))
     return base.select(
         F.col("k").alias("seq"), F.lit(kind).cast("string").alias("kind"), F.col("co").alias("board_company"),
-        F.concat(F.lit("tok"), "sid").alias("board_token"), F.to_json(body).alias("body"), F.lit(None).cast("int").alias("http_status"),
+        F.concat(F.lit("tok"), "sid").alias("board_token"), "body", F.lit(None).cast("int").alias("http_status"),
         (F.when(F.expr(FAILED), "HTTP 500") if failing else F.lit(None)).cast("string").alias("error"),
     )
 
