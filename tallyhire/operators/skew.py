@@ -63,14 +63,18 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_o
     return joined.select(*left.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def _best_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+    """One row per key.  A column that orders the rows travels in its place there and not once more beside it."""
+    rest = [c for c in df.columns if c not in keys]
+    placed = {o: f"_o{i}" for i, o in reversed([*enumerate(order)])}
+    best = pick(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[c for c in rest if c not in placed]))
+    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{placed.get(c, c)}").alias(c) for c in rest])
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row per key by ``order`` (an explicit, total tie-break), partially aggregated before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *rest))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _best_by(df, keys, order, F.max)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min(F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *rest))
-    return df.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _best_by(df, keys, order, F.min)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhire.functions import pay
+from tallyhire.operators.skew import first_by, latest_by
 from tallyhire.sources.feeds import SPECS
 from tallyhire.sources.ingest import run_source
 from tallyhire.sources.spec import SearchQuery
@@ -53,3 +54,14 @@ def test_costly_rows_are_dealt_out_by_number(spark, tmp_path, monkeypatch):
     tasks = world.World(spark, str(tmp_path)).derived(spec).groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == 20 and max(r["count"] for r in tasks) <= 120
     assert world.World(spark, str(tmp_path)).derived(d.Derived("part", {"k": "p_partkey"})).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_column_that_orders_travels_once(spark):
+    rows = spark.createDataFrame([(1, 5, "b", "x"), (1, 5, "a", "y"), (1, 7, None, "z"), (None, 2, "a", "n"), (None, 2, "a", "m")],
+                                 "k int, at int, kind string, note string")
+    first, last = first_by(rows, ["k"], ["at", "kind"]), latest_by(rows, ["k"], ["at", "kind"])
+    assert first.columns == last.columns == ["k", "at", "kind", "note"]
+    assert {tuple(r) for r in first.collect()} == {(1, 5, "a", "y"), (None, 2, "a", "m")}
+    assert {tuple(r) for r in last.collect()} == {(1, 7, None, "z"), (None, 2, "a", "n")}
+    aggregate = next(line for line in optimized(first).splitlines() if "Aggregate" in line)
+    assert aggregate.count(", at#") == 1 and aggregate.count(", kind#") == 1
