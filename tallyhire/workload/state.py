@@ -495,7 +495,7 @@ _SILENT = f"""status IN ('submitted', 'responded', 'interviewing') AND last_stat
 
 @register("T13_stream_tracker_state", query(f"SELECT {_APP_COLS}, {flag(_SILENT, 'stale')} FROM replayed", replayed=_REPLAYED))
 def _(w):
-    """The tracker as one state per application, with a timer that fires when nobody has answered for two weeks."""
+    """The tracker as keyed state of groups of applications, with timers that fire when nobody has answered for two weeks."""
     events = _stream(w, "lineitem").selectExpr(*d.STATUS_EVENTS.exprs()).withColumnRenamed("happened_at", "at")
     out, cp = run_folder(w.spark, "tracked"), run_folder(w.spark, "tracked-cp")
     tracker.with_keyed_state(w.spark)

@@ -1,10 +1,12 @@
 """The tracker as keyed state against the batch replay of the same log."""
 
 import datetime as dt
+import json
 import random
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tallyhire.operators import lifecycle as lc
 from tallyhire.streaming import logs, tracker
@@ -100,3 +102,61 @@ def test_late_rows_are_counted_and_broken_rows_refused(spark, tmp_path):
     put(spark, tmp_path, [("late", 1, START, "open", None, None)])
     assert drain(spark, tmp_path, "1 day") == 1
     assert [r["job_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["a"]
+
+
+class Calls:
+    """A state store that keeps one value and notes what was asked of it."""
+
+    def __init__(self):
+        self.made, self.value = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.made.append("get")
+        return self.value
+
+    def update(self, value):
+        self.made.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.made.append(f"timer {at}")
+
+    def deleteTimer(self, at):
+        self.made.append(f"no timer {at}")
+
+
+class Times:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_applications_of_a_group_share_the_calls_to_the_state_store():
+    store, day = Calls(), 86_400_000
+    held = tracker.Tracker(14, lc.AWAITING_TRACKER)
+    held.init(store)
+
+    def submitted(k, at):
+        return Row(fold=json.dumps({"job_id": f"j{k}", "opened": at, "moved_at": at, "moved_seq": k, "moved": "submitted",
+                                    "submitted": at, "events": 1}))
+
+    out = list(held.handleInputRows((1,), iter([submitted(k, k * day * 1000) for k in range(50)]), Times(0)))
+    assert store.made == ["get", f"timer {14 * day}", "update"] and len(out) == 50 and not any(r.stale for r in out)
+    store.made.clear()
+    out = list(held.handleInputRows((1,), iter([submitted(3, 40 * day * 1000)]), Times(15 * day)))
+    assert {r.job_id: r.stale for r in out} == {"j0": True, "j1": True, "j3": False}
+    assert store.made == ["get", f"timer {16 * day}", "update"]
+
+
+def test_a_batch_sends_one_row_per_job():
+    rows = [{"job_id": j, "newest": n, "fold": json.dumps({"job_id": j, "opened": n, "events": 1, "note": 'a "b"\n'})}
+            for j, n in (("hot", 4), ("x", 3), ("hot", 9), ("hot", 2))]
+    got = [r for b in tracker._partial(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    folds = {r["job_id"]: (r["newest"], json.loads(r["fold"])) for r in got}
+    assert len(got) == 2 and folds["hot"][0] == 9 and folds["hot"][1]["opened"] == 2 and folds["hot"][1]["events"] == 3
+    assert folds["x"] == (3, {"job_id": "x", "opened": 3, "events": 1, "note": 'a "b"\n'})
