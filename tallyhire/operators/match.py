@@ -193,12 +193,14 @@ def rank_all(jobs: DataFrame, job_skills: DataFrame, profile: DataFrame, now: Co
         "profile_fingerprint", profile_fingerprint(profile).scalar()
     )
     counts = scored.agg(
-        F.count("*").alias("ranked"),
+        F.count("*").alias("ranked"), F.count("job_id").alias("_named"),
         F.count_if(F.col("match_score") >= weights.threshold).alias("above_threshold"),
     )
     considered = pending.agg(F.count("*").alias("considered"))
-    extracted = scanned.agg(F.count_distinct("job_id").alias("extracted"))
+    # what is ranked without recorded skills was scanned; counting it in the scan would read all texts once more
+    held = recorded.join(pending.select("job_id"), "job_id", "left_semi").agg(F.count("*").alias("held"))
     summary = counts.select(
-        considered.scalar().alias("considered"), extracted.scalar().alias("extracted"), "ranked", "above_threshold",
+        considered.scalar().alias("considered"), (F.col("_named") - held.scalar()).alias("extracted"), "ranked",
+        "above_threshold",
     ).withColumn("skipped", F.col("considered") - F.col("ranked"))
     return Ranking(matches, scanned, summary)
