@@ -89,12 +89,17 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def cut_pairs(texts: DataFrame) -> DataFrame:
-    """Cut texts beside the complete ones of their block that hold one of their smallest shingles."""
+    """Cut texts beside the complete ones of their block that hold some of their smallest shingles.
+
+    What holds ``SIMILAR`` hundredths of a text lacks no more shingles than the rest, among the smallest as well, so a short text
+    needs several of them; one passage that many texts quote makes no pairs.
+    """
     hashes = F.col("text.hashes")
     cut = texts.where(~F.col("text.complete") & (F.size(hashes) >= PROBES)).select(
-        "block", F.col("node").alias("u"), F.explode(F.slice(F.array_sort(hashes), 1, PROBES)).alias("h"))
+        "block", F.col("node").alias("u"), F.size(hashes).alias("size"), F.explode(F.slice(F.array_sort(hashes), 1, PROBES)).alias("h"))
     whole = texts.where(F.col("text.complete")).select("block", F.col("node").alias("v"), F.explode(hashes).alias("h"))
-    return cut.join(whole, ["block", "h"]).select("u", "v").distinct()
+    met = cut.join(whole, ["block", "h"]).groupBy("u", "v", "size").agg(F.count("*").alias("n"))
+    return met.where(100 * (PROBES - F.col("n")) <= (100 - SIMILAR) * F.col("size")).select("u", "v")
 
 
 def same_texts(texts: DataFrame) -> DataFrame:
