@@ -3,7 +3,8 @@
 ``SearchStore`` keeps, in one folder of the shared storage,
 
 * ``rows/shard=…``: the postings, cut by a hash of their id (a column named ``shard`` is replaced); ``shape``: their columns;
-* ``grams/batch=…/bucket=…``: (field, gram, shard, id), sorted by gram, for every three letters in a row of a searched field;
+* ``grams/batch=…/bucket=…``: (field, gram, key), sorted by gram, for every three letters in a row of a searched field; the key
+  is the hash of the posting's id that also names its shard, a sixth as long as an id;
 * ``counts/batch=…/bucket=…``: how many postings hold a gram.
 
 A search looks up the counts of the typed text's grams, takes the rarest gram per field, and meets its postings with the rows.
@@ -28,7 +29,7 @@ from tallyhire.functions.text import contains_typed
 FIELDS = ("company", "title", "location")
 BUCKETS = 64
 SHARDS = 64
-#: A candidate is an id and a shard, under 150 bytes: the broadcast stays below 30 MB.
+#: A candidate is a key and a shard, under 150 bytes: the broadcast stays below 30 MB.
 MOST_CANDIDATES = 200_000
 WIDTH = 3
 
@@ -41,8 +42,12 @@ def grams(text: Column) -> Column:
     return F.when(F.size(letters) >= WIDTH, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
 
 
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(key, F.lit(parts)).cast("int")
+
+
 def _hashed(value: Column, parts: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(parts)).cast("int")
+    return _part(F.xxhash64(value), parts)
 
 
 class SearchStore:
@@ -85,11 +90,11 @@ class SearchStore:
 
     def _index(self, rows: DataFrame, batch_id: str, overwrite: str) -> None:
         held = F.array(*[F.struct(F.lit(f).alias("field"), grams(F.col(f)).alias("grams")) for f in self.fields])
-        each = rows.select("id", "shard", F.explode(held).alias("h")).select(
-            "id", "shard", "h.field", F.explode_outer("h.grams").alias("gram")).filter("gram IS NOT NULL")
+        each = rows.select(F.xxhash64("id").alias("key"), F.explode(held).alias("h")).select(
+            "key", "h.field", F.explode_outer("h.grams").alias("gram")).filter("gram IS NOT NULL")
         placed = each.select("*", F.lit(batch_id).alias("batch"), _hashed(F.col("gram"), self.buckets).alias("bucket"))
         self._write(placed, "grams", ["batch", "bucket"], overwrite, ["gram", "field"])
-        written = self._read("grams", "id string, field string, gram string").filter(F.col("batch") == batch_id)
+        written = self._read("grams", "field string, gram string").filter(F.col("batch") == batch_id)
         self._write(written.groupBy("batch", "bucket", "gram", "field").agg(F.count("*").alias("n")),
                     "counts", ["batch", "bucket"], overwrite, ["gram"])
 
@@ -114,16 +119,16 @@ class SearchStore:
         return {f: min(((g, found.get((f, g), 0)) for g in words), key=lambda e: (e[1], e[0])) for f in fields}
 
     def candidates(self, typed: str, fields: Sequence[str]) -> DataFrame | None:
-        """(id, shard) of the rows that may hold the text in one of the fields; None where all rows must be read."""
+        """(key, shard) of the rows that may hold the text in one of the fields; None where all rows must be read."""
         best = self.rarest(typed, fields)
         if not best or sum(n for _, n in best.values()) > MOST_CANDIDATES:
             return None
-        held = self._lookup("grams", "id string, shard int, field string, gram string", sorted({g for g, _ in best.values()}))
+        held = self._lookup("grams", "key long, field string, gram string", sorted({g for g, _ in best.values()}))
         pairs = [(F.col("field") == f) & (F.col("gram") == g) for f, (g, _) in best.items()]
         wanted = pairs[0]
         for p in pairs[1:]:
             wanted = wanted | p
-        return held.filter(wanted).select("id", "shard")
+        return held.filter(wanted).select("key", _part(F.col("key"), self.shards).alias("shard"))
 
     def find(self, typed: str, fields: Sequence[str] | None = None) -> DataFrame:
         """All rows that hold the typed text in one of the fields (blank: all rows), as the plain filter finds them."""
@@ -137,5 +142,6 @@ class SearchStore:
         near = self.candidates(typed, fields)
         rows = self.rows()
         if near is not None:
-            rows = rows.join(F.broadcast(near), ["shard", "id"], "left_semi")
+            keyed = rows.filter("id IS NOT NULL").withColumn("key", F.xxhash64("id"))
+            rows = keyed.join(F.broadcast(near), ["shard", "key"], "left_semi").select(*rows.columns)
         return rows.filter(holds).drop("shard")
