@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhire.functions import pay
-from tallyhire.operators.skew import first_by, latest_by
+from tallyhire.operators import match as mt
+from tallyhire.operators.search import SearchStore
+from tallyhire.operators.similar import cut_pairs
+from tallyhire.operators.skew import first_by, latest_by, spread_join
 from tallyhire.sources.feeds import SPECS
 from tallyhire.sources.ingest import run_source
 from tallyhire.sources.spec import SearchQuery
@@ -65,3 +68,51 @@ def test_a_column_that_orders_travels_once(spark):
     assert {tuple(r) for r in last.collect()} == {(1, 7, None, "z"), (None, 2, "a", "n")}
     aggregate = next(line for line in optimized(first).splitlines() if "Aggregate" in line)
     assert aggregate.count(", at#") == 1 and aggregate.count(", kind#") == 1
+
+
+def test_rows_without_a_key_are_dealt_over_all_tasks(spark):
+    """The salt of the right side was a literal, so the rows went by their keys alone: all without one to the same task."""
+    left = spark.range(4000).selectExpr("id", "IF(id < 3000, NULL, id) AS k")
+    right = spark.range(2000, 4000).selectExpr("id AS k", "id * 2 AS twice")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = spread_join(left, right, ["k"], ["id"]).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["id"], r["twice"]) for r in out} == {(i, None if i < 3000 else 2 * i) for i in range(4000)}
+    parts = [r["part"] for r in out if r["k"] is None]
+    assert max(parts.count(p) for p in set(parts)) < 1000
+
+
+def test_a_ranking_scans_texts_once(spark):
+    jobs = spark.createDataFrame([("a", "Engineer", "Requirements: Python and Kafka", None), ("b", "Cook", "Requirements: Python", None),
+                                  ("c", "Cook", "soup", None), ("d", "Cook", "Python", "a")], "id string, title string, description string, canonical_id string")
+    skills = spark.createDataFrame([("b", "python", "Python", "required", "engine", 1), ("d", "python", "Python", "required", "engine", 1),
+                                    ("z", "python", "Python", "required", "engine", 1)],
+                                   "job_id string, skill string, label string, requirement string, source string, ordinal bigint")
+    profile = spark.createDataFrame([("python", "strong", "language")], "skill string, level string, category string")
+    ranked = mt.rank_all(jobs, skills, profile, F.current_timestamp())
+    assert ranked.summary.select("considered", "extracted", "ranked", "skipped").first() == (3, 1, 2, 1)
+    assert optimized(ranked.summary).count("Generate") == optimized(ranked.matches).count("Generate") > 0
+
+
+def test_a_quoted_passage_makes_no_pairs(spark):
+    def text(*hashes):
+        return list(hashes)
+
+    short = text(*range(10))
+    rows = [("cut", 1, (False, short)), ("whole", 1, (True, text(*range(40)))), ("quotes", 1, (True, text(0, 1, *range(50, 90)))),
+            ("close", 1, (True, text(*range(8), *range(50, 90))))]
+    texts = spark.createDataFrame(rows, "node string, block bigint, text struct<complete: boolean, hashes: array<bigint>>")
+    assert {tuple(r) for r in cut_pairs(texts).collect()} == {("cut", "whole"), ("cut", "close")}
+
+
+def test_the_search_index_holds_no_ids(spark, tmp_path):
+    rows = spark.createDataFrame([("an id", "Acme", "Cook", "Oslo")], "id string, company string, title string, location string")
+    SearchStore(spark, str(tmp_path), shards=4, buckets=4).build(rows)
+    kinds = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{tmp_path}/grams").schema}
+    assert "id" not in kinds and kinds["key"] == "bigint"
