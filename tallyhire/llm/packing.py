@@ -23,7 +23,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ ID_BYTES = 4
 HIGH, LOW = 6144, 2048
 #: Bits of a sequence number below the partition, as in Spark's own increasing ids.
 PARTITION_BITS = 33
-#: Cached parts of words per worker; the cache starts anew beyond it, which costs time and changes no result.
-CACHE_PARTS = 1_500_000
+#: Cached parts of words per worker, some 270 bytes each, while a task runs and between tasks, when a worker waits beside
+#: whatever stage runs by then.  Beyond it the later ones are dropped: frequent parts are met first, and stay.
+CACHE_PARTS, IDLE_PARTS = 400_000, 100_000
 JOINED_PARTS = 4096
 
 PIECES = pa.schema([
@@ -98,9 +99,14 @@ class WordEncoder:
                 out.append(word)
         return out
 
+    def keep(self, most: int) -> None:
+        """Forget all parts but the ``most`` that were met first; they are learned anew if they come again."""
+        if len(self.parts) > most:
+            self.parts = dict(islice(self.parts.items(), most))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHE_PARTS:
-            self.parts.clear()
+            self.keep(CACHE_PARTS // 2)
         split = [self._split(text) for text in texts]
         found = [list(map(self.parts.get, own)) for own in split]
         fresh = list({p for own, ids in zip(split, found) if None in ids for p, i in zip(own, ids) if i is None})
@@ -243,6 +249,7 @@ def packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 rows += pool.drain(LOW)
             if len(rows) >= 8192:
                 yield batch()
+        encode.keep(IDLE_PARTS)
         rows += pool.drain(0)
         if rows:
             yield batch()

@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,6 +488,24 @@ def test_encoder_matches_the_tokenizer(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_worker_keeps_few_parts_of_words_between_tasks(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_PARTS", 2000)
+    monkeypatch.setattr(packing, "IDLE_PARTS", 300, raising=False)
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(int)}))
+    rng, path = random.Random(13), public_tokenizers.path("word_bpe_49k.json")
+    texts = ["the same"] * 300 + ["the same " + " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(40)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for _ in range(2):
+        got = pa.Table.from_batches(packing.packer(path, 64)(iter([batch]))).to_pylist()
+        n = Counter()
+        for r in got:
+            n[r["doc_id"]] += r["length"]
+        assert n == {i: len(tokenizer.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+        parts = packing.word_encoder(path).parts
+        assert len(parts) <= 300 and "the" in parts
+
+
 def test_packing_places_every_id_once(documents, docs, no_documents, tokenizer, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(documents, path).collect()
