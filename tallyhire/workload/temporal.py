@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhire.operators.settle import run_folder
-from tallyhire.operators.temporal import asof_join, interval_join
+from tallyhire.operators.temporal import Folded, asof_join, interval_join
 from tallyhire.streaming import logs
 from tallyhire.workload import derive as d
 from tallyhire.workload.registry import register
@@ -88,8 +88,8 @@ def _(w):
 def _(w):
     """Runs of a source that began while what another run of it had fetched was still fresh."""
     runs = w.engine_runs.select("engine", "id", "started_at", "finished_at")
-    met = interval_join(runs, w.derived(FRESHNESS), ("started_at", "finished_at"), ("fresh_from", "fresh_until"), ["engine"])
-    return met.filter("id <> run").groupBy("id").agg(F.count("*").alias("fresh"), F.max("run").alias("newest"))
+    return interval_join(runs, w.derived(FRESHNESS), ("started_at", "finished_at"), ("fresh_from", "fresh_until"), ["engine"],
+                         folded=Folded("id", "run", "fresh", "newest"))
 
 
 @register("T12_stream_run_sessions", query(f"""

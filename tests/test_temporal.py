@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhire.operators.temporal import asof_join, interval_join
+from tallyhire.operators import temporal
+from tallyhire.operators.temporal import Folded, asof_join, interval_join
 
 
 def asof_by_hand(left, right):
@@ -85,6 +86,61 @@ def test_interval_join_has_no_nested_loop_and_takes_times(spark):
     assert interval_join(runs, other.limit(0), ("a", "b"), ("c", "d")).count() == 0
 
 
+FOLDED = Folded("i", "j", "met", "largest")
+
+
+@pytest.mark.parametrize("piece_rows, kind", [(200_000, "long"), (5, "long"), (2, "double"), (7, "timestamp")])
+def test_folded_interval_join_equals_its_pairs(spark, monkeypatch, piece_rows, kind):
+    monkeypatch.setattr(temporal, "PIECE_ROWS", piece_rows)
+    rnd = random.Random(piece_rows)
+
+    def spans(n, names, ids):
+        rows = []
+        for _ in range(n):
+            start = rnd.choice([None, *range(-40, 40), *range(5)])
+            width = rnd.choice([0, 0, 1, 2, 5, 17, 200, -1])
+            rows.append((rnd.choice(ids), rnd.choice(["x", "x", "x", "y", "z", None]), start, None if start is None else start + width))
+        i, a, b = names
+        cast = [F.col(c).cast(kind).alias(c) for c in (a, b)]
+        return spark.createDataFrame(rows + rows[:4], f"{i} int, k string, {a} long, {b} long").select(i, "k", *cast)
+
+    # repeated and null numbers on both sides
+    left = spans(260, ("i", "a", "b"), [None, *range(60)])
+    right = spans(240, ("j", "c", "d"), [None, *range(-3, 50)])
+    pairs = interval_join(left, right, ("a", "b"), ("c", "d"), ["k"]).filter("i <> j")
+    want = pairs.groupBy("i").agg(F.count("*").alias("met"), F.max("j").alias("largest"))
+    got = interval_join(left, right, ("a", "b"), ("c", "d"), ["k"], folded=FOLDED)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    bare = interval_join(left.drop("k"), right.drop("k"), ("a", "b"), ("c", "d")).filter("i <> j").groupBy("i").agg(F.count("*"), F.max("j"))
+    got = interval_join(left.drop("k"), right.drop("k"), ("a", "b"), ("c", "d"), folded=FOLDED)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bare.collect()))
+    assert interval_join(left, right.limit(0), ("a", "b"), ("c", "d"), ["k"], folded=FOLDED).count() == 0
+    assert interval_join(left.limit(0), right, ("a", "b"), ("c", "d"), ["k"], folded=FOLDED).count() == 0
+
+
+def test_folded_interval_join_of_many_pairs_makes_none(spark, monkeypatch):
+    """Forty thousand rows that all meet: 1.6 billion pairs."""
+    monkeypatch.setattr(temporal, "PIECE_ROWS", 10_000)
+    n = 40_000
+    left = spark.range(n).selectExpr("id AS i", "id AS a", f"id + {n} AS b")
+    right = spark.range(n).selectExpr("id AS j", "id AS c", f"id + {n} AS d")
+    got = interval_join(left, right, ("a", "b"), ("c", "d"), folded=FOLDED)
+    assert [tuple(r) for r in got.groupBy("met", "largest").count().orderBy("largest").collect()] == [
+        (n - 1, n - 2, 1), (n - 1, n - 1, n - 1)]
+
+
+def test_folded_interval_join_refuses_what_it_cannot_compare(spark):
+    rows = spark.createDataFrame([(1, "a", "b")], "i int, a string, b string")
+    other = rows.toDF("j", "c", "d")
+    with pytest.raises(ValueError, match="kinds"):
+        interval_join(rows, other, ("a", "b"), ("c", "d"), folded=FOLDED)
+    with pytest.raises(ValueError, match="whole"):
+        interval_join(rows.selectExpr("a AS i", "i AS a", "i AS b"), other.selectExpr("j", "j AS c", "j AS d"), ("a", "b"), ("c", "d"), folded=FOLDED)
+    with pytest.raises(ValueError, match="share one bound"):
+        interval_join(rows, other, ("a", "b"), ("c", "d"), touching=False, folded=FOLDED)
+
+
 def test_sessions_close_by_watermark_and_late_runs_are_counted(spark, tmp_path):
     from tallyhire.streaming import logs
 
