@@ -7,8 +7,9 @@ common subsequence, and lines they share are deleted: a site's furniture repeats
 The page's own elements then check the outcome, since furniture also holds lines of one page alone, and articles repeat as
 copies and quoted passages.  Lines below an element that its name, role or class marks as menu, header, footer, sidebar,
 notice, advert, form or reader comments go whether shared or not.  Lines inside an ``article`` or ``main`` element stay whether
-shared or not, and a page that has such lines consists of them.  A neighbour that shares every line but marked ones is a copy
-of the page and says nothing about it.
+shared or not.  All others are the alignment's to decide, on pages with an article too: a story in plain blocks beside a
+teaser stays, the site's blocks around it go.  A neighbour that shares every line but marked ones is a copy of the page and
+says nothing about it; a page about which no neighbour says anything consists of its article, if it has one.
 
 Pages are dealt out by ranges of the sort order, so a host with most of the pages is spread over tasks; at the edge of a range
 a page has one neighbour.  A task holds three pages at a time.
@@ -180,12 +181,14 @@ def differenced(own: list[Line], neighbours: list[list[Line]]) -> list[str]:
     texts = [text for text, _, _ in own]
     plain = {i for i, (_, _, marked) in enumerate(own) if not marked}
     gone: set[int] = set()
+    told = False
     for other in neighbours:
         same = shared(texts, [text for text, _, _ in other])
         if not plain <= same:
             gone |= same
+            told = True
     article = {i for i in plain if own[i][1]}
-    return [texts[i] for i in sorted(article or plain - gone)]
+    return [texts[i] for i in sorted(article | plain - gone if told else article or plain)]
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -401,6 +401,17 @@ def test_page_lines_and_difference(spark):
     assert [got[i].text for i in (4, 5, 6, 7)] == ["", "", "tail open", "plain <3 text"]
 
 
+def test_alignment_decides_on_lines_outside_of_an_article(spark):
+    page = ("<div>Welcome</div><nav>Home {0}</nav><article>Teaser {0}</article><div>Story {0}</div>"
+            "<article>Quoted by all</article><div>All rights reserved</div>")
+    rows = [(n, f"http://t/x/{n}", page.format(n)) for n in (1, 2, 3)]
+    rows += [(4, "http://alone/1", page.format(4)), (5, "http://u/1", page.format(5)), (6, "http://u/2", page.format(5))]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [got[n] for n in (1, 2, 3)] == [f"Teaser {n}\nStory {n}\nQuoted by all" for n in (1, 2, 3)]
+    # no neighbour, and copies of each other: the article alone
+    assert got[4] == "Teaser 4\nQuoted by all" and got[5] == got[6] == "Teaser 5\nQuoted by all"
+
+
 def test_shared_is_a_longest_common_subsequence():
     rng = random.Random(10)
 
