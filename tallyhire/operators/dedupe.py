@@ -5,8 +5,9 @@ key.  Within such an opening two postings are the same if their five-word shingl
 is marked as cut short and 0.8 of it stand in a complete one; whatever connects through such pairs is one group.  Anything
 less certain is left alone, an empty text included.
 
-Keys are worked out once per posting and stored.  Equal words are one text, however often posted, and only openings with
-several texts are compared.  The pick is an aggregate and the verdict is joined back by id.
+Keys are worked out once per posting and stored, as are its words: all that is stored or sent of the texts, but for those that
+are compared.  Equal words are one text, however often posted, and only openings with several texts are compared.  The pick is an
+aggregate and the verdict is joined back by id.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyhire.functions.text import collapse, company_key, opening_key
 from tallyhire.operators.settle import settled
-from tallyhire.operators.similar import same_texts, shingle_hashes
+from tallyhire.operators.similar import same_texts
 from tallyhire.operators.skew import spread_join
 
 OPENING = ["company_key", "title_key", "location_key"]
@@ -36,23 +37,21 @@ def with_keys(jobs: DataFrame) -> DataFrame:
 
 
 def text_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From stored rows (id, block, node, words, complete, chars): each text with its group's root, and each group's pick.
+    """From stored rows (row, id, block, node, words, complete, chars): each text with its group's root, and each group's pick.
 
-    The pick has the most complete description, then the longest, then the lowest id.
+    The pick has the most complete description, then the longest, then the lowest id.  A text goes by its first row.
     """
     # min over a struct: incomplete sorts after complete, short after long
     order = F.struct((~F.col("complete")).alias("a"), (-F.col("chars")).alias("b"), F.col("id").alias("c"))
     classes = settled(rows.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.first("block").alias("block"), F.min(order).alias("best"), F.count("*").alias("copies"),
-        F.max("complete").alias("complete"), F.first("words").alias("words")))
+        F.max("complete").alias("complete"), F.min("row").alias("text")))
     several = classes.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    met = spread_join(classes.select("node", "block", "complete", "words"), several, ["block"], ["node"], weight="n").where(
-        F.col("n").isNotNull())
-    texts = settled(met.select("node", "block", F.struct(
-        "complete", shingle_hashes(F.split("words", " ")).alias("hashes")).alias("text")))
-    roots = same_texts(texts)
-    grouped = settled(classes.select("node", "best", "copies").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")))
+    met = settled(spread_join(classes.select("text", "block", "complete"), several, ["block"], ["text"], weight="n").where(
+        F.col("n").isNotNull()).select(F.col("text").alias("node"), "complete"))
+    roots = same_texts(met, rows.select(F.col("row").alias("node"), "block", "complete", "words"))
+    grouped = settled(classes.select("node", "text", "best", "copies").join(
+        roots.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text")))
     picks = grouped.groupBy("root").agg(
         F.min("best").alias("best"), F.sum("copies").alias("copies"), F.count("*").alias("texts")).where("copies > 1").select(
         "root", F.col("best.c").alias("canonical"), "copies", "texts")
@@ -60,13 +59,13 @@ def text_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def opening_rows(jobs: DataFrame) -> DataFrame:
-    """(id, block, node, words, complete, chars), stored; ``node`` is NULL for rows that stay on their own."""
+    """(row, id, block, node, words, complete, chars), stored; ``node`` is NULL for rows that stay on their own."""
     block = F.concat_ws("\n", *OPENING)
-    node = F.when(F.col("words").isNotNull(), F.sha1(F.concat_ws("\n", *OPENING, "words")))
+    node = F.when(F.col("words").isNotNull(), F.unhex(F.sha1(F.concat_ws("\n", *OPENING, "words"))))
     return settled(with_keys(jobs).select(
-        "id", F.xxhash64(block).alias("block"), node.alias("node"), "words",
+        F.monotonically_increasing_id().alias("row"), "id", F.xxhash64(block).alias("block"), node.alias("node"), "words",
         F.coalesce("description_complete", F.lit(False)).alias("complete"),
-        F.length(F.coalesce("description", F.lit(""))).cast("long").alias("chars")))
+        F.length(F.coalesce("description", F.lit(""))).cast("long").alias("chars")), "zstd")
 
 
 def canonical_picks(jobs: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write the rows once and read them back; survives the loss of any executor."""
+def settled(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write the rows once and read them back; survives the loss of any executor.  ``codec`` is for texts, else the session's."""
     path = run_folder(df.sparkSession, "settled")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

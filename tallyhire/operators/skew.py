@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
 #: Keys answered by broadcast: one per shuffle partition, and these many at least.
 LEAST_HOT_KEYS = 128
 SPREAD = 1024
+#: A sieve has 2**18 cells of 64 marks; a cell is one broadcast row of two numbers.
+CELL_BITS = 18
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -18,6 +20,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if small else df
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys may stand in ``wanted``; nearly all others drop out where they are read, before any shuffle.
+
+    Every wanted key sets one of 2**24 marks, whatever their number, so what is broadcast is bounded.  No row with a wanted
+    key is lost.  A row without one may stay, in a share of wanted keys to marks at most, so an exact join has to follow.
+    """
+    def cell(k: Column) -> Column:
+        return F.shiftrightunsigned(k, 64 - CELL_BITS)
+
+    def mark(k: Column) -> Column:
+        place = F.shiftrightunsigned(k, 58 - CELL_BITS).bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+    k = F.col("_k")
+    marks = wanted.select(F.xxhash64(*keys).alias("_k")).groupBy(cell(k).alias("_cell")).agg(F.bit_or(mark(k)).alias("_marks"))
+    met = rows.withColumn("_k", F.xxhash64(*keys)).join(F.broadcast(marks), cell(k) == F.col("_cell"))
+    return met.where(F.col("_marks").bitwiseAND(mark(k)) != 0).select(*rows.columns)
+
+
 def fill_cores(scan: DataFrame) -> DataFrame:
     """Spread a scan that has fewer tasks than the cluster has cores, before costly per-row work.
 

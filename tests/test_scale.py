@@ -1,13 +1,15 @@
 """What a query works out per row, and how its rows are dealt out, on tables that the tests build."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyhire.functions import pay
-from tallyhire.operators import match as mt
+from tallyhire.operators import dedupe, match as mt, settle, similar
 from tallyhire.operators.search import SearchStore
 from tallyhire.operators.similar import cut_pairs
-from tallyhire.operators.skew import first_by, latest_by, spread_join
+from tallyhire.operators.skew import first_by, latest_by, sifted, spread_join
 from tallyhire.sources.feeds import SPECS
 from tallyhire.sources.ingest import run_source
 from tallyhire.sources.spec import SearchQuery
@@ -111,6 +113,61 @@ def test_a_quoted_passage_makes_no_pairs(spark):
     assert {tuple(r) for r in cut_pairs(texts).collect()} == {("cut", "whole"), ("cut", "close")}
 
 
+def test_a_passage_that_is_half_of_a_cut_text_makes_no_pairs(spark):
+    rows = [("cut", 1, (False, list(range(24)))), ("whole", 1, (True, list(range(30)))), ("far", 2, (True, list(range(30))))]
+    rows += [(f"quotes{k}", 1, (True, [*range(14), *range(100 * k + 100, 100 * k + 150)])) for k in range(30)]
+    texts = spark.createDataFrame(rows, "node string, block bigint, text struct<complete: boolean, hashes: array<bigint>>")
+    assert {tuple(r) for r in cut_pairs(texts).collect()} == {("cut", "whole")}
+
+
+JOB = "id string, company string, title string, location string, description string, description_complete boolean"
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(n))
+
+
+def marked(spark, texts):
+    rows = [(f"j{k:03d}", "Acme", "Nurse", "Pune", t, True) for k, t in enumerate(texts)]
+    jobs = spark.createDataFrame(rows, JOB).withColumn("canonical_id", F.lit(None).cast("string"))
+    return {r["id"]: r["canonical_id"] for r in dedupe.assign_canonical(jobs).collect() if r["canonical_id"]}
+
+
+def test_texts_are_stored_once_and_their_sets_not_at_all(spark, tmp_path, monkeypatch):
+    rnd = random.Random(3)
+    texts = [prose(rnd, 400) for _ in range(120)]
+    texts += [f"{texts[0]} and so on", texts[1].upper()]
+    monkeypatch.setattr(settle, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert marked(spark, texts) == {"j000": "j120", "j121": "j001"}
+    # words as they are take as much as the texts, their sets half as much again
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*.parquet")) < sum(map(len, texts))
+
+
+def test_short_texts_around_one_passage_are_not_all_paired(spark, monkeypatch):
+    rnd = random.Random(4)
+    passage = prose(rnd, 14)
+    texts = [f"{passage} {prose(rnd, 10)}" for _ in range(60)]
+    texts += [f"{texts[7]} end", f"{texts[8]} end"]
+    pairs, verified = [], similar.verified
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(similar, "verified", counted)
+    assert marked(spark, texts) == {"j007": "j060", "j008": "j061"}
+    assert sum(pairs) < 5 * len(texts)
+
+
+def test_a_sieve_loses_no_wanted_row(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("x"))
+    wanted = spark.range(0, 20_000, 50).select(F.col("id").alias("k"), (F.col("id") % 3).alias("x"))
+    kept = sifted(rows, wanted, ["k", "x"])
+    assert kept.columns == rows.columns and kept.count() < 420
+    assert kept.join(wanted, ["k", "x"]).count() == 400
+    assert sifted(rows, wanted.limit(0), ["k", "x"]).count() == 0
+
+
 def test_the_search_index_holds_no_ids(spark, tmp_path):
     rows = spark.createDataFrame([("an id", "Acme", "Cook", "Oslo")], "id string, company string, title string, location string")
     SearchStore(spark, str(tmp_path), shards=4, buckets=4).build(rows)
