@@ -49,7 +49,7 @@ def text_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = classes.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     met = settled(spread_join(classes.select("text", "block", "complete"), several, ["block"], ["text"], weight="n").where(
         F.col("n").isNotNull()).select(F.col("text").alias("node"), "complete"))
-    roots = same_texts(met, rows.select(F.col("row").alias("node"), "block", "complete", "words"))
+    roots = same_texts(met, rows.where(F.col("node").isNotNull()).select(F.col("row").alias("node"), "block", "complete", "words"))
     grouped = settled(classes.select("node", "text", "best", "copies").join(
         roots.withColumnRenamed("node", "text"), "text", "left").withColumn("root", F.coalesce("root", "text")))
     picks = grouped.groupBy("root").agg(
